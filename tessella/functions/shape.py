@@ -109,27 +109,22 @@ def hard_tip(d: Column) -> Column:
     return F.lit(1.0) - smoothstep(1.0 - HARD_EDGE, 1.0, d)
 
 
-def _mul32(a: Column, k: int) -> Column:
-    """32-bit wrapping product of an unsigned value held in a long.
+def lattice_value(ix: int, iy: int) -> float:
+    """Hash of a grid point to [0, 1), exact in 24 bits."""
+    h = (ix * LATTICE_X & MASK32) ^ (iy * LATTICE_Y & MASK32) ^ GRAIN_SEED
+    h = (h ^ h >> 15) * MIX_1 & MASK32
+    h = (h ^ h >> 12) * MIX_2 & MASK32
+    return ((h ^ h >> 16) >> 8) / (1 << 24)
+
 
-    The factor is split so that no partial product leaves 63 bits.
-    """
-    low, high = k & 0xFFFF, k >> 16
-    part = F.shiftleft((a * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)
-    return (a * F.lit(low) + part).bitwiseAND(F.lit(MASK32))
+# A tip spans GRAIN_FREQ cells, so the grid has one point more along each axis.
+LATTICE_SIDE = GRAIN_FREQ + 2
+_LATTICE = [lattice_value(x, y) for y in range(LATTICE_SIDE) for x in range(LATTICE_SIDE)]
 
 
 def lattice(ix: Column, iy: Column) -> Column:
-    """Hash of a grid point to [0, 1), exact in 24 bits."""
-    a = _mul32(ix.cast("long").bitwiseAND(F.lit(MASK32)), LATTICE_X)
-    b = _mul32(iy.cast("long").bitwiseAND(F.lit(MASK32)), LATTICE_Y)
-    h = a.bitwiseXOR(b).bitwiseXOR(F.lit(GRAIN_SEED))
-    h = h.bitwiseXOR(F.shiftright(h, 15))
-    h = _mul32(h, MIX_1)
-    h = h.bitwiseXOR(F.shiftright(h, 12))
-    h = _mul32(h, MIX_2)
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    return F.shiftright(h, 8).cast("double") / F.lit(float(1 << 24))
+    """Grid value by look-up in a constant array: the hash would be inlined many times over."""
+    return F.element_at(F.lit(_LATTICE), (iy * LATTICE_SIDE + ix + 1).cast("int"))
 
 
 def grain(tx: Column, ty: Column) -> Column:

@@ -147,30 +147,31 @@ def completion(regions: DataFrame, fills: DataFrame, coverage: DataFrame, last:
 
 
 def funnel(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
-    """Users that reached every step in order; ``events`` holds ``user_id, step, ts``.
+    """Users that reached every step in order; ``events`` holds ``user_id, step, ts`` (seconds).
 
-    A step counts from the first time it happens at or after the step before it.
+    A step counts from the first time it happens at or after the step before it.  Each round
+    reads one step only and keeps one time per user.
     """
-    ordered = events.where(F.col("step").isin(*steps)).groupBy("user_id", "step").agg(
-        F.array_sort(F.collect_set("ts")).alias("times")
-    ).groupBy("user_id").agg(
-        *[F.first(F.when(F.col("step") == s, F.col("times")), ignorenulls=True).alias(f"_{s}") for s in steps]
-    )
-    at = None
-    for s in steps:
-        times = F.col(f"_{s}")
-        if at is not None:
-            before = F.col(at)
-            reached = F.when(before.isNotNull(), F.element_at(F.filter(times, lambda v: v >= before), 1))
-        else:
-            reached = F.element_at(times, 1)
-        at = f"at_{s}"
-        ordered = ordered.withColumn(at, reached)
-    counts = ordered.agg(*[F.count(f"at_{s}").alias(s) for s in steps])
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"), F.col(s).alias("users")) for i, s in enumerate(steps)])
-    )
-    return counts.select(stacked.alias("s")).select("s.*")
+    reached = events.where(F.col("step") == steps[0]).groupBy("user_id").agg(F.min("ts").alias("at"))
+    counts = []
+    for n, step in enumerate(steps):
+        if n:
+            here = events.where(F.col("step") == step).select("user_id", "ts")
+            reached = (
+                spread_join(here, reached, ["user_id"], F.floor(F.col("ts")), "inner")
+                .where("ts >= at")
+                .groupBy("user_id")
+                .agg(F.min("ts").alias("at"))
+            )
+        counts.append(
+            reached.agg(F.count(F.lit(1)).alias("users")).select(
+                F.lit(n).alias("step_no"), F.lit(step).alias("step"), "users"
+            )
+        )
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 # --- logs -----------------------------------------------------------------------------------
