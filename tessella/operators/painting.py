@@ -36,12 +36,12 @@ def dab_pixels(dabs: DataFrame) -> DataFrame:
     cells = dabs.withColumn("px", F.explode(span("x", "width"))).withColumn("py", F.explode(span("y", "height")))
     dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
     cos, sin = F.cos("angle"), F.sin("angle")
-    u = (dx * cos + dy * sin) / half
-    v = (dy * cos - dx * sin) / half
+    # Local coordinates are columns of their own: inlined, they would be repeated many times.
+    local = cells.withColumn("_u", (dx * cos + dy * sin) / half).withColumn("_v", (dy * cos - dx * sin) / half)
     return (
-        cells.withColumn("cover", tip_coverage(F.col("tip"), u, v) * F.col("alpha"))
+        local.withColumn("cover", tip_coverage(F.col("tip"), F.col("_u"), F.col("_v")) * F.col("alpha"))
         .where("cover > 0")
-        .drop("width", "height")
+        .drop("width", "height", "_u", "_v")
     )
 
 

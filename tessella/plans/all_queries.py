@@ -1,7 +1,9 @@
 """Imports every module that registers queries."""
 
 from tessella.plans import (  # noqa: F401
+    document_queries,
     raster_queries,
     scalar_queries,
+    stroke_queries,
     views,
 )

@@ -89,11 +89,11 @@ def seed_description(spark, sf):
 
 @query(
     "seed_on_line",
-    "select s.image_id, s.seed_id from seeds s join px p on p.image_id = s.image_id and p.x = s.ax and p.y = s.ay where p.a >= 128",
+    "select s.image_id, s.seed_id from seeds s join px p on p.image_id = s.image_id and p.x = s.ax + 3 and p.y = s.ay where p.a >= 128",
 )
 def seed_on_line(spark, sf):
-    """Seeds moved one pixel to the right stand on a line now and then."""
-    seeds = R.read_seeds(V.seed_px(spark, sf), V.TILE)
+    """Seeds moved to the right, onto the grid lines."""
+    seeds = R.read_seeds(V.seed_px(spark, sf), V.TILE).withColumn("ax", F.col("ax") + 3)
     return R.grow(seeds, line_px(spark, sf), V.TILE)["on_line"].select("image_id", "seed_id")
 
 

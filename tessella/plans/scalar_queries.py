@@ -297,10 +297,10 @@ def farthest_corner(spark, sf):
     "easing",
     """select event_id, round(1 - pow(1 - least(greatest(t, 0), 1), 3), 6) as eased, round(s * s * (3 - 2 * s), 6) as smooth,
     round(10 + (t - 10) * (s * s * (3 - 2 * s)), 4) as mixed from (select event_id, t, least(greatest((t - 0.2) / 0.6, 0), 1) as s from
-    (select event_id, value / 40 as t from events))""",
+    (select event_id, value / 37 as t from events))""",
 )
 def easing(spark, sf):
-    t = F.col("value") / 40
+    t = F.col("value") / 37
     smooth = S.smoothstep(0.2, 0.8, t)
     return V.events(spark, sf).select(
         "event_id",
