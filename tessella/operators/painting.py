@@ -103,8 +103,8 @@ def commit(coverage: DataFrame, strokes: DataFrame, labels: DataFrame, tile: int
 # --- layers ---------------------------------------------------------------------------------
 
 
-def layers_over_white(px: DataFrame) -> DataFrame:
-    return px.select("image_id", "x", "y", *[over_white(c, "a").alias(c) for c in "rgb"])
+def layers_over_white(px: DataFrame, *keep: str) -> DataFrame:
+    return px.select("image_id", "x", "y", *keep, *[over_white(c, "a").alias(c) for c in "rgb"])
 
 
 def reference_composite(
@@ -141,7 +141,7 @@ def reference_composite(
 
 def thumbnail(composite: DataFrame, images: DataFrame) -> DataFrame:
     """Box-downsampled composite whose long edge is 512 (``images``: image_id, width, height)."""
-    sized = composite.join(images.select("image_id", "width", "height"), "image_id")
+    sized = spread_join(composite, images.select("image_id", "width", "height"), ["image_id"], tile_id(), "inner")
     factor = F.greatest(
         F.call_function("div", F.greatest("width", "height"), F.lit(THUMB_LONG_EDGE)), F.lit(1).cast("long")
     )
