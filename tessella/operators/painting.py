@@ -36,13 +36,13 @@ def dab_pixels(dabs: DataFrame) -> DataFrame:
     cells = dabs.withColumn("px", F.explode(span("x", "width"))).withColumn("py", F.explode(span("y", "height")))
     dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
     cos, sin = F.cos("angle"), F.sin("angle")
-    # Local coordinates are columns of their own: inlined, they would be repeated many times.
-    local = cells.withColumn("_u", (dx * cos + dy * sin) / half).withColumn("_v", (dy * cos - dx * sin) / half)
-    return (
-        local.withColumn("cover", tip_coverage(F.col("tip"), F.col("_u"), F.col("_v")) * F.col("alpha"))
-        .where("cover > 0")
-        .drop("width", "height", "_u", "_v")
-    )
+    # Every tip is empty outside its disc.  The filter is on the distance and not on the coverage,
+    # which would be pushed below and repeat the whole tip shape.
+    disc = cells.where(F.hypot(dx, dy) / half < 1.0)
+    local = disc.withColumn("_u", (dx * cos + dy * sin) / half).withColumn("_v", (dy * cos - dx * sin) / half)
+    return local.withColumn(
+        "cover", tip_coverage(F.col("tip"), F.col("_u"), F.col("_v")) * F.col("alpha")
+    ).drop("width", "height", "_u", "_v")
 
 
 def stroke_coverage(cells: DataFrame, *keys: str) -> DataFrame:

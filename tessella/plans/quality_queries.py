@@ -216,7 +216,7 @@ def gated_images(spark, sf):
 
 @query(
     "bake_regions",
-    "select o.image_id, o.label as id, o.area, bx, "by", bw, bh, cx, cy, printf('#%02X%02X%02X', r, g, b) as suggested_color from out_stats o join seeds s on s.image_id = o.image_id and s.seed_id = o.label",
+    """select o.image_id, o.label as id, o.area, bx, "by", bw, bh, cx, cy, printf('#%02X%02X%02X', r, g, b) as suggested_color from out_stats o join seeds s on s.image_id = o.image_id and s.seed_id = o.label""",
 )
 def bake_regions(spark, sf):
     r = baked(spark, sf).regions

@@ -125,9 +125,9 @@ def stroke_bounds(spark, sf):
     return K.stroke_bounds(dabs(spark, sf)).select("stroke_id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], "dabs")
 
 
-@query("dab_pixels", "select dab_no, px, py, round(cover, 5) as cover from dab_cells where cover > 0.001")
+@query("dab_pixels", "select dab_no, px, py, round(cover, 5) as cover from dab_cells")
 def dab_pixels(spark, sf):
-    return P.dab_pixels(dabs(spark, sf)).where("cover > 0.001").select("dab_no", "px", "py", F.round("cover", 5).alias("cover"))
+    return P.dab_pixels(dabs(spark, sf)).select("dab_no", "px", "py", F.round("cover", 5).alias("cover"))
 
 
 @query("stroke_coverage", "select image_id, stroke_id, x, y, round(cover, 5) as cover from stroke_cells where cover > 0.001")
