@@ -127,15 +127,32 @@ def lattice(ix: Column, iy: Column) -> Column:
     return F.element_at(F.lit(_LATTICE), (iy * LATTICE_SIDE + ix + 1).cast("int"))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluates ``value`` once per row; used twice in a plain expression it would be copied."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def grain(tx: Column, ty: Column) -> Column:
     """Value noise at a texel of the tip texture, contrast stretched around one half."""
-    step = GRAIN_FREQ / TIP_SIZE
-    fx, fy = tx * F.lit(step), ty * F.lit(step)
-    ix, iy = F.floor(fx), F.floor(fy)
-    sx, sy = smoothstep(0.0, 1.0, fx - ix), smoothstep(0.0, 1.0, fy - iy)
-    top = mix(lattice(ix, iy), lattice(ix + 1, iy), sx)
-    bottom = mix(lattice(ix, iy + 1), lattice(ix + 1, iy + 1), sx)
-    n = mix(top, bottom, sy)
+    step = F.lit(GRAIN_FREQ / TIP_SIZE)
+
+    def cell(p: Column) -> Column:
+        ix, iy = F.floor(p["x"]), F.floor(p["y"])
+        return F.struct(
+            ix.alias("ix"),
+            iy.alias("iy"),
+            smoothstep(0.0, 1.0, p["x"] - ix).alias("sx"),
+            smoothstep(0.0, 1.0, p["y"] - iy).alias("sy"),
+        )
+
+    def noise(q: Column) -> Column:
+        ix, iy = q["ix"], q["iy"]
+        top = mix(lattice(ix, iy), lattice(ix + 1, iy), q["sx"])
+        bottom = mix(lattice(ix, iy + 1), lattice(ix + 1, iy + 1), q["sx"])
+        return mix(top, bottom, q["sy"])
+
+    at = F.struct((tx * step).alias("x"), (ty * step).alias("y"))
+    n = _let(at, lambda p: _let(cell(p), noise))
     return clamp((n - 0.5) * F.lit(GRAIN_CONTRAST) + 0.5, 0.0, 1.0)
 
 

@@ -23,7 +23,9 @@ def dab_pixels(dabs: DataFrame) -> DataFrame:
     """Pixels under every dab with their coverage (tip shape times dab alpha).
 
     A range join written as an expansion: each dab lists the pixels of its own box, clamped to
-    the canvas (``width``, ``height`` on the row), so no pair is formed outside it.
+    the canvas (``width``, ``height`` on the row), so no pair is formed outside it.  Box corners
+    outside the disc come with coverage 0, which changes neither the maximum nor the product; a
+    filter here would copy the whole tip expression below the projection.
     """
     half = F.col("size") / 2
     usable = (half > 0) & ~F.isnan("size") & ~F.isnan("x") & ~F.isnan("y")
@@ -36,10 +38,7 @@ def dab_pixels(dabs: DataFrame) -> DataFrame:
     cells = dabs.withColumn("px", F.explode(span("x", "width"))).withColumn("py", F.explode(span("y", "height")))
     dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
     cos, sin = F.cos("angle"), F.sin("angle")
-    # Every tip is empty outside its disc.  The filter is on the distance and not on the coverage,
-    # which would be pushed below and repeat the whole tip shape.
-    disc = cells.where(F.hypot(dx, dy) / half < 1.0)
-    local = disc.withColumn("_u", (dx * cos + dy * sin) / half).withColumn("_v", (dy * cos - dx * sin) / half)
+    local = cells.withColumn("_u", (dx * cos + dy * sin) / half).withColumn("_v", (dy * cos - dx * sin) / half)
     return local.withColumn(
         "cover", tip_coverage(F.col("tip"), F.col("_u"), F.col("_v")) * F.col("alpha")
     ).drop("width", "height", "_u", "_v")
@@ -56,7 +55,7 @@ def stroke_coverage(cells: DataFrame, *keys: str) -> DataFrame:
         F.first("build_up").alias("build_up"),
     )
     cover = F.when(F.col("build_up"), F.lit(1.0) - F.col("_rest")).otherwise(F.col("_max"))
-    return grouped.select(*keys, "x", "y", cover.alias("cover"))
+    return grouped.where("_max > 0").select(*keys, "x", "y", cover.alias("cover"))
 
 
 def region_mask(strict: Column, label: Column, active: Column) -> Column:

@@ -5,6 +5,7 @@ from tessella.plans import (  # noqa: F401
     quality_queries,
     raster_queries,
     scalar_queries,
+    stream_queries,
     stroke_queries,
     views,
 )

@@ -125,9 +125,17 @@ def stroke_bounds(spark, sf):
     return K.stroke_bounds(dabs(spark, sf)).select("stroke_id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], "dabs")
 
 
-@query("dab_pixels", "select dab_no, px, py, round(cover, 5) as cover from dab_cells")
+@query(
+    "dab_pixels",
+    "select dab_no, count(*) as pixels, round(sum(cover), 4) as cover, round(sum(cover * px), 3) as cx, round(sum(cover * py), 3) as cy from dab_cells where cover > 1e-9 group by dab_no",
+)
 def dab_pixels(spark, sf):
-    return P.dab_pixels(dabs(spark, sf)).select("dab_no", "px", "py", F.round("cover", 5).alias("cover"))
+    """Pixels under every dab, with total and first moments of the coverage."""
+    c = F.col("cover")
+    return P.dab_pixels(dabs(spark, sf)).groupBy("dab_no").agg(
+        F.count_if(c > 1e-9).alias("pixels"), F.round(F.sum(c), 4).alias("cover"),
+        F.round(F.sum(c * F.col("px")), 3).alias("cx"), F.round(F.sum(c * F.col("py")), 3).alias("cy"),
+    )
 
 
 @query("stroke_coverage", "select image_id, stroke_id, x, y, round(cover, 5) as cover from stroke_cells where cover > 0.001")
