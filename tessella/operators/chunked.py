@@ -145,3 +145,12 @@ def spread_join(
     salted = rows.withColumn("_chunk", chunk)
     spots = salted.select(*keys, "_chunk").distinct().join(table, keys)
     return salted.join(spots, [*keys, "_chunk"], how).drop("_chunk")
+
+
+def fan_out(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Hash partitioning that adaptive execution does not merge.
+
+    Rows ahead of a Python stage are small in bytes and heavy in work: merged by size, they
+    would end up in a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

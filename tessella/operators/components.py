@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.color import idiv
 from tessella.functions.shape import ROW_SHIFT
-from tessella.operators.chunked import attach_totals
+from tessella.operators.chunked import attach_totals, fan_out
 from tessella.session import materialize
 
 TILE = 256
@@ -174,7 +174,8 @@ def components(
         cls.cast("long").alias("cls"),
     ).where("cls is not null")
     local = (
-        cells.groupBy("image_id", idiv("x", tile).alias("tx"), idiv("y", tile).alias("ty"))
+        fan_out(cells.withColumn("tx", idiv("x", tile)).withColumn("ty", idiv("y", tile)), "image_id", "tx", "ty")
+        .groupBy("image_id", "tx", "ty")
         .applyInArrow(_label_tile, _LOCAL_SCHEMA)
     )
     local = materialize(local, "tiles")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from tessella.functions.color import idiv
 from tessella.functions.shape import ROW_SHIFT, raster_key
-from tessella.operators.chunked import attach_totals, previous, row_numbers, running, seq_block
+from tessella.operators.chunked import attach_totals, fan_out, previous, row_numbers, running, seq_block
 
 # Fixed values of the run format.
 MAGIC = b"CLR1"
@@ -209,8 +209,7 @@ def content_hash(entries: DataFrame) -> DataFrame:
         entries, ["image_id", "entry"], seq_block("chunk_no"), {"total": ("sum", F.length("data").cast("long"))}
     )
     return (
-        rows.select("image_id", "entry", "name", "chunk_no", "data", "total")
-        .repartition("image_id")
+        fan_out(rows.select("image_id", "entry", "name", "chunk_no", "data", "total"), "image_id")
         .sortWithinPartitions("image_id", "entry", "chunk_no")
         .mapInPandas(_hash_entries, "image_id long, content_hash string")
     )

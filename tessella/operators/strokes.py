@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.chunked import attach_totals, previous, seq_block
+from tessella.operators.chunked import attach_totals, fan_out, previous, seq_block
 from tessella.operators.presets import preset_rows
 
 # Fixed values of the stroke pipeline.
@@ -357,12 +357,10 @@ def predicted_samples(samples: DataFrame) -> DataFrame:
 
 
 def _sorted(samples: DataFrame, *extra: str) -> DataFrame:
-    return (
-        real_samples(samples)
-        .select("stroke_id", "seq", *[F.col(c).cast("double").alias(c) for c in _FOLD_IN], *extra)
-        .repartition("stroke_id")
-        .sortWithinPartitions("stroke_id", "seq")
+    rows = real_samples(samples).select(
+        "stroke_id", "seq", *[F.col(c).cast("double").alias(c) for c in _FOLD_IN], *extra
     )
+    return fan_out(rows, "stroke_id").sortWithinPartitions("stroke_id", "seq")
 
 
 def smooth(samples: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.plans import views as V
 from tessella.plans.registry import query
+from tessella.session import scratch_dir
 from tessella.streaming import documents as SD
 from tessella.streaming import strokes as SS
 
@@ -62,9 +65,7 @@ def stream_dabs(spark, sf):
             "predicted", "brush", "cast(size as double) as size", "seed",
         )
     )
-    from tessella.session import scratch_dir
-
-    folder = f"{scratch_dir(spark)}/stroke-events-{abs(hash(sf))}"
+    folder = f"{scratch_dir(spark)}/stroke-events-{uuid.uuid4().hex}"
     events.write.mode("overwrite").parquet(folder)
     out = SD.run_to_table(SS.stream_dabs(SD.read_files(spark, folder, events.schema)), "dabs")
     return SS.committed(spark.read.parquet(out)).select(
