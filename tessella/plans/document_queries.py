@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessella.operators import documents as D
 from tessella.operators import gallery as G
@@ -345,5 +344,3 @@ def state_cover(spark, sf):
     )
     return G.state_gaps(i)
 
-
-_ = W

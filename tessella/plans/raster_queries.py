@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import color as C
-from tessella.functions import shape as S
 from tessella.operators import labels as L
 from tessella.operators import painting as P
 from tessella.operators import regions as R
@@ -405,5 +404,3 @@ def image_summary(spark, sf):
         "regions", "smallest", "tiny_warning",
     )
 
-
-_ = S

@@ -24,6 +24,9 @@ def local_session(app: str = "tessella", cores: str = "*", partitions: int = 8)
     )
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
@@ -35,8 +38,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL_SCRATCH.get(app) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _LOCAL_SCRATCH[app] = base
     return f"{base}/{spark.sparkContext.applicationId}"
 
 
