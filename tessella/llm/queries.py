@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import packing, pii
+from tessella.llm import packing, pii, quality
 from tessella.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,5 +21,11 @@ def op3_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op3_slack_packing"] = op3_slack_packing
+QUERIES["op5_quality_rules"] = op5_quality_rules
+SQL["op5_quality_rules"] = quality.quality_sql()
