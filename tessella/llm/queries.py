@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import packing, pii, quality, simhash, suffix_index
+from tessella.llm import decontaminate, packing, pii, quality, simhash, suffix_index
 from tessella.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,9 +33,14 @@ def op8_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.repeats_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op3_slack_packing"] = op3_slack_packing
 QUERIES["op5_quality_rules"] = op5_quality_rules
 SQL["op5_quality_rules"] = quality.quality_sql()
 QUERIES["op10_simhash_pivots"] = op10_simhash_pivots
 QUERIES["op8_suffix_family"] = op8_suffix_family
+QUERIES["op9_seeded_alignment"] = op9_seeded_alignment
