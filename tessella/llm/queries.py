@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, packing, pii, quality, simhash, suffix_index
+from tessella.llm import (
+    decontaminate,
+    packing,
+    pii,
+    quality,
+    simhash,
+    suffix_index,
+    token_output,
+    toxicity,
+)
 from tessella.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +46,14 @@ def op9_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.rows_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op3_slack_packing"] = op3_slack_packing
 QUERIES["op5_quality_rules"] = op5_quality_rules
@@ -44,3 +61,5 @@ SQL["op5_quality_rules"] = quality.quality_sql()
 QUERIES["op10_simhash_pivots"] = op10_simhash_pivots
 QUERIES["op8_suffix_family"] = op8_suffix_family
 QUERIES["op9_seeded_alignment"] = op9_seeded_alignment
+QUERIES["op6_token_rows"] = op6_token_rows
+QUERIES["op7_toxicity_subwords"] = op7_toxicity_subwords
