@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import (
     decontaminate,
+    licenses,
     packing,
     pii,
     quality,
+    secrets,
     simhash,
     suffix_index,
     token_output,
@@ -54,6 +56,14 @@ def op7_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op3_slack_packing"] = op3_slack_packing
 QUERIES["op5_quality_rules"] = op5_quality_rules
@@ -63,3 +73,5 @@ QUERIES["op8_suffix_family"] = op8_suffix_family
 QUERIES["op9_seeded_alignment"] = op9_seeded_alignment
 QUERIES["op6_token_rows"] = op6_token_rows
 QUERIES["op7_toxicity_subwords"] = op7_toxicity_subwords
+QUERIES["op2_license_compression"] = op2_license_compression
+QUERIES["op4_secret_field"] = op4_secret_field
