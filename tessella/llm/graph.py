@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialize
+from tessella.llm.common import written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ends when the links are stars: every node has one link, and no root has one itself.
     """
     x, y = F.col(a), F.col(b)
-    links = materialize(
+    links = written(
         links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "links"
     )
     while not is_stars(links):
@@ -25,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        links = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -155,6 +155,18 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     )
 
 
+def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df`` whose text passes every rule, as they are.
+
+    A filter on the verdict would be pushed below the projections, where every use of a word would split the
+    text again; a verdict that also looks at the row's number stays where it is.
+    """
+    rows = df.select(F.struct("*").alias(f"{PRE}row"), F.col(text_col).alias(f"{PRE}body"))
+    judged = judge(rows, f"{PRE}row", f"{PRE}body", rules)
+    verdict = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return judged.select(f"{PRE}row", verdict.alias(f"{PRE}kept")).where(f"{PRE}kept").select(f"{PRE}row.*")
+
+
 def quality_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return judge(df, id_col, text_col).select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

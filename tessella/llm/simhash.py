@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import PRE, keyed_text
+from tessella.llm.common import PRE, keyed_text, written
 from tessella.llm.graph import components
-from tessella.session import materialize
 
 SEED = 42
 BITS = 4
@@ -38,6 +37,7 @@ BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 EQUAL_BLOCKS = 3
 PIVOTS = 32
 SMALL_RUN = 8
+COMPONENT = f"{PRE}component"
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -74,6 +74,20 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def with_fingerprints(df: DataFrame, text_col: str, words: int = 4) -> DataFrame:
+    """``df`` with a fingerprint for each row, whatever its columns."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py() or "", words) for t in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, f"{PRE}print"]
+            )
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(f"{PRE}print", T.LongType())]))
+
+
 def block_masks() -> list[int]:
     edges = list(accumulate(BLOCKS, initial=0))
     blocks = [((1 << n) - 1) << at for n, at in zip(BLOCKS, edges)]
@@ -188,18 +202,25 @@ def near_links(prints: DataFrame, column: str, bits: int = BITS) -> DataFrame:
 
 
 def labelled(prints: DataFrame, id_col: str, bits: int = BITS) -> DataFrame:
-    """``prints`` (a written table of keys and fingerprints) with the smallest key of each row's component."""
+    """``prints`` (a written table of keys and fingerprints) with the smallest key of each row's component (``COMPONENT``)."""
     own = f"{PRE}print"
-    distinct = materialize(prints.groupBy(own).agg(F.min(id_col).alias(f"{PRE}least")), "prints")
+    distinct = written(prints.groupBy(own).agg(F.min(id_col).alias(f"{PRE}least")), "prints")
     roots = components(near_links(distinct.select(own), own, bits)).select(F.col("node").alias(own), F.col("root").alias(f"{PRE}root"))
     roots = distinct.join(roots, own, "left").withColumn(f"{PRE}root", F.coalesce(f"{PRE}root", own))
-    least = roots.groupBy(f"{PRE}root").agg(F.min(f"{PRE}least").alias("component_id"))
-    return prints.join(roots.join(least, f"{PRE}root").select(own, "component_id"), own)
+    least = roots.groupBy(f"{PRE}root").agg(F.min(f"{PRE}least").alias(COMPONENT))
+    return prints.join(roots.join(least, f"{PRE}root").select(own, COMPONENT), own)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
     """One row per input row: key, ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
-    prints = materialize(fingerprints(df, id_col, text_col, words), "fingerprints")
+    prints = written(fingerprints(df, id_col, text_col, words), "fingerprints")
     return labelled(prints, id_col, bits).select(
-        id_col, F.lower(F.lpad(F.hex(f"{PRE}print"), 16, "0")).alias("fingerprint"), "component_id"
+        id_col, F.lower(F.lpad(F.hex(f"{PRE}print"), 16, "0")).alias("fingerprint"), F.col(COMPONENT).alias("component_id")
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
+    """The rows of ``df``, one of each component: the one with the smallest key, of equal keys any one."""
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = written(with_fingerprints(df, text_col, words).withColumn(f"{PRE}rank", rank), "ranked")
+    return labelled(rows, f"{PRE}rank", bits).where(F.col(f"{PRE}rank") == F.col(COMPONENT)).select(*df.columns)

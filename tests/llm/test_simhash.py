@@ -65,7 +65,7 @@ def test_components_equal_all_pairs(spark):
     prints = {i: p for i, p in enumerate(near_set(rng, 300) + crowd + [0, 1, 3, (1 << 64) - 1, 1 << 63])}
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()]
     df = spark.createDataFrame(rows, f"doc_id long, {simhash.PRE}print long").repartition(4)
-    got = {r.doc_id: r.component_id for r in simhash.labelled(df, "doc_id").collect()}
+    got = {r.doc_id: r[simhash.COMPONENT] for r in simhash.labelled(df, "doc_id").collect()}
     assert got == brute_components(prints)
     links = simhash.near_links(df.select(f"{simhash.PRE}print").distinct(), f"{simhash.PRE}print").count()
     assert links < 4 * len(rows)  # a crowd gives no pairs
@@ -98,6 +98,10 @@ def test_rows(spark):
     want_near = brute_components({5: brute_print(text), 9: brute_print(rows[4][1])})[9] == 5
     assert got == sorted([(5, 3), (3, 3), (3, 3), (None, 3), (9, 3 if want_near else 9), (7, 7), (8, 7), (1, 1)], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([3, 7, 1] + ([] if want_near else [9]))
+    assert simhash.one_of_each(df.limit(0)).count() == 0
     alone = simhash.near_duplicates(df.where(F.col("doc_id").isNull())).first()
     assert alone.component_id is None
 
