@@ -5,6 +5,9 @@ into chunks by a column that is monotone in the order and holds a bounded number
 (a block of 65,536 consecutive sequence numbers, a row of pixels, a tile).  The heavy work
 happens per ``(keys, chunk)``; only one summary row per chunk is windowed over the whole key,
 and the carry is joined back on ``(keys, chunk)``, the partitioning the rows already have.
+
+``(keys, chunk)`` is one struct column, ``_spot``: structs are equal where their fields are, NULL fields
+included, so rows with a NULL key or a NULL order form groups like any other and none is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +30,15 @@ def seq_block(seq: str | Column, rows: int = SEQ_BLOCK) -> Column:
     return F.floor(seq / F.lit(rows)).cast("long")
 
 
+def _spots(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    return df.withColumn("_spot", F.struct(*[F.col(k).alias(k) for k in keys], chunk.alias("_chunk")))
+
+
+def _whole(keys: Sequence[str]):
+    """Window over the summary rows of a whole key."""
+    return W.partitionBy(*[F.col("_spot")[k] for k in keys])
+
+
 def attach_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,42 +46,29 @@ def attach_totals(
     aggs: Mapping[str, tuple[str, Column]],
 ) -> DataFrame:
     """Add whole-key aggregates to every row; ``aggs`` maps name to (kind, expression)."""
-    keys = list(keys)
-    rows = df.withColumn("_chunk", chunk)
-    parts = rows.groupBy(*keys, "_chunk").agg(
+    rows = _spots(df, keys, chunk)
+    parts = rows.groupBy("_spot").agg(
         *[PARTIAL[kind](expr).alias(f"_p_{name}") for name, (kind, expr) in aggs.items()]
     )
-    whole = W.partitionBy(*keys)
     totals = parts.select(
-        *keys,
-        "_chunk",
-        *[COMBINE[kind](f"_p_{name}").over(whole).alias(name) for name, (kind, _) in aggs.items()],
+        "_spot", *[COMBINE[kind](f"_p_{name}").over(_whole(keys)).alias(name) for name, (kind, _) in aggs.items()]
     )
-    return _join_back(rows, totals, keys).drop("_chunk")
-
-
-def _join_back(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Plain equality keeps the hash partitioning the rows already have; keys are never NULL."""
-    return rows.join(summary, [*keys, "_chunk"], "inner")
+    return rows.join(totals, "_spot").drop("_spot")
 
 
 def row_numbers(
     df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], name: str
 ) -> DataFrame:
     """Zero-based position inside the key, in ``order`` (``chunk`` must be monotone in it)."""
-    keys = list(keys)
-    rows = df.withColumn("_chunk", chunk)
-    parts = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = parts.select(
-        *keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
-    )
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    numbered = rows.withColumn("_rn", F.row_number().over(inside))
+    rows = _spots(df, keys, chunk)
+    parts = rows.groupBy("_spot").agg(F.count(F.lit(1)).alias("_n"))
+    before = _whole(keys).orderBy("_spot._chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = parts.select("_spot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = rows.withColumn("_rn", F.row_number().over(W.partitionBy("_spot").orderBy(*order)))
     return (
-        _join_back(numbered, carry, keys)
+        numbered.join(carry, "_spot")
         .withColumn(name, (F.col("_base") + F.col("_rn") - 1).cast("long"))
-        .drop("_chunk", "_base", "_rn")
+        .drop("_spot", "_base", "_rn")
     )
 
 
@@ -81,22 +80,19 @@ def running(
     specs: Mapping[str, tuple[str, Column]],
 ) -> DataFrame:
     """Running ``sum``/``min``/``max`` inside the key, current row included."""
-    keys = list(keys)
-    rows = df.withColumn("_chunk", chunk)
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    parts = rows.groupBy(*keys, "_chunk").agg(
+    rows = _spots(df, keys, chunk)
+    inside = W.partitionBy("_spot").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = _whole(keys).orderBy("_spot._chunk").rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy("_spot").agg(
         *[PARTIAL[kind](expr).alias(f"_p_{name}") for name, (kind, expr) in specs.items()]
     )
     carry = parts.select(
-        *keys,
-        "_chunk",
-        *[COMBINE[kind](f"_p_{n}").over(before).alias(f"_c_{n}") for n, (kind, _) in specs.items()],
+        "_spot", *[COMBINE[kind](f"_p_{n}").over(before).alias(f"_c_{n}") for n, (kind, _) in specs.items()]
     )
     local = rows.select(
         "*", *[PARTIAL[kind](expr).over(inside).alias(f"_l_{n}") for n, (kind, expr) in specs.items()]
     )
-    out = _join_back(local, carry, keys)
+    out = local.join(carry, "_spot")
     for n, (kind, _) in specs.items():
         a, b = F.col(f"_c_{n}"), F.col(f"_l_{n}")
         if kind in ("sum", "count"):
@@ -104,7 +100,7 @@ def running(
         else:
             total = (F.least if kind == "min" else F.greatest)(a, b)
         out = out.withColumn(n, total)
-    return out.drop("_chunk", *[f"_{p}_{n}" for n in specs for p in "cl"])
+    return out.drop("_spot", *[f"_{p}_{n}" for n in specs for p in "cl"])
 
 
 def previous(
@@ -114,20 +110,16 @@ def previous(
     order_by: str,
     cols: Mapping[str, str],
 ) -> DataFrame:
-    """``lag(1)`` of columns inside the key; ``cols`` maps output name to source column."""
-    keys = list(keys)
-    rows = df.withColumn("_chunk", chunk)
+    """``lag(1)`` of columns inside the key; ``cols`` maps output name to source column.
+
+    Rows whose order is NULL come first, in their own chunk.
+    """
     packed = F.struct(F.lit(True).alias("_some"), *[F.col(src).alias(out) for out, src in cols.items()])
-    rows = rows.withColumn("_row", packed)
-    last = rows.groupBy(*keys, "_chunk").agg(F.max_by("_row", order_by).alias("_last"))
-    carry = last.select(
-        *keys,
-        "_chunk",
-        F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_carry"),
-    )
-    inside = W.partitionBy(*keys, "_chunk").orderBy(order_by)
-    local = rows.withColumn("_prev", F.lag("_row").over(inside))
-    out = _join_back(local, carry, keys).withColumn("_prev", F.coalesce("_prev", "_carry"))
+    rows = _spots(df, keys, chunk).withColumn("_row", packed)
+    last = rows.groupBy("_spot").agg(F.max_by("_row", F.struct(order_by)).alias("_last"))
+    carry = last.select("_spot", F.lag("_last").over(_whole(keys).orderBy("_spot._chunk")).alias("_carry"))
+    local = rows.withColumn("_prev", F.lag("_row").over(W.partitionBy("_spot").orderBy(order_by)))
+    out = local.join(carry, "_spot").withColumn("_prev", F.coalesce("_prev", "_carry"))
     return out.select(
         *df.columns, *[F.col(f"_prev.{name}").alias(name) for name in cols]
     )
@@ -139,10 +131,11 @@ def spread_join(
     """Join a per-key table to rows of which one key may hold a large share.
 
     The table is first given one copy per (key, chunk) that occurs, so that the rows of a hot
-    key meet it in as many tasks as the key has chunks.
+    key meet it in as many tasks as the key has chunks.  A NULL key meets nothing, as in any join;
+    a NULL chunk is a chunk, as its hash is not NULL.
     """
     keys = list(keys)
-    salted = rows.withColumn("_chunk", chunk)
+    salted = rows.withColumn("_chunk", F.xxhash64(chunk))
     spots = salted.select(*keys, "_chunk").distinct().join(table, keys)
     return salted.join(spots, [*keys, "_chunk"], how).drop("_chunk")
 

@@ -67,7 +67,7 @@ def stream_dabs(spark, sf):
     )
     folder = f"{scratch_dir(spark)}/stroke-events-{uuid.uuid4().hex}"
     events.write.mode("overwrite").parquet(folder)
-    out = SD.run_to_table(SS.stream_dabs(SD.read_files(spark, folder, events.schema)), "dabs")
+    out = SD.run_to_table(SS.stream_dabs(SD.read_files(spark, folder, events.schema), idle_ms=None), "dabs")
     return SS.committed(spark.read.parquet(out)).select(
         "stroke_id", "dab_no", *[F.round(c, 3).alias(c) for c in ("x", "y", "size", "alpha")]
     )

@@ -119,14 +119,27 @@ def read_pixels(spark: SparkSession, root: str) -> DataFrame:
     return expand_channels(raw, F.col("mode")).drop("mode")
 
 
+def _images(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*")
+
+
+def unreadable_images(spark: SparkSession, root: str) -> DataFrame:
+    """One ``source-unreadable`` row for each file below ``root`` that is no image."""
+    bad = _images(spark, root).where("width <= 0 or height <= 0")
+    return bad.select(
+        F.regexp_extract("origin", _PATH, 1).alias("folder_id"),
+        F.regexp_extract("origin", _PATH, 2).alias("layer"),
+        F.lit("source-unreadable").alias("code"),
+    )
+
+
 def image_source_pixels(spark: SparkSession, root: str) -> DataFrame:
     """Pixels of compressed images through Spark's ``image`` source (no alpha in it for RGB).
 
-    The source stores BGR(A) bytes row by row; they are expanded in the JVM.
+    The source stores BGR(A) bytes row by row; they are expanded in the JVM.  Files that do not decode
+    have no pixels; ``unreadable_images`` lists them.
     """
-    files = (
-        spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root).select("image.*")
-    )
+    files = _images(spark, root).where("width > 0 and height > 0")
     pixel = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
     cells = files.select("origin", "width", "nChannels", "data", pixel.alias("i"))
 

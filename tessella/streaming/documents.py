@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from tessella.session import scratch_dir
 
 
-def read_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", per_batch: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+def read_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
+    """The files of a folder as a stream; ``per_batch`` of them in a micro-batch, all there are by default."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(folder)
 
 
 def run_to_table(df: DataFrame, label: str, mode: str = "append", by_batch=None) -> str:

@@ -18,9 +18,11 @@ EVENT_SCHEMA = (
     "radius double, predicted boolean, brush string, size double, seed long"
 )
 OUT_SCHEMA = (
-    "stroke_id long, dab_no long, x double, y double, size double, angle double, alpha double, state string"
+    "stroke_id long, dab_no long, x double, y double, size double, angle double, alpha double, state string, epoch long"
 )
-_OUT = ["stroke_id", "dab_no", "x", "y", "size", "angle", "alpha", "state"]
+_OUT = ["stroke_id", "dab_no", "x", "y", "size", "angle", "alpha", "state", "epoch"]
+#: A stroke without an event for so long is abandoned and its state dropped.
+IDLE_MS = 3_600_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,18 +36,24 @@ class StrokeProcessor(StatefulProcessor):
 
     Rows are ``wet`` for dabs of real samples, ``predicted`` for dabs of a copied state that is
     thrown away, and one ``done`` marker with the number of dabs when the stroke ends.  A begin
-    discards what was open, samples without a begin are ignored, a cancel emits nothing.
+    discards what was open, samples without a begin are ignored, a cancel emits nothing.  Rows carry
+    the number of the begin event as their ``epoch``, so that dabs of a discarded attempt are told
+    from those of the next.  The state of a stroke without events expires.
     """
 
+    def __init__(self, predictions: bool = False, idle_ms: int | None = IDLE_MS):
+        self._predictions, self._idle_ms = predictions, idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("fold", StructType([StructField("json", StringType())]))
+        schema = StructType([StructField("json", StringType())])
+        self._state = handle.getValueState("fold", schema, ttlDurationMs=self._idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stroke = int(key[0])
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        fold = meta = None
+        fold = meta = epoch = None
         if self._state.exists():
-            meta, state = json.loads(self._state.get()[0])
+            meta, state, epoch = json.loads(self._state.get()[0])
             fold = StrokeFold(*meta).load(state)
         out: list[tuple] = []
         guessed: list[tuple] = []
@@ -57,7 +65,7 @@ class StrokeProcessor(StatefulProcessor):
             if kind == "begin":
                 last = part.iloc[-1:]
                 meta = [last["brush"].iloc[0], float(last["size"].iloc[0]), int(last["seed"].iloc[0])]
-                fold, part = StrokeFold(*meta), last
+                fold, part, epoch = StrokeFold(*meta), last, int(last["seq"].iloc[0])
             if fold is None:
                 continue
             if kind in ("begin", "append"):
@@ -65,35 +73,40 @@ class StrokeProcessor(StatefulProcessor):
                     guessed = copy.deepcopy(fold).push(stroke, part)
                 else:
                     guessed = []
-                    out += [(*d, "wet") for d in fold.push(stroke, part)]
+                    out += [(*d, "wet", epoch) for d in fold.push(stroke, part)]
             elif kind == "end":
-                out += [(*d, "wet") for d in fold.finish(stroke)]
-                out.append((stroke, fold.made, None, None, None, None, None, "done"))
+                out += [(*d, "wet", epoch) for d in fold.finish(stroke)]
+                out.append((stroke, fold.made, None, None, None, None, None, "done", epoch))
                 fold, guessed = None, []
             else:
                 fold, guessed = None, []
-        out += [(*d, "predicted") for d in guessed]
+        if self._predictions:
+            out += [(*d, "predicted", epoch) for d in guessed]
         if fold is None:
             self._state.clear()
         else:
-            self._state.update((json.dumps([meta, fold.state()]),))
+            self._state.update((json.dumps([meta, fold.state(), epoch]),))
         yield pd.DataFrame(out, columns=_OUT)
 
     def close(self) -> None:
         pass
 
 
-def stream_dabs(events: DataFrame) -> DataFrame:
-    """Dabs of a stream of ``EVENT_SCHEMA`` rows."""
+def stream_dabs(events: DataFrame, predictions: bool = False, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Dabs of a stream of ``EVENT_SCHEMA`` rows; with ``predictions``, for a display, those of guessed samples too.
+
+    Expiry needs processing time, with which a stream never runs out of batches: a replay that is to end
+    with its input passes ``idle_ms=None``.
+    """
     return events.groupBy("stroke_id").transformWithStateInPandas(
-        statefulProcessor=StrokeProcessor(),
+        statefulProcessor=StrokeProcessor(predictions, idle_ms),
         outputStructType=OUT_SCHEMA,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
 
 
 def committed(dabs: DataFrame) -> DataFrame:
-    """Dabs of ended strokes only, from the written output of the stream."""
-    done = dabs.where("state = 'done'").select("stroke_id").distinct()
-    return dabs.where("state = 'wet'").join(done, "stroke_id", "left_semi").drop("state")
+    """Dabs of attempts that ended, from the written output of the stream."""
+    done = dabs.where("state = 'done'").select("stroke_id", "epoch").distinct()
+    return dabs.where("state = 'wet'").join(done, ["stroke_id", "epoch"], "left_semi").drop("state")

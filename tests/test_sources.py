@@ -39,8 +39,8 @@ def test_stroke_stream_sessions_and_predictions(spark, tmp_path):
     second += [row(2, 2, "cancel", 0), row(3, 1, "end", 0)]
     for n, rows in enumerate((first, second)):
         spark.createDataFrame(rows, SS.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    events = SD.read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], SS.EVENT_SCHEMA).schema)
-    out = spark.read.parquet(SD.run_to_table(SS.stream_dabs(events), "test-dabs"))
+    events = SD.read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], SS.EVENT_SCHEMA).schema, per_batch=1)
+    out = spark.read.parquet(SD.run_to_table(SS.stream_dabs(events, predictions=True, idle_ms=None), "test-dabs"))
     got = SS.committed(out)
     assert {r["stroke_id"] for r in got.select("stroke_id").distinct().collect()} == {1}
     assert out.where("stroke_id = 1 and state = 'predicted'").count() > 0
@@ -57,7 +57,18 @@ def test_stroke_stream_sessions_and_predictions(spark, tmp_path):
 def test_idle_sessions(spark, tmp_path):
     rows = [(1, 0.0), (1, 2.0), (1, 7.0), (1, 60.0)]
     spark.createDataFrame(rows, "doc_id long, ts double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = SD.read_files(spark, str(tmp_path / "in"), "doc_id long, ts double")
+    stream = SD.read_files(spark, str(tmp_path / "in"), "doc_id long, ts double", per_batch=1)
     out = SD.run_to_table(SD.stroke_sessions(stream), "idle")
     got = spark.read.parquet(out).orderBy("start").select("events", F.col("end").cast("double")).collect()
     assert [tuple(r) for r in got] == [(2, 5.0), (1, 10.0)]
+
+
+def test_a_file_that_does_not_decode_is_reported(spark, tmp_path):
+    from tessella.sources import assets
+
+    folder = tmp_path / "art-1"
+    folder.mkdir()
+    (folder / "lineart.png").write_bytes(b"no image at all")
+    bad = assets.unreadable_images(spark, str(tmp_path)).collect()
+    assert [(r.folder_id, r.code) for r in bad] == [("art-1", "source-unreadable")]
+    assert assets.image_source_pixels(spark, str(tmp_path)).count() == 0
