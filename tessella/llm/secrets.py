@@ -295,7 +295,8 @@ def training_words(df: DataFrame, text_col: str) -> list[str]:
     """Words of a bounded sample of the texts' lines, chosen by hash; tokens with digits are left out."""
     lines = keyed_text(df, text_col, text_col).select(F.explode(F.split(f"{PRE}text", "\n", -1)).alias("t"))
     lines = lines.where(F.length("t").between(20, 2000)).select(F.xxhash64("t").alias("h"), "t")
-    sample = [r.t for r in lines.orderBy("h", "t").limit(SAMPLE).collect()]
+    least = lines.orderBy("h", "t").limit(SAMPLE).repartition(1)  # one task keeps the least, not the driver
+    sample = [r.t for r in least.collect()]
     words = [w for t in sample for w in _TOKEN.findall(t) if not any(c.isdigit() for c in w) and bare(w) not in TELLING]
     return words or ["the", "of", "and", "line"]
 
