@@ -46,6 +46,17 @@ def legal_states(spark: SparkSession) -> DataFrame:
     return grid.where(~is_impossible("download", "work"))
 
 
+def state_counts(items: DataFrame) -> DataFrame:
+    """Every legal state with its number of items, 0 where none shows it."""
+    state = ["entitlement", "download", "work"]
+    counts = items.groupBy(*state).agg(F.count(F.lit(1)).alias("n_items")).alias("c")
+    legal = legal_states(items.sparkSession).alias("l")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in state]
+    return legal.join(counts, same, "left").select(
+        *[F.col(f"l.{c}").alias(c) for c in state], F.coalesce("n_items", F.lit(0)).alias("n_items")
+    )
+
+
 def state_gaps(items: DataFrame) -> DataFrame:
     """Legal states no item shows (``missing``) and states that are not legal (``illegal``)."""
     legal = legal_states(items.sparkSession)

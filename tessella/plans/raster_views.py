@@ -17,11 +17,17 @@ def component_views(name: str, cells: str) -> None:
         left join {name}_cells t on t.image_id = c.image_id and t.x = c.x and t.y = c.y - 1 and t.cls = c.cls
         where l.x is null and t.x is null""",
     )
+    view(
+        f"{name}_next",
+        f"""select a.image_id, a.x, a.y, a.cls, b.x as nx, b.y as ny from
+        (select c.*, c.x + s.dx as tx, c.y + s.dy as ty from {name}_cells c cross join step4 s) a
+        join {name}_cells b on b.image_id = a.image_id and b.x = a.tx and b.y = a.ty and b.cls = a.cls""",
+    )
     view(
         f"{name}_walk",
         f"""select image_id, x, y, cls, {PIX} as root from {name}_starts union
-        select c.image_id, c.x, c.y, c.cls, w.root from {name}_walk w cross join step4 s join {name}_cells c
-        on c.image_id = w.image_id and c.x = w.x + s.dx and c.y = w.y + s.dy and c.cls = w.cls""",
+        select n.image_id, n.nx, n.ny, n.cls, w.root from {name}_walk w join {name}_next n
+        on n.image_id = w.image_id and n.x = w.x and n.y = w.y and n.cls = w.cls""",
     )
     view(
         f"{name}_parts",
