@@ -22,7 +22,6 @@ from tessella.session import materialize
 
 TILE = 256
 EDGE_LIMIT = 2_000_000
-MAX_ROUNDS = 60
 
 _LOCAL_SCHEMA = "image_id long, x int, y int, cls long, root long"
 
@@ -128,20 +127,20 @@ def _resolve_image(table: pa.Table) -> pa.Table:
     )
 
 
-def _star_rounds(current: DataFrame) -> DataFrame:
-    def mark(df: DataFrame):
-        return df.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("image_id", "u", "v").cast("decimal(38,0)"))
-        ).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every ``u`` points one way, and nothing that is pointed at points on."""
+    ends = edges.select("image_id", F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(
+        edges.select("image_id", F.col("v").alias("node"), F.lit(None).cast("int").alias("out")).distinct()
+    )
+    counts = ends.groupBy("image_id", "node").agg(F.count("out").alias("n_out"), F.count(F.lit(1)).alias("n"))
+    return counts.where("n_out > 1 or (n_out = 1 and n > 1)").isEmpty()
 
-    seen = mark(current)
-    for _ in range(MAX_ROUNDS):
+
+def _star_rounds(current: DataFrame) -> DataFrame:
+    """Large and small star until only stars are left; each round lowers a pointer or ends."""
+    while not _settled(current):
         current = materialize(_star(_star(current, large=True), large=False), "stars")
-        now = mark(current)
-        if now == seen:
-            return current
-        seen = now
-    raise RuntimeError("star contraction did not settle")
+    return current
 
 
 def contract(edges: DataFrame, edge_limit: int = EDGE_LIMIT) -> DataFrame:

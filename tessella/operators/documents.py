@@ -294,19 +294,24 @@ def quantize(samples: DataFrame, max_dt: int = 255) -> DataFrame:
     )
 
 
-def delta_encode(rows: DataFrame, cols: Sequence[str] = ("qx", "qy")) -> DataFrame:
-    """Differences to the row before in the stroke; the first row keeps its value."""
-    seen = previous(rows, ["stroke_id"], seq_block("seq"), "seq", {f"_b_{c}": c for c in cols})
+STEP_COLUMNS = ("qx", "qy", "dt", "qp", "qr", "tx", "ty")
+
+
+def delta_encode(rows: DataFrame, cols: Sequence[str] = STEP_COLUMNS) -> DataFrame:
+    """Differences to the row before in the stroke, filler rows included; the first row keeps its value."""
+    placed = rows.withColumn("_at", F.struct("seq", "part"))
+    seen = previous(placed, ["stroke_id"], seq_block("seq"), "_at", {f"_b_{c}": c for c in cols})
     return seen.select(
-        "stroke_id", "seq", *[(F.col(c).cast("int") - F.coalesce(f"_b_{c}", F.lit(0))).alias(f"d_{c}") for c in cols]
+        "stroke_id", "seq", "part",
+        *[(F.col(c).cast("int") - F.coalesce(F.col(f"_b_{c}").cast("int"), F.lit(0))).alias(f"d_{c}") for c in cols],
     )
 
 
-def delta_decode(rows: DataFrame, cols: Sequence[str] = ("qx", "qy")) -> DataFrame:
+def delta_decode(rows: DataFrame, cols: Sequence[str] = STEP_COLUMNS) -> DataFrame:
     summed = running(
-        rows, ["stroke_id"], seq_block("seq"), [F.col("seq")], {c: ("sum", F.col(f"d_{c}")) for c in cols}
+        rows, ["stroke_id"], seq_block("seq"), [F.col("seq"), F.col("part")], {c: ("sum", F.col(f"d_{c}")) for c in cols}
     )
-    return summed.select("stroke_id", "seq", *[F.col(c).cast("int").alias(c) for c in cols])
+    return summed.select("stroke_id", "seq", "part", *[F.col(c).cast("int").alias(c) for c in cols])
 
 
 # --- stroke sessions ------------------------------------------------------------------------

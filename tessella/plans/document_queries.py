@@ -234,27 +234,31 @@ def quantized(spark, sf):
     return D.quantize(s)
 
 
-@query(
-    "quantized_samples",
+view(
+    "steps",
     """select stroke_id, seq, part, parts, qx, qy, least(gap - (part - 1) * 255, 255) as dt, qp, qr, 127 as tx, -7 as ty from
     (select *, greatest((gap + 254) // 255, 1) as parts, unnest(range(1, greatest((gap + 254) // 255, 1) + 1)) as part from quantized)""",
 )
+_STEP = D.STEP_COLUMNS
+
+
+@query("quantized_samples", "select * from steps")
 def quantized_samples(spark, sf):
     return quantized(spark, sf)
 
 
 @query(
     "delta_encoded",
-    """select stroke_id, seq, qx - coalesce(lag(qx) over w, 0) as d_qx, qy - coalesce(lag(qy) over w, 0) as d_qy from quantized
-    window w as (partition by stroke_id order by seq)""",
+    f"select stroke_id, seq, part, {', '.join(f'{c} - coalesce(lag({c}) over w, 0) as d_{c}' for c in _STEP)} from steps "
+    "window w as (partition by stroke_id order by seq, part)",
 )
 def delta_encoded(spark, sf):
-    return D.delta_encode(quantized(spark, sf).where("part = 1"))
+    return D.delta_encode(quantized(spark, sf))
 
 
-@query("delta_decoded", "select stroke_id, seq, qx, qy from quantized")
+@query("delta_decoded", f"select stroke_id, seq, part, {', '.join(_STEP)} from steps")
 def delta_decoded(spark, sf):
-    return D.delta_decode(D.delta_encode(quantized(spark, sf).where("part = 1")))
+    return D.delta_decode(D.delta_encode(quantized(spark, sf)))
 
 
 _SESSION_KIND = "case when event_id % 11 = 0 then 'begin' when event_id % 13 = 0 then 'end' when event_id % 29 = 0 then 'cancel' else 'append' end"
