@@ -235,28 +235,28 @@ def quantized(spark, sf):
 
 
 view(
-    "steps",
+    "stroke_steps",
     """select stroke_id, seq, part, parts, qx, qy, least(gap - (part - 1) * 255, 255) as dt, qp, qr, 127 as tx, -7 as ty from
     (select *, greatest((gap + 254) // 255, 1) as parts, unnest(range(1, greatest((gap + 254) // 255, 1) + 1)) as part from quantized)""",
 )
-_STEP = D.STEP_COLUMNS
+_CODED = D.STEP_COLUMNS
 
 
-@query("quantized_samples", "select * from steps")
+@query("quantized_samples", "select * from stroke_steps")
 def quantized_samples(spark, sf):
     return quantized(spark, sf)
 
 
 @query(
     "delta_encoded",
-    f"select stroke_id, seq, part, {', '.join(f'{c} - coalesce(lag({c}) over w, 0) as d_{c}' for c in _STEP)} from steps "
+    f"select stroke_id, seq, part, {', '.join(f'{c} - coalesce(lag({c}) over w, 0) as d_{c}' for c in _CODED)} from stroke_steps "
     "window w as (partition by stroke_id order by seq, part)",
 )
 def delta_encoded(spark, sf):
     return D.delta_encode(quantized(spark, sf))
 
 
-@query("delta_decoded", f"select stroke_id, seq, part, {', '.join(_STEP)} from steps")
+@query("delta_decoded", f"select stroke_id, seq, part, {', '.join(_CODED)} from stroke_steps")
 def delta_decoded(spark, sf):
     return D.delta_decode(D.delta_encode(quantized(spark, sf)))
 
