@@ -76,6 +76,7 @@ _DOTTED = re.compile(r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ -]?[A-Za-z0-9])")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")
 _NATIONAL = re.compile(r"(?<![\w+.(-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-. ])[2-9][0-9]{2}[-. ][0-9]{4}(?![\w-]|\.[0-9])")
+_PLUS = re.compile(r"\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-])?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])")
 _DOUBLE_ZERO = re.compile(r"(?<![\w+.-])00[1-9][ ().0-9-]{6,20}[0-9](?!\w)")
 _SPELLED_AT = re.compile(r"[(\[{<][Aa][Tt][)\]}>]")
 _SPELLED = re.compile(
@@ -168,8 +169,12 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, float]]:
             for n in (1, 3, 4):
                 if sizes[i : i + n] in CARD_GROUPS or n == 1 and 13 <= sizes[i] <= 19:
                     digits = "".join(text[a:b] for a, b in groups[i : i + n])
-                    if luhn(digits) and issuer(digits):
+                    alone = n == 1 and sizes[i] >= 16  # as good as a base card, but for the numbers beside it
+                    if luhn(digits) and (alone or issuer(digits)):
                         yield "card_other", start, groups[i + n - 1][1], 0.65
+    for m in _PLUS.finditer(text):  # where a base match runs into the next number and fails
+        if 8 <= len(digits_of(m[0])) <= 15:
+            yield "phone_local", m.start(), m.end(), 0.65
     for pattern in (_NATIONAL, _DOUBLE_ZERO):
         for m in pattern.finditer(text):
             if 8 <= len(digits_of(m[0])) <= 17:

@@ -43,6 +43,8 @@ def test_checksums_and_context():
     assert kinds("order 123-45-6789") == []
     assert kinds("amex 378282246310005") == ["card_other"] and kinds("378282246310006") == []
     assert kinds("card 4111 1111 1111 1111 2026") == ["card_other"]
+    beside = "+1 (743) 555-3824 4785380592391139 and 152.143.123.131 1219538112535715"
+    assert [s[:3] for s in pii.entities(beside)] == [("ip", 39, 54), ("card_other", 18, 34), ("card_other", 55, 71), ("phone_local", 0, 17)]
     assert kinds("call 555 234 5678 now") == ["phone_local"] and kinds("555 234 5678") == []
     assert kinds("jo (at) example (dot) org") == ["email_spelled"]
     assert kinds("2001:db8:85a3:0:0:8a2e:370:7334") == ["ipv6"] and kinds("12:30:45") == []
