@@ -297,25 +297,34 @@ def report_text(spark, sf):
     return text.select("image_id", F.col("text").contains("errors").alias("ok"), F.size(F.split("text", "\n")).alias("lines"))
 
 
+def _run_hash(spark, sf, runs):
+    """Hash of the run-length bytes of each image."""
+    images = V.images(spark, sf).selectExpr("image_id", "width * height as pixels")
+    packed = U.run_bytes(runs, images, block=V.TILE)
+    return U.content_hash(packed.select("image_id", F.lit(0).alias("entry"), F.lit("regions.bin").alias("name"), "chunk_no", "data"))
+
+
 @query(
     "pack_integrity",
-    """select image_id, case image_id % 6 when 0 then 'schema-version' when 1 then 'content-hash' when 2 then 'pixel-count' when 3 then 'region-rows' when 4 then 'region-id' end as error from folders""",
+    """select image_id, case image_id % 8 when 0 then 'schema-version' when 1 then 'content-hash' when 2 then 'too-long' when 3 then 'region-rows'
+    when 4 then 'region-id' when 5 then 'too-short' end as error from folders""",
 )
 def pack_integrity(spark, sf):
-    """Sound packs with one kind of damage per image."""
+    """Packs with one kind of damage per image: in the version, in the runs after hashing, in the canvas, in the regions."""
     labels = V.labels_px(spark, sf)
     runs = U.encode_runs(labels)
-    kind = F.col("image_id") % 6
-    manifest = V.images(spark, sf).select(
+    kind = F.col("image_id") % 8
+    manifest = V.images(spark, sf).join(_run_hash(spark, sf, runs), "image_id").select(
         "image_id",
         F.when(kind == 0, "2.0").otherwise("1.0").alias("schema_version"),
-        F.concat(F.lit("sha256:"), F.when(kind == 1, "0").otherwise("1")).alias("content_hash"),
-        F.array(F.when(kind == 2, 15).otherwise(16), F.lit(16)).alias("canvas_size"),
+        "content_hash",
+        F.array(F.when(kind == 2, 15).when(kind == 5, 17).otherwise(16), F.lit(16)).alias("canvas_size"),
         F.when(kind == 4, 15).otherwise(16).cast("long").alias("region_count"),
     )
-    regions = labels.select("image_id", F.col("label").alias("id")).distinct().where("not (image_id % 6 in (3, 4) and id = 7)")
-    hashes = folders(spark, sf).withColumn("content_hash", F.lit("sha256:1"))
-    return packs.integrity(manifest, regions, runs, hashes)
+    regions = labels.select("image_id", F.col("label").alias("id")).distinct().where("not (image_id % 8 in (3, 4) and id = 7)")
+    hit = (kind == 1) & (F.col("run_no") == 0)
+    damaged = runs.withColumn("id", F.when(hit, F.col("id") + 1).otherwise(F.col("id")))
+    return packs.integrity(manifest, regions, damaged, _run_hash(spark, sf, damaged))
 
 
 @query(

@@ -73,12 +73,12 @@ def parse_manifests(documents: DataFrame) -> DataFrame:
 def integrity(manifest: DataFrame, regions: DataFrame, runs: DataFrame, hashes: DataFrame) -> DataFrame:
     """What a reader rejects, per image, in the order it is noticed (NULL when sound).
 
-    ``manifest`` comes from ``parse_manifests``, ``hashes`` holds the recomputed hash.
+    ``manifest`` comes from ``parse_manifests``, ``hashes`` holds the recomputed hash; the runs have to
+    decode to the pixels of the manifest's canvas.
     """
     size = manifest.select("image_id", (F.col("canvas_size")[0].cast("long") * F.col("canvas_size")[1]).alias("pixels"))
     total = runs.groupBy("image_id").agg(F.sum("len").alias("_decoded"), F.max("id").alias("_max_id"))
-    declared = total.select("image_id", F.col("_decoded").alias("pixels"))
-    broken = run_errors(runs, declared).withColumnRenamed("error", "_run_error")
+    broken = run_errors(runs, size).withColumnRenamed("error", "_run_error")
     count = regions.groupBy("image_id").agg(F.count(F.lit(1)).alias("_rows"))
     joined = (
         manifest.join(size, "image_id")
