@@ -52,6 +52,28 @@ def test_dab_counts(path, brush, dabs):
     assert len(run(PATHS[path](), brush)) == dabs
 
 
+# X, y, size, angle and alpha of the first, middle and last dab of known strokes.
+KNOWN = [
+    ("dwell", "airbrush", {0: (200.0000, 200.0000, 18.0000, 0.0000, 0.0520)}),
+    ("dwell", "crayon", {0: (199.7453, 199.0021, 17.4000, 0.6057, 0.3481)}),
+    ("dwell", "marker", {0: (200.0000, 200.0000, 18.6000, 0.0000, 0.9500)}),
+    ("dwell", "soft_round", {0: (200.0000, 200.0000, 16.2000, 0.0000, 0.7000)}),
+    ("dwell", "watercolor", {0: (200.0000, 200.0000, 16.8000, 0.0000, 0.1013)}),
+    ("fast_turn", "crayon", {0: (9.7453, 99.0021, 17.4000, 0.6057, 0.3481), 43: (232.7794, 101.3120, 17.4000, 1.0152, 0.3481), 86: (43.0087, 106.6345, 17.4000, 1.6927, 0.3481)}),
+    ("slow_line", "crayon", {0: (19.7453, 49.0021, 17.4000, 0.6057, 0.3481), 11: (75.5003, 50.2239, 17.4000, 1.6627, 0.3481), 22: (133.3269, 48.7275, 17.4000, -3.1035, 0.3481)}),
+    ("slow_line", "marker", {0: (20.0000, 50.0000, 18.6000, 0.0000, 0.9500), 104: (78.0319, 50.0000, 18.6000, 0.0000, 0.9500), 208: (136.0638, 50.0000, 18.6000, 0.0000, 0.9500)}),
+    ("slow_line", "soft_round", {0: (20.0000, 50.0000, 16.2000, 0.0000, 0.7000), 72: (78.3200, 50.0000, 16.2000, 0.0000, 0.7000), 143: (135.8298, 50.0000, 16.2000, 0.0000, 0.7000)}),
+    ("slow_line", "watercolor", {0: (20.0000, 50.0000, 16.8000, 0.0000, 0.1013), 73: (78.5053, 50.0000, 16.0396, 0.0000, 0.1013), 145: (136.2578, 50.0000, 16.0436, 0.0000, 0.1013)}),
+]
+
+
+@pytest.mark.parametrize("path,brush,dabs", KNOWN)
+def test_dab_values(path, brush, dabs):
+    got = run(PATHS[path](), brush)
+    for i, want in dabs.items():
+        assert got[i][2:7] == pytest.approx(want, abs=1.5e-4)
+
+
 def test_cuts_and_stored_state_do_not_change_the_dabs():
     for brush in preset_rows():
         whole = run(fast_turn(), brush)
