@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment as judge.
+"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman alignment as judge.
 
-The n-grams of the test items are counted over all documents. An item's seeds are the rarer half of its
-n-grams and any other that is in fewer than ``rare_share`` of the documents, so an item that a third of
-the documents hold keeps its seeds. Where a document has a seed, the words around it are aligned with
-the item's (local alignment, linear gaps). A document holds an item if the alignment reaches
-``min_score`` of the item's own score, or ``min_equal`` equal words of which at least ``min_identity`` of
-the aligned stretch; so edited, shortened and paraphrased copies count, chance meetings of frequent
-words do not.
+Every n-gram of a test item is a seed, frequent or not, so a passage that many documents share and a copy of
+any part of an item have theirs. Where a document has a seed, the words around it are aligned with the item's
+(local alignment, linear gaps), unless these words have too few in common with the item, in any order, to reach
+a limit. A document holds an item if the alignment reaches ``min_score`` of the item's own score, or
+``min_equal`` equal words of which at least ``min_identity`` of the aligned stretch; so edited, shortened and
+paraphrased copies count, chance meetings of frequent words do not. A copy in which no n words in a row are
+left of the item has no seed.
 
-Items go to the tasks in blocks of bounded size, each a pass over the documents; documents are not moved.
+Items go to the tasks in blocks of bounded size, each one pass over the documents; documents are not moved.
 
 Cases: null or empty texts and items match nothing, nor do items with fewer words than an n-gram; a null
 key stays null; repeated rows give one result each; items with equal texts each match; empty tables give
@@ -25,14 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import PRE, keyed_text
+from tessella.llm.common import keyed_text
 
 GRAM = 3
-RARE_SHARE = 0.001
 MIN_SCORE, MIN_EQUAL, MIN_IDENTITY = 0.45, 16, 0.7
 EQUAL, DIFFERENT, GAP = 2.0, -2.0, -1.5
 #: N-grams of the items in one block.
@@ -107,10 +105,14 @@ class Items:
         min_score, min_equal, min_identity = limits
         for item, begins in sorted(found.items()):
             length, best = len(self.words[item]), None
-            slack, own = 8 + length // 2, code(self.words[item])
+            slack, own, bag = 8 + length // 2, code(self.words[item]), Counter(self.words[item])
             for begin in windows(begins, slack):
                 lo = max(0, begin[0] - slack)
-                a = align(own, code(words[lo : begin[1] + length + slack]))
+                around = words[lo : begin[1] + length + slack]
+                most = sum((Counter(w for w in around if w in bag) & bag).values())  # equal words of any alignment
+                if most < min_score * length and most < min_equal:
+                    continue
+                a = align(own, code(around))
                 held = a.score >= min_score * EQUAL * length or (
                     a.equal >= min_equal and a.equal >= min_identity * (a.end - a.start)
                 )
@@ -149,31 +151,12 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, n: int) -> Iterato
         yield ids, words
 
 
-def rare_seeds(rows: DataFrame, ids: list, words: list[list[str]], n: int, rare_share: float) -> Items:
-    """Counts the n-grams of the block in all documents and keeps the rare ones as seeds."""
-    places: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+def seeded(ids: list, words: list[list[str]], n: int) -> Items:
+    """The block with every n-gram as a seed."""
+    seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
     for item, ws in enumerate(words):
         for at, gram in enumerate(grams_of(ws, n)):
-            places[gram].append((item, at))
-    number = {gram: i for i, gram in enumerate(places)}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[int] = Counter()
-        for batch in batches:
-            held[-1] += batch.num_rows
-            for text in batch.column(1):
-                held.update({number[g] for g in grams_of(words_of(text.as_py()), n) if g in number})
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
-
-    counts = rows.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    found = {r.gram: r.n for r in counts.collect()}  # a row for each n-gram of the block at most
-    most = rare_share * found.pop(-1, 0)
-    seeds = defaultdict(list)
-    for item, ws in enumerate(words):
-        own = sorted({g for g in grams_of(ws, n)}, key=lambda g: (found.get(number[g], 0), g))
-        for i, gram in enumerate(own):
-            if 2 * i < len(own) or found.get(number[gram], 0) < most:
-                seeds[gram] += [p for p in places[gram] if p[0] == item]
+            seeds[gram].append((item, at))
     return Items(ids, words, dict(seeds))
 
 
@@ -185,7 +168,6 @@ def find_items(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     n: int = GRAM,
-    rare_share: float = RARE_SHARE,
     limits: tuple[float, int, float] = (MIN_SCORE, MIN_EQUAL, MIN_IDENTITY),
 ) -> DataFrame:
     """One row per document and item it holds: keys, ``score`` (1 for an exact copy), ``n_equal`` words, and
@@ -209,7 +191,7 @@ def find_items(
 
     found = df.sparkSession.createDataFrame([], schema)
     for ids, words in item_blocks(items, item_id_col, item_text_col, n):
-        found = found.union(search(rare_seeds(rows, ids, words, n, rare_share)))
+        found = found.union(search(seeded(ids, words, n)))
     return found
 
 
@@ -220,12 +202,10 @@ def without_items(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     n: int = GRAM,
-    rare_share: float = RARE_SHARE,
     limits: tuple[float, int, float] = (MIN_SCORE, MIN_EQUAL, MIN_IDENTITY),
 ) -> DataFrame:
     """The rows of ``df`` whose text holds no item, as they are; a row with a null text stays."""
     at = df.columns.index(text_col)
-    rows = keyed_text(df, text_col, text_col)
 
     def keep(block: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,5 +217,5 @@ def without_items(
 
     out = df
     for ids, words in item_blocks(items, item_id_col, item_text_col, n):
-        out = out.mapInArrow(keep(rare_seeds(rows, ids, words, n, rare_share)), df.schema)
+        out = out.mapInArrow(keep(seeded(ids, words, n)), df.schema)
     return out

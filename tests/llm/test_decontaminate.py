@@ -72,6 +72,35 @@ def test_hot_item_keeps_its_seeds(spark):
     assert {(r.doc_id, r.item_id) for r in D.find_items(df, bench).collect()} == {(i, k) for i in range(1, 200, 2) for k in (1, 2)}
 
 
+def test_parts_of_an_item_in_one_document_and_in_a_third(spark):
+    rng = random.Random(6)
+    item = words(rng, 60)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for part in (item[:20], item[-20:]):
+        for every in (300, 3):
+            rows = [(i, [*words(rng, 15), *(part if i % every == 0 else []), *words(rng, 15)]) for i in range(300)]
+            df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+            assert {r.doc_id for r in D.find_items(df, bench).collect()} == set(range(0, 300, every))
+
+
+def test_only_places_that_cannot_reach_a_limit_are_passed_over():
+    rng = random.Random(7)
+    few = ["the", "of", "and", "to", "in", "is", "was", "it"]
+    held = 0
+    for _ in range(300):
+        item = [rng.choice(few) for _ in range(rng.randrange(8, 40))]
+        text = [rng.choice([*few, "else", "other"]) for _ in range(rng.randrange(5, 60))]
+        if rng.random() < 0.5:
+            text[3:3] = item[: rng.randrange(3, len(item))]
+        got = D.seeded([0], [item], D.GRAM).matches(" ".join(text), (D.MIN_SCORE, D.MIN_EQUAL, D.MIN_IDENTITY))
+        a = D.align(*(np.array([hash(w) for w in ws]) for ws in (item, text)))
+        best = a.score >= D.MIN_SCORE * D.EQUAL * len(item)
+        shared = set(D.grams_of(item, D.GRAM)) & set(D.grams_of(text, D.GRAM))
+        assert not (best and shared) or got
+        held += bool(got)
+    assert 50 < held < 290
+
+
 def test_blocks_nulls_and_empty_tables(spark, monkeypatch):
     rng = random.Random(4)
     items = [" ".join(words(rng, 20)) for _ in range(5)]
