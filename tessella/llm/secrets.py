@@ -53,8 +53,11 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[^\s\"'`,;:=()\[\]{}<>|]+|[:=]")
-#: Where the field could see a secret: a mark that only codes hold, or a telling word.
-_LOOK = re.compile(r"[0-9]|(?i:passw|pwd|passphrase|secret|token|api_?key|auth|bearer|credential|clave|contrase)")
+#: Words whose names announce a secret when they end in them, as in signing_key.
+ENDINGS = ("key", "token", "secret", "password")
+_DIGIT = re.compile("[0-9]")
+#: The shortest of the telling words and endings that all others hold.
+_PARTS = [w for w in sorted({*TELLING, *ENDINGS}) if not any(v != w and v in w for v in {*TELLING, *ENDINGS})]
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -99,6 +102,17 @@ class File:
         return cls(signs * 60 > len(text), len(text) < 400)
 
 
+def worth_a_look(text: str) -> bool:
+    """Whether ``looked_at`` could be true of a token; finds in the lowered text are much faster than one pattern.
+
+    A digit is one of any script (``str.isdigit``), as there.
+    """
+    if _DIGIT.search(text) or not text.isascii() and any(c.isdigit() for c in set(text)):
+        return True
+    low = text.lower()
+    return any(w in low for w in _PARTS)
+
+
 def looked_at(tokens: list[str]) -> list[bool]:
     """Tokens that may be part of a secret; all others are outside."""
     near, out = 0, []
@@ -109,7 +123,7 @@ def looked_at(tokens: list[str]) -> list[bool]:
         word = bare(t)
         digits = sum(c.isdigit() for c in t)
         out.append(len(t) >= 6 and word not in TELLING and (near > 0 or (0 < digits and len(t) - digits >= 2)))
-        near = REACH if word in TELLING or any(word.endswith(f"_{w}") for w in ("key", "token", "secret", "password")) else near - 1
+        near = REACH if word in TELLING or any(word.endswith(f"_{w}") for w in ENDINGS) else near - 1
     return out
 
 
@@ -314,12 +328,12 @@ def train(words: list[str]) -> Field:
 
 
 def field_spans(text: str, field: Field) -> Iterator[tuple[int, int]]:
-    """Secrets that the field tags; lines are decoded one by one where there is anything to look at."""
-    if not _LOOK.search(text):
+    """Secrets that the field tags; lines without a digit and without a telling word are not decoded, as ``looked_at`` is false there."""
+    if not worth_a_look(text):
         return
     file, at = File.of(text), 0
     for line in text.split("\n"):
-        if _LOOK.search(line):
+        if worth_a_look(line):
             found = list(_TOKEN.finditer(line))
             tokens = [m[0] for m in found]
             for a, b in stretches(looked_at(tokens)):
