@@ -15,6 +15,7 @@ from tessella.llm import (
     secrets,
     simhash,
     suffix_index,
+    token_counts,
     token_output,
     toxicity,
 )
@@ -64,6 +65,10 @@ def op4_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op3_slack_packing"] = op3_slack_packing
 QUERIES["op5_quality_rules"] = op5_quality_rules
@@ -75,3 +80,4 @@ QUERIES["op6_token_rows"] = op6_token_rows
 QUERIES["op7_toxicity_subwords"] = op7_toxicity_subwords
 QUERIES["op2_license_compression"] = op2_license_compression
 QUERIES["op4_secret_field"] = op4_secret_field
+QUERIES["op13_heap_merge_counts"] = op13_heap_merge_counts
