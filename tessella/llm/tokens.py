@@ -41,9 +41,10 @@ def packed(ids: list[int]) -> bytes:
 
 
 # The classes of the word vocabulary's split pattern below U+0300, where text is in NFC as it stands and
-# lower case does not depend on the neighbours.
+# lower case does not depend on the neighbours; two letters there have a lower case beyond it.
 _PLAIN_END = 0x300
-_ODD = re.compile(r"[\x1c-\x1f̀-\U0010ffff]")
+_LOWER_BEYOND = "".join(c for c in map(chr, range(_PLAIN_END)) if len(c.lower()) == 1 and ord(c.lower()) >= _PLAIN_END)
+_ODD = re.compile(rf"[\x1c-\x1f{_LOWER_BEYOND}\u0300-\U0010ffff]")
 
 
 def _class(initial: str) -> str:
@@ -70,16 +71,19 @@ def in_groups(encode: Callable[[list[str]], list[bytes]], texts: Iterable[str],
 
 @lru_cache(maxsize=1)
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """For the ``tokenizers`` file that drops white space; special tokens' strings in a text are ordinary text.
+    """For the ``tokenizers`` file that drops white space.
 
     No rule of it looks across white space, so words are encoded alone. A text with characters from U+0300
-    on, or with the separators that Python alone takes for white space, goes through the tokenizer whole.
+    on (or whose lower case is there), with the separators that Python alone takes for white space, or with the
+    string of a special token, goes through the tokenizer whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = bare.encode_special_tokens = True
+    special = "|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values())
+    odd_text = re.compile(f"{_ODD.pattern}|{special}" if special else _ODD.pattern)
+    bare.encode_special_tokens = True
     bare.normalizer = normalizers.Sequence([])
     bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     bare.model._resize_cache(0)
@@ -87,38 +91,24 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     words = Memo(lambda new: pieces([_PIECES.findall(w.lower()) for w in new]))
 
     def encode(texts: list[str]) -> list[bytes]:
-        odd = [bool(_ODD.search(t)) for t in texts]
+        odd = [bool(odd_text.search(t)) for t in texts]
         plain = iter(words([t.split() for t, o in zip(texts, odd) if not o]))
         return [packed(whole.encode(t, add_special_tokens=False).ids) if o else next(plain) for t, o in zip(texts, odd)]
 
     return encode
 
 
-_RARE_SPACE = re.compile(r"[\t\x0b\f\r\x1c-\x1f\x85\xa0  -     　]")
-_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-
-
 @lru_cache(maxsize=1)
 def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """For a ``tiktoken`` rank file of byte-level pieces; lossless.
-
-    White space and the word after it are encoded alone, as no piece of the pattern ends later. A text with
-    other white space than blanks and line ends is encoded whole.
-    """
+    """For a ``tiktoken`` rank file of byte-level pieces; lossless. A memo of words costs more here than it saves."""
     import tiktoken
     from public_tokenizers import PATTERN
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     ids = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    words = Memo(lambda new: [packed(ids(p)) for p in new], 2 * MEMO)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        rare = [bool(_RARE_SPACE.search(t)) for t in texts]
-        plain = iter(words([_SPACED.findall(t) for t, r in zip(texts, rare) if not r]))
-        return [packed(ids(t)) if r else next(plain) for t, r in zip(texts, rare)]
-
-    return encode
+    return lambda texts: [packed(ids(t)) for t in texts]
 
 
 def vocabulary(name: str) -> str:

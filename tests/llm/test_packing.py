@@ -63,9 +63,9 @@ def test_memo_gives_the_tokenizer_s_ids():
 
     path = vocabulary("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(2)
-    texts = ODD + ["".join(rng.choice("aBé'st re\n\t.,1½\xa0 Σ") for _ in range(40)) for _ in range(300)]
+    each = "".join(f"wo{chr(c)}rd {chr(c)}a b{chr(c)} 1{chr(c)}'s " for c in range(0x20, 0x300))
+    texts = ODD + [each, *(f"ab{chr(c)}cd {chr(c)}" for c in range(0x300)), "a<|startoftext|>b <|ENDOFTEXT|>"] + ["".join(rng.choice("aBé'st re\n\t.,1½\xa0 Σ") for _ in range(40)) for _ in range(300)]
     for text, ids in zip(texts, in_groups(word_encoder(path), texts, chars=50)):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
     path = vocabulary("byte_bpe_50k.tiktoken")
@@ -82,7 +82,6 @@ def test_pack_rows(spark):
     rows = pack(df, block_docs=7).collect()
     docs = check_windows([((r.doc_id, r.doc_tokens), r.start, r.ids, r.sequence_id, r.offset) for r in rows], 4096)
     plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     for i, t in enumerate(texts):
         want = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         assert np.frombuffer(docs[(i or None, len(want))], "<u4").tolist() == want

@@ -30,7 +30,6 @@ def test_rows_equal_brute_force(spark):
     want = expected(spark, docs, bench)
     rows = corpus_pipeline.run(spark, SF).collect()
     plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     got = {}
     for r in rows:
         got.setdefault(r.doc_id, []).append((r.start, r.ids))

@@ -66,3 +66,31 @@ def test_round_trip(spark, tmp_path):
             assert a < b and positions[a:b].tolist() == list(range(b - a))
     assert len({r.row_id for r in rows.collect()}) == rows.count()
     assert packed_rows(df.limit(0)).count() == 0 and rows_digest(df).count() > 0
+
+
+def test_whole_table_equals_plain_encoding(spark):
+    """The query's own rows over a table: every document's ids in order, by checksum of its segments."""
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path("byte_bpe_50k.tiktoken"), "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {r.doc_id: np.array([*encoding.encode_ordinary(r.text or ""), 50256], "<u4") for r in docs.collect()}
+    rows = rows_digest(docs).collect()
+    for r in rows:
+        parts = [want[d][s : s + b - a] for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:])]
+        ids = np.concatenate([*parts, np.full(2048 - r.n_tokens, 50256, "<u4")])
+        assert [len(p) for p in parts] == np.diff(r.cu_seqlens).tolist() and r.ids_crc32 == zlib.crc32(ids.tobytes())
+    held = {}
+    for r in rows:
+        for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            held.setdefault(d, []).append((s, s + b - a))
+    for d, ids in want.items():
+        spans = sorted(held[d])
+        assert spans[0][0] == 0 and spans[-1][1] == len(ids) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_one_very_long_run(spark):
+    text = "".join(random.Random(3).choices("etaoin", k=400_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert sum(r.n_tokens for r in rows_digest(df).collect()) > 100_000
