@@ -10,6 +10,7 @@ from tessella.llm import (
     decontaminate,
     licenses,
     packing,
+    periodic_runs,
     pii,
     quality,
     secrets,
@@ -65,6 +66,10 @@ def op4_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_synchronised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -80,4 +85,5 @@ QUERIES["op6_token_rows"] = op6_token_rows
 QUERIES["op7_toxicity_subwords"] = op7_toxicity_subwords
 QUERIES["op2_license_compression"] = op2_license_compression
 QUERIES["op4_secret_field"] = op4_secret_field
+QUERIES["op11_synchronised_runs"] = op11_synchronised_runs
 QUERIES["op13_heap_merge_counts"] = op13_heap_merge_counts
