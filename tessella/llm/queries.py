@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import (
     decontaminate,
+    lexical,
     licenses,
     packing,
     periodic_runs,
@@ -70,6 +71,10 @@ def op11_synchronised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_heap_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -86,4 +91,6 @@ QUERIES["op7_toxicity_subwords"] = op7_toxicity_subwords
 QUERIES["op2_license_compression"] = op2_license_compression
 QUERIES["op4_secret_field"] = op4_secret_field
 QUERIES["op11_synchronised_runs"] = op11_synchronised_runs
+QUERIES["op12_treap_search"] = op12_treap_search
+SQL["op12_treap_search"] = lexical.ranked_sql()
 QUERIES["op13_heap_merge_counts"] = op13_heap_merge_counts
