@@ -7,5 +7,6 @@ from tessella.plans import (  # noqa: F401
     scalar_queries,
     stream_queries,
     stroke_queries,
+    tree_queries,
     views,
 )
