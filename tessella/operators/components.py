@@ -1,11 +1,12 @@
 """4-connected components over a pixel table, for images of any size.
 
-Step one labels every tile on its own (a tile is a bounded group).  Step two joins the labels
-across tile borders into a much smaller graph.  The edges of an image are counted: up to
-``EDGE_LIMIT`` they are resolved as one bounded group, in a single pass with no loop (a
-4096 x 4096 image in 256-pixel tiles has at most 123,000).  Larger images go through alternating
-large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
-Beyond", 2014).  A component is named by the raster key of its first pixel.
+Pixels are folded to runs of equal class along the rows, cut at the borders of the tiles; everything after that
+moves runs. Every tile labels its runs on its own (a tile is a bounded group). Runs that touch across a border are
+found by an interval join and give edges between the labels of two tiles. Eight by eight tiles make a block,
+eight by eight blocks the next larger one, and so on: an edge is resolved in the smallest block that holds both
+of its tiles, after its ends have been renamed by the smaller blocks. A block of any level only sees the edges on
+its inner borders, so no group grows with the image, and the number of levels is the logarithm of the widest
+image. A component is named by the raster key of its first pixel.
 """
 
 from __future__ import annotations
@@ -14,16 +15,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessella.functions.color import idiv
-from tessella.functions.shape import ROW_SHIFT
+from tessella.functions.shape import ROW_SHIFT, raster_key
 from tessella.operators.chunked import attach_totals, fan_out
+from tessella.operators.intervals import overlap_join
 from tessella.session import materialize
 
 TILE = 256
-EDGE_LIMIT = 2_000_000
+#: Blocks per side that are merged at each level, and the most levels: 8**7 tiles a side.
+MERGE = 8
+MAX_LEVELS = 7
 
-_LOCAL_SCHEMA = "image_id long, x int, y int, cls long, root long"
+_RUN_SCHEMA = "image_id long, tx int, ty int, y int, x0 int, x1 int, cls long, root long"
 
 
 def _resolve(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
@@ -42,57 +47,124 @@ def _resolve(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
             parent = grand
 
 
+def row_runs(px: DataFrame, cls: Column, tile: int = TILE) -> DataFrame:
+    """Runs ``image_id, tx, ty, y, x0, x1, cls`` of the pixels whose class is not NULL, dealt by tile."""
+    cells = px.select(
+        F.col("image_id").cast("long").alias("image_id"),
+        F.col("x").cast("int").alias("x"),
+        F.col("y").cast("int").alias("y"),
+        cls.cast("long").alias("cls"),
+    ).where("cls is not null")
+    tiles = ["image_id", "tx", "ty"]
+    dealt = fan_out(
+        cells.withColumn("tx", idiv("x", tile).cast("int")).withColumn("ty", idiv("y", tile).cast("int")), *tiles
+    )
+    order = W.partitionBy(*tiles).orderBy("y", "x")
+    before = F.lag(F.struct("y", (F.col("x") + 1).alias("x"), "cls")).over(order)
+    opened = dealt.withColumn("_new", (~before.eqNullSafe(F.struct("y", "x", "cls"))).cast("int"))
+    numbered = opened.withColumn("_run", F.sum("_new").over(order))
+    return numbered.groupBy(*tiles, "_run").agg(
+        F.min("y").alias("y"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("cls").alias("cls")
+    ).drop("_run")
+
+
 def _label_tile(table: pa.Table) -> pa.Table:
-    """Components inside one tile, from runs of equal class along the rows."""
-    x = table.column("x").to_numpy()
-    y = table.column("y").to_numpy()
-    cls = table.column("cls").to_numpy()
-    order = np.lexsort((x, y))
-    xs, ys, cs = x[order].astype(np.int64), y[order].astype(np.int64), cls[order]
-    joined = (ys[1:] == ys[:-1]) & (xs[1:] == xs[:-1] + 1) & (cs[1:] == cs[:-1])
-    run = np.concatenate(([0], np.cumsum(~joined)))
-    # Position of every pixel, and of the pixel below it, in the tile's own grid.
-    width = int(xs.max() - xs.min()) + 1
-    cell = (ys - ys.min()) * width + (xs - xs.min())
-    grid = np.full(int(cell.max()) + 1 + width, -1, dtype=np.int64)
-    grid[cell] = np.arange(len(cell))
-    below = grid[cell + width]
-    top = np.flatnonzero(below >= 0)
-    low = below[top]
-    same = cs[top] == cs[low]
-    root_of_run = _resolve(run[top[same]], run[low[same]], int(run[-1]) + 1)
-    starts = np.concatenate(([0], np.flatnonzero(~joined) + 1))
-    run_key = (ys[starts] << ROW_SHIFT) | xs[starts]
+    """Components inside one tile: runs of rows below each other that overlap and have one class."""
+    y, x0, x1, cls = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "cls"))
+    order = np.lexsort((x0, y))
+    y, x0, x1, cls = y[order], x0[order], x1[order], cls[order]
+    starts, ends = (y << ROW_SHIFT) | x0, (y << ROW_SHIFT) | x1
+    below = (y + 1) << ROW_SHIFT
+    first = np.searchsorted(ends, below | x0)
+    many = np.searchsorted(starts, below | x1, "right") - first
+    upper = np.repeat(np.arange(len(y)), many)
+    lower = np.arange(len(upper)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    same = cls[upper] == cls[lower]
     # Runs are in raster order, so the smallest run number is the first pixel.
-    root = run_key[root_of_run[run]]
-    return pa.table(
-        {
-            "image_id": table.column("image_id").take(pa.array(order)),
-            "x": pa.array(xs.astype(np.int32)),
-            "y": pa.array(ys.astype(np.int32)),
-            "cls": pa.array(cs),
-            "root": pa.array(root),
-        }
+    root = starts[_resolve(upper[same], lower[same], len(y))]
+    out = table.take(pa.array(order))
+    return out.select(["image_id", "tx", "ty", "y", "x0", "x1", "cls"]).append_column("root", pa.array(root))
+
+
+def _border_edges(runs: DataFrame, tile: int) -> DataFrame:
+    """Edges ``image_id, tx, ty, nx, ny, a, b`` between labels of neighbouring tiles, (tx, ty) above or left of (nx, ny)."""
+    side = ["image_id", "y", "cls"]
+    left = runs.where(F.col("x1") % tile == tile - 1).select(*side, "tx", "ty", (F.col("x1") + 1).alias("x"), F.col("root").alias("a"))
+    right = runs.where(F.col("x0") % tile == 0).select(*side, F.col("x0").alias("x"), F.col("root").alias("b"))
+    beside = left.join(right, [*side, "x"]).select("image_id", "tx", "ty", (F.col("tx") + 1).alias("nx"), F.col("ty").alias("ny"), "a", "b")
+    top = runs.where(F.col("y") % tile == tile - 1).select(
+        "image_id", (F.col("y") + 1).alias("y"), "cls", "tx", "ty", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("root").alias("a")
     )
+    low = runs.where(F.col("y") % tile == 0).select(*side, F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("root").alias("b"))
+    under = overlap_join(top, low, side, ("a0", "a1"), ("b0", "b1"), tile).select(
+        "image_id", "tx", "ty", F.col("tx").alias("nx"), (F.col("ty") + 1).alias("ny"), "a", "b"
+    )
+    return beside.unionByName(under).distinct()
 
 
-def _border_edges(local: DataFrame, tile: int) -> DataFrame:
-    """Distinct label pairs that touch across a tile border."""
+def _level(merge: int) -> Column:
+    """The smallest level whose block holds both tiles of an edge."""
+    apart = [
+        (idiv("tx", merge**n) != idiv("nx", merge**n)) | (idiv("ty", merge**n) != idiv("ny", merge**n))
+        for n in range(1, MAX_LEVELS)
+    ]
+    return F.lit(1) + sum((a.cast("int") for a in apart), F.lit(0))
 
-    def across(axis: str) -> DataFrame:
-        other = "y" if axis == "x" else "x"
-        last = local.where(F.col(axis) % tile == tile - 1).select(
-            "image_id", (F.col(axis) + 1).alias(axis), other, "cls", F.col("root").alias("a")
-        )
-        first = local.where(F.col(axis) % tile == 0).select(
-            "image_id", axis, other, "cls", F.col("root").alias("b")
+
+def _resolve_block(table: pa.Table) -> pa.Table:
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    first = nodes[_resolve(index[: len(a)], index[len(a) :], len(nodes))]
+    moved = nodes != first
+    image = np.full(int(moved.sum()), table.column("image_id")[0].as_py(), dtype=np.int64)
+    return pa.table({"image_id": image, "node": nodes[moved], "name": first[moved]})
+
+
+def _renamed(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """``df`` with the new name where the column has one."""
+    to = names.select("image_id", F.col("node").alias(column), F.col("name").alias("_name"))
+    return df.join(to, ["image_id", column], "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
+
+
+def block_names(edges: DataFrame, merge: int = MERGE) -> DataFrame:
+    """``image_id, node, name`` for the labels that have a smaller one in their component."""
+    edges = materialize(edges.withColumn("level", _level(merge)), "edges")
+    names, top = None, edges.agg(F.max("level")).first()[0] or 0
+    for level in range(1, top + 1):
+        block = [idiv(c, merge**level).alias(f"b{c}") for c in ("tx", "ty")]
+        here = (
+            edges.where(F.col("level") == level)
+            .select("image_id", *block, "a", "b")
+            .groupBy("image_id", "btx", "bty")
+            .applyInArrow(_resolve_block, "image_id long, node long, name long")
         )
-        return last.join(first, ["image_id", axis, other, "cls"]).select("image_id", "a", "b")
+        if level < top:
+            here = materialize(here, "names")
+            edges = materialize(_renamed(_renamed(edges.where(F.col("level") > level), here, "a"), here, "b"), "edges")
+        names = here if names is None else _renamed(names, here, "name").unionByName(here)
+    if names is None:
+        return edges.select("image_id", F.col("a").alias("node"), F.col("b").alias("name")).limit(0)
+    return names
+
+
+def component_runs(px: DataFrame, cls: Column, tile: int = TILE, merge: int = MERGE) -> DataFrame:
+    """Runs ``image_id, y, x0, x1, cls, component``; neighbours connect when their class is equal."""
+    runs = row_runs(px, cls, tile).groupBy("image_id", "tx", "ty").applyInArrow(_label_tile, _RUN_SCHEMA)
+    runs = materialize(runs, "runs")
+    names = block_names(_border_edges(runs, tile), merge)
+    return _renamed(runs, names, "root").select("image_id", "y", "x0", "x1", "cls", F.col("root").alias("component"))
 
-    pairs = across("x").unionByName(across("y")).where("a <> b")
-    return pairs.select(
-        "image_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).distinct()
+
+def components(px: DataFrame, cls: Column, tile: int = TILE, merge: int = MERGE) -> DataFrame:
+    """Rows ``image_id, x, y, cls, component`` for the pixels whose class is not NULL.
+
+    ``px`` holds ``image_id, x, y``; neighbours connect when their class is equal.
+    """
+    runs = component_runs(px, cls, tile, merge)
+    return runs.select("image_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "cls", "component")
+
+
+# --- graphs without a place ------------------------------------------------------------------
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -113,20 +185,6 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def _resolve_image(table: pa.Table) -> pa.Table:
-    u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
-    nodes, index = np.unique(np.concatenate((u, v)), return_inverse=True)
-    first = nodes[_resolve(index[: len(u)], index[len(u) :], len(nodes))]
-    moved = nodes != first
-    return pa.table(
-        {
-            "image_id": np.full(int(moved.sum()), table.column("image_id")[0].as_py(), dtype=np.int64),
-            "u": nodes[moved],
-            "v": first[moved],
-        }
-    )
-
-
 def _settled(edges: DataFrame) -> bool:
     """Whether the edges are stars: every ``u`` points one way, and nothing that is pointed at points on."""
     ends = edges.select("image_id", F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(
@@ -136,50 +194,13 @@ def _settled(edges: DataFrame) -> bool:
     return counts.where("n_out > 1 or (n_out = 1 and n > 1)").isEmpty()
 
 
-def _star_rounds(current: DataFrame) -> DataFrame:
-    """Large and small star until only stars are left; each round lowers a pointer or ends."""
+def star_forest(edges: DataFrame) -> DataFrame:
+    """Edges ``image_id, u, v`` with ``u > v`` to stars: every ``u`` points at the minimum of its component.
+
+    Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
+    Beyond", 2014) until only stars are left; each round lowers a pointer or ends.
+    """
+    current = materialize(edges.distinct(), "stars")
     while not _settled(current):
         current = materialize(_star(_star(current, large=True), large=False), "stars")
     return current
-
-
-def contract(edges: DataFrame, edge_limit: int = EDGE_LIMIT) -> DataFrame:
-    """Edges ``u > v`` to a star forest: every ``u`` points at the minimum of its component."""
-    sizes = edges.groupBy("image_id").agg(F.count(F.lit(1)).alias("_edges"))
-    edges = materialize(edges.join(sizes, "image_id"), "edges")
-    small = (
-        edges.where(F.col("_edges") <= edge_limit)
-        .drop("_edges")
-        .groupBy("image_id")
-        .applyInArrow(_resolve_image, "image_id long, u long, v long")
-    )
-    large = edges.where(F.col("_edges") > edge_limit).drop("_edges")
-    if large.isEmpty():
-        return small
-    return small.unionByName(_star_rounds(large))
-
-
-def components(
-    px: DataFrame, cls: Column, tile: int = TILE, edge_limit: int = EDGE_LIMIT
-) -> DataFrame:
-    """Rows ``image_id, x, y, cls, component`` for the pixels whose class is not NULL.
-
-    ``px`` holds ``image_id, x, y``; neighbours connect when their class is equal.
-    """
-    cells = px.select(
-        F.col("image_id").cast("long").alias("image_id"),
-        F.col("x").cast("int").alias("x"),
-        F.col("y").cast("int").alias("y"),
-        cls.cast("long").alias("cls"),
-    ).where("cls is not null")
-    local = (
-        fan_out(cells.withColumn("tx", idiv("x", tile)).withColumn("ty", idiv("y", tile)), "image_id", "tx", "ty")
-        .groupBy("image_id", "tx", "ty")
-        .applyInArrow(_label_tile, _LOCAL_SCHEMA)
-    )
-    local = materialize(local, "tiles")
-    stars = contract(_border_edges(local, tile), edge_limit)
-    roots = stars.select("image_id", F.col("u").alias("root"), F.col("v").alias("_first"))
-    return local.join(roots, ["image_id", "root"], "left").select(
-        "image_id", "x", "y", "cls", F.coalesce("_first", "root").alias("component")
-    )

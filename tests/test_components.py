@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators.components import components
+from tessella.operators.components import component_runs, components, star_forest
+from tessella.operators.intervals import overlap_join
 
 
 def flood(grid):
@@ -25,8 +26,8 @@ def flood(grid):
     return out
 
 
-@pytest.mark.parametrize("tile,limit", [(4, 10**6), (16, 10**6), (64, 10**6), (8, 0)])
-def test_components_match_flood_fill(spark, tile, limit):
+@pytest.mark.parametrize("tile,merge", [(4, 8), (16, 8), (64, 8), (8, 2), (2, 2), (3, 3)])
+def test_components_match_flood_fill(spark, tile, merge):
     rng = np.random.default_rng(tile)
     grids = {i: np.where(rng.random((20, 23)) < 0.4, -1, rng.integers(0, 2, (20, 23))) for i in range(3)}
     # One long snake, whose component crosses every tile.
@@ -42,7 +43,7 @@ def test_components_match_flood_fill(spark, tile, limit):
         for x in range(g.shape[1])
     ]
     px = spark.createDataFrame(rows, "image_id long, x int, y int, c long")
-    got = components(px, F.col("c"), tile=tile, edge_limit=limit).toPandas()
+    got = components(px, F.col("c"), tile=tile, merge=merge).toPandas()
     want = pd.DataFrame(
         [(i, x, y, n) for i, g in grids.items() for (x, y), n in flood(g).items()],
         columns=["image_id", "x", "y", "component"],
@@ -51,3 +52,37 @@ def test_components_match_flood_fill(spark, tile, limit):
     a = got[cols].sort_values(cols).astype("int64").to_numpy()
     b = want[cols].sort_values(cols).astype("int64").to_numpy()
     assert a.shape == b.shape and (a == b).all()
+
+
+def test_overlap_join_equals_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    sides = []
+    for name in "ab":
+        start = rng.integers(-20, 200, 150)
+        rows = [(int(k), int(s), int(s + n)) for k, s, n in zip(rng.integers(0, 3, 150), start, rng.integers(-2, 40, 150))]
+        sides.append((rows, spark.createDataFrame(rows, f"k long, {name}0 long, {name}1 long")))
+    (a, left), (b, right) = sides
+    want = sorted((k, *p, *q) for k, *p in a for k2, *q in b if k == k2 and p[0] <= p[1] and q[0] <= q[1] and p[0] <= q[1] and q[0] <= p[1])
+    for bucket in (1, 16, 1000):
+        got = overlap_join(left, right, ["k"], ("a0", "a1"), ("b0", "b1"), bucket)
+        assert sorted(tuple(r) for r in got.select("k", "a0", "a1", "b0", "b1").collect()) == want
+
+
+def test_only_runs_are_moved(spark):
+    """Of a plane of two halves only a run per row and tile goes on after the first shuffle."""
+    px = spark.range(64 * 64).selectExpr("1L as image_id", "cast(id % 64 as int) as x", "cast(id div 64 as int) as y", "cast(id div 2048 as long) as c")
+    runs = component_runs(px, F.col("c"), tile=16)
+    assert runs.count() == 64 * 4 and {r.component for r in runs.collect()} == {0, 32 << 32}
+    assert components(px, F.col("c"), tile=16).count() == 64 * 64
+    assert component_runs(px.limit(0), F.col("c")).count() == 0
+
+
+def test_star_forest(spark):
+    rng = np.random.default_rng(2)
+    edges = {(1, int(max(a, b)), int(min(a, b))) for a, b in rng.integers(0, 60, (45, 2)) if a != b}
+    got = {r.u: r.v for r in star_forest(spark.createDataFrame(sorted(edges), "image_id long, u long, v long")).collect()}
+    least = {n: n for e in edges for n in e[1:]}
+    for _ in range(60):
+        for _, u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    assert got == {n: m for n, m in least.items() if n != m}
