@@ -35,7 +35,7 @@ from tessella.llm.common import PRE, keyed_text, written
 
 TOP = 10
 #: Where a block of documents ends.
-BLOCK_DOCS, BLOCK_TERMS = 4096, 1 << 21
+BLOCK_DOCS, BLOCK_TERMS = 2048, 1 << 20
 #: Terms of the items that are looked for in one pass over the index.
 PASS_TERMS = 1 << 18
 #: States that are opened together.
@@ -281,6 +281,7 @@ def found_by(index: DataFrame, items: list[tuple], id_type: T.DataType, item_typ
                     held = [j for j, t in enumerate(terms) if t in row]
                     if held:
                         treap.descend(np.array([row[terms[j]] for j in held]), weights[held], top, keys)
+                del line, row, treap  # before the next block is read
         lines = [(number, item, key, -score) for (number, item, _, _), top in zip(items, best) for score, _, key in top.rows]
         columns = list(zip(*lines)) or [[]] * len(arrow)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
