@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.color import hex_color, idiv
 from tessella.functions.shape import key_x, key_y, raster_key
-from tessella.operators.chunked import attach_totals, row_numbers, spread_join
-from tessella.operators.components import TILE, components
+from tessella.operators.chunked import attach_totals, fan_out, row_numbers, spread_join
+from tessella.operators.components import TILE, component_runs, components, star_forest
 from tessella.session import materialize
 
 MIN_SEED_AREA = 64
@@ -143,9 +145,11 @@ def grow(seeds: DataFrame, px: DataFrame, tile: int = TILE) -> dict[str, DataFra
     ``px`` holds ``image_id, x, y, line``.  The result has ``pixels`` (``label`` is NULL where no
     seed reached, ``component`` is NULL on lines), ``collisions`` (owner, seed) and ``on_line``.
     """
-    free = components(px.where(~F.col("line")), F.lit(0), tile).drop("cls")
+    # Lines are a class of their own, so that every pixel comes back and none has to be joined again.
+    both = components(px, F.col("line").cast("int"), tile)
+    line = F.col("cls") == 1
     free = materialize(
-        px.select("image_id", "x", "y", "line").join(free, ["image_id", "x", "y"], "left"), "free"
+        both.select("image_id", "x", "y", line.alias("line"), F.when(~line, F.col("component")).alias("component")), "free"
     )
     at = seeds.select("image_id", "seed_id", F.col("ax").alias("x"), F.col("ay").alias("y"))
     stand = at.join(free, ["image_id", "x", "y"])
@@ -186,70 +190,182 @@ def orphans(grown: DataFrame) -> DataFrame:
 # --- merging of small fragments -------------------------------------------------------------
 
 
+#: What a pixel is to a fragment that looks for its region.
+NOTHING, LINE, REGION, FRAGMENT, OUTSIDE = range(5)
+_FOUND_SCHEMA = "image_id long, tx int, ty int, f long, what int, target long, x int, y int, d int"
+_FAR = 1 << 30
+
+
+def _pack_tile(table: pa.Table) -> pa.Table:
+    """One row for a tile: its corner, its width, and kind and value of each cell."""
+    x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+    x0, y0 = int(x.min()), int(y.min())
+    width, height = int(x.max()) - x0 + 1, int(y.max()) - y0 + 1
+    kind, value = np.zeros(width * height, np.uint8), np.full(width * height, -1, np.int64)
+    at = (y - y0) * width + (x - x0)
+    kind[at], value[at] = table.column("kind").to_numpy(), table.column("value").to_numpy()
+    row = {c: [table.column(c)[0].as_py()] for c in ("image_id", "tx", "ty")}
+    row |= {"x0": [x0], "y0": [y0], "width": [width], "kinds": [kind.tobytes()], "values": [value.tobytes()]}
+    return pa.table({k: pa.array(v, {"image_id": pa.int64(), "kinds": pa.binary(), "values": pa.binary()}.get(k, pa.int32())) for k, v in row.items()})
+
+
+class _Tile:
+    """The cells of a tile with a border of cells that are outside."""
+
+    def __init__(self, x0: int, y0: int, width: int, kinds: bytes, values: bytes):
+        kind = np.frombuffer(kinds, np.uint8).reshape(-1, width)
+        self.width, self.x0, self.y0 = width + 2, x0 - 1, y0 - 1
+        self.kind = np.pad(kind, 1, constant_values=OUTSIDE).ravel()
+        self.value = np.pad(np.frombuffer(values, np.int64).reshape(-1, width), 1, constant_values=-1).ravel()
+
+    def cells(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (y - self.y0) * self.width + (x - self.x0)
+
+    def search(self, names: np.ndarray, limits: np.ndarray, start: dict[int, np.ndarray], begin: np.ndarray | None):
+        """Rings of line cells around all fragments at once; yields (what, fragments, values, cells, distance).
+
+        A state is a fragment's number times the number of cells, plus a cell. ``start`` has states to be looked at, by
+        distance; those of ``begin`` are the fragments' own cells. A fragment stops after the ring with its first region.
+        """
+        n = len(self.kind)
+        limits, seen = limits.copy(), np.empty(0, np.int64)
+        steps = np.array([-1, 1, -self.width, self.width])
+        ahead, d = begin, 0
+        while start or ahead is not None:
+            if ahead is not None:
+                d += 1
+                states = (ahead[:, None] + steps).ravel()
+            else:
+                d, states = min(start), np.empty(0, np.int64)
+            states = np.unique(np.concatenate([states, start.pop(d, np.empty(0, np.int64))]))
+            f, cell = np.divmod(states, n)
+            near = limits[f] >= d
+            states, f, cell = states[near], f[near], cell[near]
+            kind = self.kind[cell]
+            for what in (REGION, FRAGMENT, OUTSIDE):
+                hit = kind == what
+                if what == FRAGMENT:
+                    hit &= self.value[cell] != names[f]
+                if hit.any():
+                    yield what, f[hit], self.value[cell[hit]], cell[hit], d
+            stop = f[kind == REGION]
+            limits[stop] = np.minimum(limits[stop], d)
+            fresh = states[(kind == LINE) & (limits[f] > d)]
+            fresh = fresh[~np.isin(fresh, seen)]
+            seen = np.union1d(seen, fresh)
+            ahead = fresh if len(fresh) else None
+
+
+def _found(tile: _Tile, key: tuple[int, int, int], names: np.ndarray, limits: np.ndarray, start: dict, begin: np.ndarray | None) -> pa.Table:
+    parts = [[np.empty(0, np.int64)] for _ in range(6)]
+    for what, f, value, cell, d in tile.search(names, limits, start, begin):
+        y, x = np.divmod(cell, tile.width)
+        columns = (names[f], np.full(len(f), what), value, x + tile.x0, y + tile.y0, np.full(len(f), d))
+        for part, column in zip(parts, columns):
+            part.append(column)
+    f, what, value, x, y, d = (np.concatenate(p) for p in parts)
+    ints = lambda a: a.astype(np.int32)
+    place = {c: np.full(len(f), k, t) for c, k, t in zip(("image_id", "tx", "ty"), key, (np.int64, np.int32, np.int32))}
+    return pa.table({**place, "f": f, "what": ints(what), "target": value, "x": ints(x), "y": ints(y), "d": ints(d)})
+
+
+def _search_from_own(table: pa.Table) -> pa.Table:
+    """The first search of a tile, from all cells of its fragments."""
+    row = {c: table.column(c)[0].as_py() for c in table.column_names}
+    tile = _Tile(row["x0"], row["y0"], row["width"], row["kinds"], row["values"])
+    own = np.flatnonzero(tile.kind == FRAGMENT)
+    names, number = np.unique(tile.value[own], return_inverse=True)
+    begin = number.astype(np.int64) * len(tile.kind) + own
+    return _found(tile, (row["image_id"], row["tx"], row["ty"]), names, np.full(len(names), _FAR), {}, begin if len(begin) else None)
+
+
+def _search_from_arrivals(tiles: pa.Table, arrivals: pa.Table) -> pa.Table:
+    """Goes on in a tile from the cells that searches of its neighbours have reached."""
+    row = {c: tiles.column(c)[0].as_py() for c in tiles.column_names}
+    tile = _Tile(row["x0"], row["y0"], row["width"], row["kinds"], row["values"])
+    f, x, y, d, most = (arrivals.column(c).to_numpy().astype(np.int64) for c in ("f", "x", "y", "d", "most"))
+    names, number = np.unique(f, return_inverse=True)
+    limits = np.full(len(names), _FAR)
+    np.minimum.at(limits, number, most)
+    states = number * len(tile.kind) + tile.cells(x, y)
+    return _found(tile, (row["image_id"], row["tx"], row["ty"]), names, limits, {int(k): states[d == k] for k in np.unique(d)}, None)
+
+
 def _ring_targets(grown: DataFrame, small: DataFrame, tile: int) -> DataFrame:
-    """Ring distance from every fragment to the labels and fragments it can reach over lines.
+    """Distance over line pixels from every fragment to the regions and fragments it can reach.
 
-    All fragments advance together, one ring of line pixels per round; a fragment stops in the
-    round it meets a region, since nothing farther can win.  Line strokes are thin, so the
-    rounds are few; the frontier is a small share of the pixels.
+    Every tile searches from all its fragments at once, ring by ring. A search that leaves a tile arrives in the
+    next one with its distance; arrivals that are nearer than what is known there, and not beyond the
+    fragment's nearest region so far, are searched on. So there is a round for every tile that a shortest way
+    crosses, however thick the lines are, and a round reads only tiles in which something arrives.
+    Targets beyond the ring of the nearest region are dropped, since nothing farther can win.
     """
-    land = materialize(
-        spread_join(
-            grown,
-            small.select("image_id", "component", F.col("component").alias("fragment")),
-            ["image_id", "component"],
-            tile_id(tile),
-        ).select("image_id", "x", "y", "line", "label", "fragment"),
-        "land",
+    land = spread_join(
+        grown,
+        small.select("image_id", "component", F.col("component").alias("fragment")),
+        ["image_id", "component"],
+        tile_id(tile),
     )
-    frontier = land.where("fragment is not null").select(
-        "image_id", F.col("fragment").alias("f"), "x", "y"
+    kind = (
+        F.when(F.col("label").isNotNull(), REGION)
+        .when(F.col("fragment").isNotNull(), FRAGMENT)
+        .when(F.col("line"), LINE)
+        .otherwise(NOTHING)
     )
-    # A neighbour of ring d lies in ring d - 1, d or d + 1: two rings are enough to look back.
-    behind = None
-    found = None
-    distance = 0
-    moves = F.explode(
-        F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in STEPS])
+    place = [idiv(c, tile).cast("int").alias(f"t{c}") for c in "xy"]
+    cells = land.select(
+        "image_id", *place, "x", "y", kind.alias("kind"), F.coalesce("label", "fragment", F.lit(-1).cast("long")).alias("value")
+    )
+    key = ["image_id", "tx", "ty"]
+    tiles = materialize(
+        fan_out(cells, *key).groupBy(*key).applyInArrow(
+            _pack_tile, "image_id long, tx int, ty int, x0 int, y0 int, width int, kinds binary, values binary"
+        ),
+        "land",
     )
+    out = materialize(fan_out(tiles, *key).groupBy(*key).applyInArrow(_search_from_own, _FOUND_SCHEMA), "found")
+    found, known = out, None
     while True:
-        distance += 1
-        ring = (
-            frontier.select("image_id", "f", moves.alias("p"))
-            .select("image_id", "f", "p.x", "p.y")
-            .distinct()
-        )
-        if behind is not None:
-            ring = ring.join(behind, ["image_id", "f", "x", "y"], "left_anti")
-        ring = materialize(
-            ring.join(land, ["image_id", "x", "y"]).where(
-                "line or label is not null or (fragment is not null and fragment <> f)"
-            ),
-            "ring",
-        )
-        hits = ring.where("label is not null or fragment is not null").select(
-            "image_id", "f", F.lit(distance).alias("d"), "label", "fragment"
-        )
-        found = hits if found is None else found.unionByName(hits)
-        stopped = hits.where("label is not null").select("image_id", "f").distinct()
-        steps = ring.where("line and label is null").select("image_id", "f", "x", "y")
-        ahead = steps.join(stopped, ["image_id", "f"], "left_anti")
-        if ahead.isEmpty():
-            return found.distinct()
-        behind = steps if distance == 1 else steps.unionByName(last)
-        last = steps
-        frontier = ahead
+        nearest = found.where(F.col("what") == REGION).groupBy("image_id", "f").agg(F.min("d").alias("most"))
+        spot = ["image_id", "f", "x", "y"]
+        # What leaves a tile for no other one has left the image.
+        left = (F.floor(F.col("x") / tile) != F.col("tx")) | (F.floor(F.col("y") / tile) != F.col("ty"))
+        fresh = out.where((F.col("what") == OUTSIDE) & left & (F.col("x") >= 0) & (F.col("y") >= 0)).groupBy(*spot).agg(F.min("d").alias("d"))
+        fresh = fresh.join(nearest, ["image_id", "f"], "left").withColumn("most", F.coalesce("most", F.lit(_FAR))).where("d <= most")
+        if known is not None:
+            best = known.groupBy(*spot).agg(F.min("d").alias("_d"))
+            fresh = fresh.join(best, spot, "left").where("_d is null or d < _d").drop("_d")
+        fresh = materialize(fresh.select("*", *place), "arrivals")
+        here = tiles.join(fresh.select(*key).distinct(), key, "left_semi")
+        if here.isEmpty():
+            break
+        known = fresh if known is None else known.unionByName(fresh)
+        searched = fan_out(here, *key).groupBy(*key).cogroup(fan_out(fresh, *key).groupBy(*key))
+        # Arrivals off the image have no tile, so their side stands alone.
+        out = materialize(searched.applyInArrow(_search_or_nothing, _FOUND_SCHEMA), "found")
+        found = found.unionByName(out)
+    hits = found.where(F.col("what") != OUTSIDE).groupBy("image_id", "f", "what", "target").agg(F.min("d").alias("d"))
+    hits = hits.join(nearest, ["image_id", "f"], "left").where(F.col("d") <= F.coalesce("most", F.lit(_FAR)))
+    of = lambda what, name: F.when(F.col("what") == what, F.col("target")).alias(name)
+    return hits.select("image_id", "f", "d", of(REGION, "label"), of(FRAGMENT, "fragment"))
+
+
+def _search_or_nothing(tiles: pa.Table, arrivals: pa.Table) -> pa.Table:
+    if tiles.num_rows and arrivals.num_rows:
+        return _search_from_arrivals(tiles, arrivals)
+    empty = _Tile(0, 0, 1, bytes(1), bytes(8))
+    return _found(empty, (0, 0, 0), np.empty(0, np.int64), np.empty(0, np.int64), {}, None)
 
 
 _FOLD_SCHEMA = "image_id long, component long, label long"
 
 
 def _fold_fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Settle fragments in raster order; rows arrive sorted by image, fragment and distance.
+    """Settle fragments in raster order; rows arrive sorted by image, group, fragment and distance.
 
-    Only fragments that a later one can reach are remembered, and only within an image.
+    Only fragments that a later one can reach are remembered, and only within a group.
     """
-    image = frag = None
+    image = group = frag = None
     settled: dict[int, tuple[int, int]] = {}
     best: tuple[int, int] | None = None
     best_d = 0
@@ -266,11 +382,11 @@ def _fold_fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            if row.image_id != image or row.component != frag:
+            if row.image_id != image or row.group != group or row.component != frag:
                 out += close()
-                if row.image_id != image:
+                if row.image_id != image or row.group != group:
                     settled = {}
-                image, frag, best, wanted = row.image_id, row.component, None, row.wanted
+                image, group, frag, best, wanted = row.image_id, row.group, row.component, None, row.wanted
             if row.other >= 0:
                 area, label = settled.get(row.other, (0, -1))
                 if label < 0:
@@ -292,8 +408,8 @@ def merge_fragments(
 
     Returns the pixels with merged labels and the orphans that are left (``area >= min_area``).
     Areas are those before merging.  A fragment may join a fragment settled earlier in raster
-    order; that dependency is the only sequential part and runs over the fragment table, sorted
-    by Spark and streamed.
+    order; that dependency is the only sequential part. It runs over the fragment table, in groups of
+    fragments that can reach each other, sorted by Spark and streamed.
     """
     grown = materialize(grown, "grown")
     lost = orphans(grown)
@@ -301,7 +417,7 @@ def merge_fragments(
     small = materialize(lost.where(F.col("area") < min_area), "fragments")
     if small.isEmpty():
         return grown, kept
-    targets = _ring_targets(grown, small, tile)
+    targets = materialize(_ring_targets(grown, small, tile), "targets")
     areas = grown.where("label is not null").groupBy("image_id", "label").agg(
         F.count(F.lit(1)).alias("area")
     )
@@ -315,11 +431,15 @@ def merge_fragments(
     ).where("other < component")
     asked = rows.where("other >= 0").select("image_id", F.col("other").alias("component")).distinct()
     rows = rows.join(asked.withColumn("_asked", F.lit(True)), ["image_id", "component"], "left")
+    edges = rows.where("other >= 0").select("image_id", F.col("component").alias("u"), F.col("other").alias("v"))
+    stars = star_forest(edges).select("image_id", F.col("u").alias("component"), F.col("v").alias("_first"))
     settled = (
-        rows.withColumn("wanted", F.coalesce("_asked", F.lit(False)))
-        .drop("_asked")
-        .repartition("image_id")
-        .sortWithinPartitions("image_id", "component", "d")
+        rows.join(stars, ["image_id", "component"], "left")
+        .withColumn("wanted", F.coalesce("_asked", F.lit(False)))
+        .withColumn("group", F.coalesce("_first", "component"))
+        .drop("_asked", "_first")
+        .repartition("image_id", "group")
+        .sortWithinPartitions("image_id", "group", "component", "d")
         .mapInPandas(_fold_fragments, _FOLD_SCHEMA)
     )
     merged = (
@@ -340,7 +460,7 @@ def merge_fragments(
 
 def pieces_per_region(labels: DataFrame, tile: int = TILE) -> DataFrame:
     """Number of 4-connected pieces of every region."""
-    parts = components(labels, F.col("label"), tile)
+    parts = component_runs(labels, F.col("label"), tile)
     return (
         parts.select("image_id", F.col("cls").alias("label"), "component")
         .distinct()

@@ -41,6 +41,47 @@ def test_grow_and_merge_match_imperative_fill(spark):
         assert sorted(r["seed_id"] for r in onl if r["image_id"] == i) == o
 
 
+def test_thick_lines_take_rounds_of_tiles_not_of_pixels(spark, monkeypatch):
+    """Lines of up to twenty pixels; the number of jobs is the same for thin and thick ones inside a tile."""
+    rng = np.random.default_rng(8)
+
+    def picture(thick, n):
+        line = np.zeros((64, 64), bool)
+        line[:, 20 : 20 + thick] = True
+        line[30 : 30 + thick] = True
+        for x, y in rng.integers(0, 62, (n, 2)):
+            line[max(0, y - 1) : y + 3, max(0, x - 1) : x + 3] = True
+            line[y : y + 1, x : x + 2] = False
+        return line
+
+    for tile in (16, 64):
+        lines = {i: picture(t, n) for i, (t, n) in enumerate([(1, 5), (6, 8), (20, 12)])}
+        free = {i: [(int(x), int(y)) for y, x in np.argwhere(~g)] for i, g in lines.items()}
+        spots = {i: sorted({free[i][0], free[i][-1]}, key=lambda p: (p[1], p[0])) for i in lines}
+        want = {i: grow_and_merge(lines[i], spots[i], 40)[0] for i in lines}
+        px = spark.createDataFrame(pixel_rows(lines, bool), "image_id long, x int, y int, line boolean")
+        seeds = spark.createDataFrame([(i, k, x, y) for i in lines for k, (x, y) in enumerate(spots[i])], "image_id long, seed_id long, ax int, ay int")
+        merged, _ = R.merge_fragments(R.grow(seeds, px, tile)["pixels"], min_area=40, tile=tile)
+        rows = merged.collect()
+        for i in lines:
+            assert (as_grid([r for r in rows if r["image_id"] == i], 64, 64) == want[i]).all(), (tile, i)
+
+    def rounds(thick, tile):
+        done = []
+        monkeypatch.setattr(R, "materialize", lambda df, label, real=R.materialize: done.append(label) or real(df, label))
+        line = np.zeros((64, 64), bool)
+        line[:, 5 : 5 + thick] = True
+        line[:, 40] = True
+        px = spark.createDataFrame(pixel_rows({0: line}, bool), "image_id long, x int, y int, line boolean")
+        seeds = spark.createDataFrame([(0, 0, 60, 3)], "image_id long, seed_id long, ax int, ay int")
+        R.merge_fragments(R.grow(seeds, px, tile)["pixels"], min_area=100_000, tile=tile)[0].count()
+        monkeypatch.undo()
+        return done.count("found")
+
+    assert rounds(20, 64) == rounds(1, 64) == 1
+    assert rounds(20, 32) == rounds(1, 32)
+
+
 def test_close_is_the_synchronous_wave(spark):
     rng = np.random.default_rng(5)
     grids = {i: np.where(rng.random((9, 12)) < 0.12, rng.integers(0, 6, (9, 12)), -1) for i in range(8)}
