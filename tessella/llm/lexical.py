@@ -2,17 +2,17 @@
 
 The index holds a row for each block of documents. The block's terms (the most frequent first) and documents
 span a grid whose cells have the impact of the term in the document. A quadtree over the grid says
-for each of its cells which quarters are not empty and what their greatest impact is: bitmaps by level, and the
-difference from the parent's maximum, in as few bytes as the level needs. An item's terms are rows of the grid. The
+for each of its cells which quarters are not empty and what their greatest impact is: bitmaps by level, and, where
+a cell has more than one such quarter, their difference from its maximum, in as few bytes as the level needs. An item's terms are rows of the grid. The
 search goes down the paths of all these rows together: a state is a range of documents and, for each term, the
 cell that holds its row there. The weighted sum of their maxima bounds the score of each document of the range.
 States with the highest bound are opened first, some at a time, until no bound reaches the score of the k-th
 document that is known; that score is carried from block to block of a task, so that later blocks open little. At the
 last level a cell is one term in one document and the bound is the score.
 
-Impacts need the number of documents and terms of the corpus, which a first pass counts; the weight of a term
-needs its document frequency, which is summed over the index. All documents are indexed and searched. Items come to the
-tasks in blocks of a bounded number of terms; each block of items is one pass over the index.
+Impacts need the number of documents and terms of the corpus, which a first pass counts. All documents are indexed
+and searched. Items are taken in blocks of a bounded number of terms: for each, the document frequencies of
+its terms are summed over the index, which gives their weights, and the index is searched once.
 
 Cases: a null or empty text has no terms and is never found; an item without terms or without a match gives no
 row; equal scores are ordered by key, a null key last; repeated rows are found once each; repeated items are
@@ -21,7 +21,8 @@ answered once each (``item_no`` tells them apart); empty tables give empty resul
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Iterator
 from heapq import nsmallest
 
 import numpy as np
@@ -88,8 +89,11 @@ class Treap:
             bits = np.zeros(4 * len(first), bool)
             bits[4 * np.repeat(np.arange(len(first)), sizes) + (keys & 3)] = True
             bitmaps.append(np.packbits(bits).tobytes())
-            drop = np.repeat(above, sizes) - values
-            drops.append(drop.astype(np.min_scalar_type(int(drop.max()))).tobytes())
+            drop = (np.repeat(above, sizes) - values)[np.repeat(sizes > 1, sizes)]  # an only child has the maximum
+            if not len(drop):
+                drops.append(b"")
+            else:
+                drops.append(drop.astype(np.min_scalar_type(int(drop.max()))).tobytes())
             keys, values = keys[first] >> 2, above
         return height, [values.astype("<i8").tobytes(), *bitmaps[::-1]], drops[::-1]
 
@@ -100,12 +104,15 @@ class Treap:
         tops, slots, out = np.frombuffer(bitmaps[0], "<i8"), [], []
         for bitmap, drop in zip(bitmaps[1:], drops):
             places = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), count=4 * len(tops)))
-            kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
-            tops = tops[places >> 2] - np.frombuffer(drop, kinds[len(drop) // len(places)]).astype(np.int64)
+            nodes = places >> 2
+            several = (np.bincount(nodes) > 1)[nodes]
+            tops = tops[nodes]
+            if drop:
+                tops[several] -= np.frombuffer(drop, f"<u{len(drop) // int(several.sum())}").astype(np.int64)
             slot = np.full(4 * (int(places[-1]) // 4 + 2), len(places), np.int32)
             slot[places] = np.arange(len(places), dtype=np.int32)
             slots.append(slot)
-            out.append(np.r_[tops, 0])
+            out.append(np.append(tops, 0).astype(np.int32 if tops.max() < 1 << 31 else np.int64))
         return Treap(height, slots, out)
 
     def descend(self, rows: np.ndarray, weights: np.ndarray, best: Best, keys: list) -> None:
@@ -178,11 +185,12 @@ class _Codes(dict):
 
 
 def build_index(df: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """A row per block of documents: ``keys``, ``terms`` with their document frequencies, and the treap."""
+    """A row per block of documents: ``keys``, ``terms`` (joined by blanks) with their document frequencies, and the treap."""
     rows = keyed_text(df, id_col, text_col)
     schema = T.StructType(
-        [T.StructField("keys", T.ArrayType(rows.schema[0].dataType)), T.StructField("terms", T.ArrayType(T.StringType()))]
-        + [T.StructField("frequencies", T.ArrayType(T.IntegerType())), T.StructField("height", T.IntegerType())]
+        [T.StructField("keys", T.ArrayType(rows.schema[0].dataType))]
+        + [T.StructField(c, T.BinaryType()) for c in ("terms", "frequencies")]
+        + [T.StructField("height", T.IntegerType())]
         + [T.StructField(c, T.ArrayType(T.BinaryType())) for c in ("bitmaps", "drops")]
     )
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
@@ -201,7 +209,8 @@ def build_index(df: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id"
         impacts = SCALE * counts // (1000 * counts + LEVEL * m[columns])
         height, bitmaps, drops = Treap.packed(place[codes], columns, impacts)
         names = list(known)
-        line = [keys, [names[c].decode() for c in by_frequency.tolist()], frequencies[by_frequency].tolist(), height, bitmaps, drops]
+        terms = b" ".join(names[c] for c in by_frequency.tolist())
+        line = [keys, terms, frequencies[by_frequency].astype("<i4").tobytes(), height, bitmaps, drops]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(line, arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,29 +232,44 @@ def build_index(df: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id"
     return rows.mapInArrow(run, schema)
 
 
-def item_weights(index: DataFrame, items: DataFrame, n_docs: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """A row per item that has terms of the index: ``item_no``, the key, ``terms`` and ``weights``."""
+def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """A row per item that has terms: ``item_no``, the key, and its ``terms`` once each."""
     texts = keyed_text(items, id_col, text_col)
-    key = f"{PRE}id"
-    schema = T.StructType([T.StructField("item_no", T.LongType()), texts.schema[0], T.StructField("term", T.StringType())])
-    numbered = texts.withColumn("item_no", F.monotonically_increasing_id()).select("item_no", key, f"{PRE}text")
+    key = texts.schema[0]
+    schema = T.StructType([T.StructField("item_no", T.LongType()), key, T.StructField("terms", T.ArrayType(T.BinaryType()))])
+    numbered = texts.withColumn("item_no", F.monotonically_increasing_id()).select("item_no", key.name, f"{PRE}text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, one, text in zip(*batch.columns):
-                terms = sorted({t.decode() for t in terms_of(text.as_py())})
-                columns = [pa.array([x.as_py()] * len(terms), x.type) for x in (number, one)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.string())], names=schema.names)
-
-    asked = written(numbered.mapInArrow(run, schema), "item-terms")
-    held = index.select(F.explode(F.arrays_zip("terms", "frequencies")).alias("x")).select("x.terms", "x.frequencies")
-    held = held.withColumnRenamed("terms", "term").join(asked.select("term").distinct(), "term", "left_semi")
-    weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.sum("frequencies") + 1))).cast("long")
-    weights = held.groupBy("term").agg(weight.alias("weight"))
-    pair = F.collect_list(F.struct("term", "weight")).alias("pairs")
-    return asked.join(weights, "term").groupBy("item_no").agg(F.first(key).alias(key), pair).select(
-        "item_no", key, F.col("pairs.term").alias("terms"), F.col("pairs.weight").alias("weights")
-    )
+            terms = pa.array([sorted(set(terms_of(t.as_py()))) for t in batch.column(2)], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], names=schema.names)
+
+    return numbered.mapInArrow(run, schema).where(F.size("terms") > 0)
+
+
+def document_frequencies(index: DataFrame, asked: set[bytes]) -> dict[bytes, int]:
+    """Number of documents that hold each of the terms; the terms are those of one block of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        for batch in batches:
+            for terms, frequencies in zip(batch.column(0), batch.column(1)):
+                counts = np.frombuffer(frequencies.as_py(), "<i4")
+                for at, term in enumerate(terms.as_py().split()):
+                    if term in asked:
+                        total[term] = total.get(term, 0) + int(counts[at])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+
+    counted = index.select("terms", "frequencies").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {bytes(r.term): r.n for r in counted.toLocalIterator()}
+
+
+def weighted(index: DataFrame, block: list[tuple], n_docs: int) -> list[tuple]:
+    """The items of a block with those of their terms that the index has, and the weights of these."""
+    frequencies = document_frequencies(index, set().union(*(terms for _, _, terms in block)))
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in frequencies.items()}
+    held = [(number, item, [t for t in terms if t in weight]) for number, item, terms in block]
+    return [(number, item, terms, np.array([weight[t] for t in terms], np.int64)) for number, item, terms in held]
 
 
 def passes(items: DataFrame, most: int = PASS_TERMS) -> Iterator[list[tuple]]:
@@ -255,7 +279,7 @@ def passes(items: DataFrame, most: int = PASS_TERMS) -> Iterator[list[tuple]]:
         if block and size + len(row.terms) > most:
             yield block
             block, size = [], 0
-        block.append((row.item_no, row[f"{PRE}id"], list(row.terms), np.array(row.weights, np.int64)))
+        block.append((row.item_no, row[f"{PRE}id"], [bytes(t) for t in row.terms]))
         size += len(row.terms)
     if block:
         yield block
@@ -276,7 +300,7 @@ def found_by(index: DataFrame, items: list[tuple], id_type: T.DataType, item_typ
                 line = {c: batch.column(c)[i] for c in batch.schema.names}
                 keys = line["keys"].as_py()
                 treap = Treap.unpacked(line["height"].as_py(), line["bitmaps"].as_py(), line["drops"].as_py())
-                row = {t: at for at, t in enumerate(line["terms"].as_py()) if t in asked}
+                row = {t: at for at, t in enumerate(line["terms"].as_py().split()) if t in asked}
                 for (_, _, terms, weights), top in zip(items, best):
                     held = [j for j, t in enumerate(terms) if t in row]
                     if held:
@@ -295,12 +319,14 @@ def search(index: DataFrame, items: DataFrame, n_docs: int, id_col: str = "doc_i
     ``index`` is a written table.
     """
     id_type = index.schema["keys"].dataType.elementType
-    weights = written(item_weights(index, items, n_docs, item_col, text_col), "item-weights")
-    item_type = weights.schema[f"{PRE}id"].dataType
-    found = found_by(index, [], id_type, item_type, k)
-    for n, block in enumerate(passes(weights, pass_terms)):
-        one = found_by(index, block, id_type, item_type, k)
-        found = found.union(one) if n else one
+    asked = written(item_terms(items, item_col, text_col), "item-terms")
+    item_type = asked.schema[f"{PRE}id"].dataType
+    found = None
+    for block in passes(asked, pass_terms):
+        one = found_by(index, weighted(index, block, n_docs), id_type, item_type, k)
+        found = one if found is None else found.union(one)
+    if found is None:
+        found = found_by(index.limit(0), [], id_type, item_type, k)
     order = Window.partitionBy("item_no").orderBy(F.desc("score"), F.col("key").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("item_no", F.col("item").alias(item_col), "rank", F.col("key").alias(id_col), "score")
