@@ -131,10 +131,14 @@ def orphan_order(spark, sf):
     return o.select("image_id", "component", F.row_number().over(order).alias("place"))
 
 
-@query("merged_fragments")
+@query(
+    "merged_fragments",
+    f"""select l.image_id, l.x, l.y, coalesce(l.label, s.label) as label from land l
+    left join settle{raster_views.MERGE_ROUNDS - 1} s on s.image_id = l.image_id and s.f = l.f""",
+)
 def merged_fragments(spark, sf):
-    """Fragments below 12 pixels join the nearest region; checked by brute force in the tests."""
-    merged, _ = R.merge_fragments(grown_px(spark, sf)[1]["pixels"], min_area=12, tile=V.TILE)
+    """Fragments below 12 pixels join the nearest region."""
+    merged, _ = R.merge_fragments(grown_px(spark, sf)[1]["pixels"], min_area=raster_views.MERGE_AREA, tile=V.TILE)
     return merged.select(*ID, "label")
 
 

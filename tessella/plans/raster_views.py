@@ -129,3 +129,40 @@ view(
     sum(x)::bigint // count(*) as cx, sum(y)::bigint // count(*) as cy from dil2 group by all""",
 )
 component_views("out", "select image_id, x, y, label as cls from dil2")
+
+# Fragments below 12 pixels: steps over line pixels to regions and other fragments, then the settling in raster order.
+MERGE_AREA, MERGE_STEPS, MERGE_ROUNDS = 12, 40, 8
+view(
+    "loose",
+    f"select image_id, component as f from grown where component is not null and label is null group by image_id, component having count(*) < {MERGE_AREA}",
+)
+view(
+    "land",
+    "select g.image_id, g.x, g.y, g.line, g.label, l.f from grown g left join loose l on l.image_id = g.image_id and l.f = g.component",
+)
+view(
+    "ring",
+    f"""select image_id, f, x, y, 0 as d from land where f is not null union
+    select r.image_id, r.f, p.x, p.y, r.d + 1 from ring r cross join step4 s join land p on p.image_id = r.image_id and p.x = r.x + s.dx and p.y = r.y + s.dy
+    where p.line and p.label is null and r.d < {MERGE_STEPS}""",
+)
+view(
+    "reach",
+    """select r.image_id, r.f, p.label, p.f as other, min(r.d) + 1 as d from ring r cross join step4 s
+    join land p on p.image_id = r.image_id and p.x = r.x + s.dx and p.y = r.y + s.dy
+    where p.label is not null or (p.f is not null and p.f < r.f) group by all""",
+)
+view("grown_area", "select image_id, label, count(*) as area from grown where label is not null group by all")
+view(
+    "settle0",
+    """select r.image_id, r.f, r.d, a.area, r.label from reach r join grown_area a using (image_id, label)
+    qualify row_number() over (partition by r.image_id, r.f order by r.d, a.area desc, r.label) = 1""",
+)
+for _n in range(1, MERGE_ROUNDS):
+    view(
+        f"settle{_n}",
+        f"""select image_id, f, d, area, label from (select image_id, f, d, area, label from settle0 union all
+        select r.image_id, r.f, r.d, s.area, s.label from reach r join settle{_n - 1} s on s.image_id = r.image_id and s.f = r.other
+        where r.d <= coalesce((select n.d from settle0 n where n.image_id = r.image_id and n.f = r.f), {MERGE_STEPS}))
+        qualify row_number() over (partition by image_id, f order by d, area desc, label) = 1""",
+    )
