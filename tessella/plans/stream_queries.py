@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessella.plans import views as V
-from tessella.plans.registry import query
+from tessella.plans.registry import query, view
 from tessella.session import scratch_dir
 from tessella.streaming import documents as SD
+from tessella.streaming import live as SL
 from tessella.streaming import strokes as SS
 
 _OPS = [
@@ -71,3 +72,94 @@ def stream_dabs(spark, sf):
     return SS.committed(spark.read.parquet(out)).select(
         "stroke_id", "dab_no", *[F.round(c, 3).alias(c) for c in ("x", "y", "size", "alpha")]
     )
+
+
+# --- replays by event time -------------------------------------------------------------------
+
+PARTS = 4
+#: Milliseconds between two events of the replays.
+STEP_MS = 20
+
+
+def replay(spark, events, processor, keys, label):
+    """Streams ``events`` (with ``seq``) from files, a batch each, in which rows come again and out of order.
+
+    The files are written one after the other: a part of the log, the second half of the part before once more, and of
+    the next part every fifth row early. The last file moves the time on, so that all that waits is due.
+    """
+    n = events.agg(F.max("seq")).first()[0] or 0
+    size = n // PARTS + 1
+    at = F.timestamp_millis(F.col("seq") * STEP_MS)
+    rows = events.withColumn("at", at).withColumn("part", F.expr(f"cast(seq div {size} as int)"))
+    folder = f"{scratch_dir(spark)}/replay-{uuid.uuid4().hex}"
+    for part in range(PARTS):
+        early = (F.col("part") == part + 1) & (F.col("seq") % 5 == 0)
+        again = (F.col("part") == part - 1) & (F.col("seq") % size >= size // 2)
+        mine = rows.where((F.col("part") == part) | early | again).drop("part")
+        mine.coalesce(1).write.mode("append").parquet(folder)
+    ends = {**dict.fromkeys(keys, F.lit(-1)), "seq": F.lit(n + 10_000_000)}
+    last = rows.where(F.col("seq") == n).drop("part").withColumns({k: v.cast("long") for k, v in ends.items()}).withColumn("at", at)
+    last.coalesce(1).write.mode("append").parquet(folder)
+    SS.use_state_store(spark)
+    stream = SD.read_files(spark, folder, rows.drop("part").schema, per_batch=1)
+    out = SD.run_to_table(SL.by_event_time(stream, keys, processor, f"{3 * size * STEP_MS} milliseconds"), label, by_batch=SL.upsert_batch)
+    return spark.read.parquet(out).where(F.col(keys[0]) >= 0)
+
+
+@query(
+    "stream_state_changes",
+    """select doc_id, seq, r as color, colored from (select *, lag(r) over w as pr, lag(colored) over w as pc, row_number() over w as n from
+    (select doc_id, seq, r, sum(first) over (partition by doc_id order by seq)::bigint as colored from
+    (select *, (row_number() over (partition by doc_id, region_id order by seq) = 1)::int as first from ops))
+    window w as (partition by doc_id order by seq)) where n = 1 or pr <> r or pc <> colored""",
+)
+def stream_state_changes(spark, sf):
+    """On-change state of every document, from batches that repeat rows and bring some early."""
+    ops = V.ops(spark, sf).selectExpr("doc_id", "seq", "cast(region_id as long) as region_id", "cast(r as long) as color")
+    return SL.versions(replay(spark, ops, SL.StateChanges(), ["doc_id"], "changes")).select("doc_id", "seq", "color", "colored")
+
+
+view(
+    "hint_log",
+    """select user_id as doc_id, event_id as seq, case when event_type = 'error' then 'undo' else 'fill' end as kind, event_id % 3 as region_id,
+    row_number() over (partition by user_id order by event_id) as n, lead(event_id) over (partition by user_id order by event_id) as following from events""",
+)
+view(
+    "hint_walk",
+    """select doc_id, n, seq, following, case when kind = 'fill' then [region_id] else [] end as live from hint_log where n = 1
+    union all select l.doc_id, l.n, l.seq, l.following, case when l.kind = 'fill' then list_append(w.live, l.region_id) else w.live[:len(w.live) - 1] end
+    from hint_walk w join hint_log l on l.doc_id = w.doc_id and l.n = w.n + 1""",
+)
+
+
+@query(
+    "stream_idle_hints",
+    f"""select doc_id, seq, seq * {STEP_MS} + 3000 as hint_ms from hint_walk where len(list_distinct(live)) = 3
+    and (following is null or (following - seq) * {STEP_MS} > 3000)""",
+)
+def stream_idle_hints(spark, sf):
+    """Three regions a document, errors are undos: hints three seconds after the last operation on a coloured document."""
+    events = V.events(spark, sf).selectExpr(
+        "user_id as doc_id", "event_id as seq", "case when event_type = 'error' then 'undo' else 'fill' end as kind",
+        "event_id % 3 as region_id", "3L as total",
+    )
+    return replay(spark, events, SL.IdleHints(), ["doc_id"], "hints").select("doc_id", "seq", "hint_ms")
+
+
+_DELTA = "case when event_type = 'error' then -5 else event_id % 9 - 2 end"
+
+
+@query(
+    "stream_progress",
+    f"""select doc_id, region_id, flush_ms, sum(net) over (partition by doc_id, region_id order by flush_ms)::bigint as covered, dirty_tiles from
+    (select doc_id, region_id, flush_ms, sum(net) as net, count(*) filter (net <> 0) as dirty_tiles from
+    (select user_id % 7 as doc_id, user_id % 3 as region_id, event_id % 4 as tile, (event_id * {STEP_MS} // 500 + 1) * 500 as flush_ms, sum({_DELTA}) as net
+    from events group by all) group by all) qualify true""".replace(" qualify true", " where dirty_tiles > 0"),
+)
+def stream_progress(spark, sf):
+    """Coverage by region, told at most once in 500 ms; negative changes take it back."""
+    changes = V.events(spark, sf).selectExpr(
+        "user_id % 7 as doc_id", "user_id % 3 as region_id", "event_id as seq", "event_id % 4 as tile", f"cast({_DELTA} as long) as delta"
+    )
+    out = replay(spark, changes, SL.Progress(), ["doc_id", "region_id"], "progress")
+    return out.select("doc_id", "region_id", "flush_ms", "covered", "dirty_tiles")
