@@ -77,8 +77,8 @@ def stream_dabs(spark, sf):
 # --- replays by event time -------------------------------------------------------------------
 
 PARTS = 4
-#: Milliseconds between two events of the replays.
-STEP_MS = 20
+#: Milliseconds between two events of the replays, and the time of the first: a stream takes the epoch itself for late.
+STEP_MS, START_MS = 20, 1_000_000
 
 
 def replay(spark, events, processor, keys, label):
@@ -89,7 +89,7 @@ def replay(spark, events, processor, keys, label):
     """
     n = events.agg(F.max("seq")).first()[0] or 0
     size = n // PARTS + 1
-    at = F.timestamp_millis(F.col("seq") * STEP_MS)
+    at = F.timestamp_millis(F.col("seq") * STEP_MS + START_MS)
     rows = events.withColumn("at", at).withColumn("part", F.expr(f"cast(seq div {size} as int)"))
     folder = f"{scratch_dir(spark)}/replay-{uuid.uuid4().hex}"
     for part in range(PARTS):
@@ -134,7 +134,7 @@ view(
 
 @query(
     "stream_idle_hints",
-    f"""select doc_id, seq, seq * {STEP_MS} + 3000 as hint_ms from hint_walk where len(list_distinct(live)) = 3
+    f"""select doc_id, seq, seq * {STEP_MS} + {START_MS} + 3000 as hint_ms from hint_walk where len(list_distinct(live)) = 3
     and (following is null or (following - seq) * {STEP_MS} > 3000)""",
 )
 def stream_idle_hints(spark, sf):
@@ -153,7 +153,7 @@ _DELTA = "case when event_type = 'error' then -5 else event_id % 9 - 2 end"
     "stream_progress",
     f"""select doc_id, region_id, flush_ms, sum(net) over (partition by doc_id, region_id order by flush_ms)::bigint as covered, dirty_tiles from
     (select doc_id, region_id, flush_ms, sum(net) as net, count(*) filter (net <> 0) as dirty_tiles from
-    (select user_id % 7 as doc_id, user_id % 3 as region_id, event_id % 4 as tile, (event_id * {STEP_MS} // 500 + 1) * 500 as flush_ms, sum({_DELTA}) as net
+    (select user_id % 7 as doc_id, user_id % 3 as region_id, event_id % 4 as tile, ((event_id * {STEP_MS} + {START_MS}) // 500 + 1) * 500 as flush_ms, sum({_DELTA}) as net
     from events group by all) group by all) qualify true""".replace(" qualify true", " where dirty_tiles > 0"),
 )
 def stream_progress(spark, sf):
