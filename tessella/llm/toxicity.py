@@ -33,8 +33,10 @@ from tessella.llm.common import PRE, keyed_text
 BUCKETS, DIM = 1 << 16, 8
 SHORTEST, LONGEST = 3, 6
 PASSAGE, STRIDE = 12, 6
-#: At most so many labelled texts are fitted, at most so many of them clean.
-SAMPLE, CLEAN = 6000, 3000
+#: At most so many labelled texts are fitted, at most so many of them clean, none with more characters.
+SAMPLE, CLEAN, SAMPLE_CHARS = 6000, 3000, 20_000
+#: A longer run of letters and digits is read in pieces of this length; they overlap, so that no n-gram is lost.
+PIECE = 40
 EPOCHS, RATE, SEED, DECAY = 12, 0.5, 7, 1e-5
 MEMO = 300_000
 
@@ -42,12 +44,20 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    words = _WORD.findall(text.lower())
+    if words and max(map(len, words)) > PIECE:
+        words = [p for w in words for p in pieces(w)]
+    return words
+
+
+def pieces(word: str) -> list[str]:
+    step = PIECE - LONGEST + 1
+    return [word[i : i + PIECE] for i in range(0, max(1, len(word) - LONGEST + 1), step)]
 
 
 def subwords(word: str) -> set[int]:
     """Buckets of the word and of its n-grams, with marks at both ends."""
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     if marked.isascii():  # a gram is a slice of the bytes as well
         data, hash_of = marked.encode(), zlib.crc32
         n = len(data)
@@ -184,13 +194,14 @@ def held_out(key) -> F.Column:
 
 
 def training_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts outside the held-out fold, chosen by the hash of their keys."""
+    """A bounded sample of labelled texts outside the held-out fold, chosen by the hash of their keys; very long ones are not fitted."""
     keys = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias(f"{PRE}id"))
     keys = keys.agg(F.max(label_col).cast("int").alias("label")).where(~held_out(F.col(f"{PRE}id")))
     rank = F.xxhash64(f"{PRE}id")
     clean = keys.where("label = 0").orderBy(rank, f"{PRE}id").limit(CLEAN)
     toxic = keys.where("label = 1").orderBy(rank, f"{PRE}id").limit(SAMPLE - CLEAN)
-    rows = keyed_text(df, id_col, text_col).join(F.broadcast(clean.union(toxic)), f"{PRE}id")  # SAMPLE keys at most
+    rows = keyed_text(df, id_col, text_col).where(F.length(f"{PRE}text") <= SAMPLE_CHARS)
+    rows = rows.join(F.broadcast(clean.union(toxic)), f"{PRE}id")  # SAMPLE keys at most
     rows = rows.orderBy(rank, f"{PRE}id", f"{PRE}text").limit(SAMPLE)
     return [(r[0], r[1]) for r in rows.select(f"{PRE}text", "label").toLocalIterator()]
 

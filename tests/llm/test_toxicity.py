@@ -55,3 +55,42 @@ def test_odd_inputs(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert all(r.score == 0.5 for r in X.toxicity(docs, labels.limit(0)).collect())
     assert X.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_long_runs_are_read_to_their_end():
+    rng = random.Random(6)
+    run = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for n in (1, 39, 40, 41, 75, 76, 300):
+        word = run(n)
+        got = X.words_of(f"x {word} y")
+        assert got[0] == "x" and got[-1] == "y" and all(len(w) <= X.PIECE for w in got)
+        grams = {word[i : i + k] for k in range(X.SHORTEST, X.LONGEST + 1) for i in range(n - k + 1)}
+        assert grams == {p[i : i + k] for p in got[1:-1] for k in range(X.SHORTEST, X.LONGEST + 1) for i in range(len(p) - k + 1)}
+    sample = [(" ".join([run(5) for _ in range(30)] + (["wretched"] if i % 2 else [])), i % 2) for i in range(400)]
+    score = X.Scorer(*X.train(sample))
+    assert score(run(60) + "wretched") > score(run(68))
+
+
+def brute_score(model, text):
+    """Every passage by itself, every word from its grams."""
+    shares, bias = model
+    words = X.words_of(text)
+    value = [np.mean([shares[b] for b in X.subwords(w)]) for w in words]
+    spans = [(a, min(len(words), a + X.PASSAGE)) for a in range(0, max(1, len(words) - X.PASSAGE + X.STRIDE), X.STRIDE)] if len(words) > X.PASSAGE else [(0, len(words))]
+    best = max(sum(value[a:b]) / max(1, b - a) for a, b in spans)
+    return 1 / (1 + np.exp(-np.clip(best + bias, -30, 30)))
+
+
+def test_scorer_equals_brute_force():
+    rng = random.Random(7)
+    model = (np.random.default_rng(1).normal(size=X.BUCKETS), 0.3)
+    score = X.Scorer(*model)
+    for n in [0, 1, 11, 12, 13, 18, 19, 50, 200]:
+        text = " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.choice([2, 6, 90]))) for _ in range(n))
+        assert abs(score(text) - brute_score(model, text)) < 1e-9
+
+
+def test_very_long_texts_are_not_fitted(spark):
+    docs = spark.createDataFrame([(i, "text " * (6000 if i == 7 else 3)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert all(len(t) <= X.SAMPLE_CHARS for t, _ in X.training_sample(docs, labels, "doc_id", "text", "toxic"))
