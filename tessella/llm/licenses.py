@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
 Words of license language mark candidate blocks. A block is compressed on its own and with each template as
-a raw zstandard dictionary; templates are ranked by how many bytes their dictionary saves. The best few are
-aligned with the block word by word, and the one with the least differing wording wins if enough of its
-words are there in order. Its span, its missing and its additional words are reported. The rest of the block
+a raw zstandard dictionary; templates are ranked by how many bytes their dictionary saves. Down to the last one that
+saves anything, those most of whose words occur in the block are aligned with it word by word, and the one with
+the least differing wording wins if enough of its words are there in order. Its span, its missing and its additional words are reported. The rest of the block
 is looked at again until nothing more is found.
 
 Cases: a null or empty text has no license; a null key stays null; repeated rows give one result each; an
@@ -14,6 +14,7 @@ Other columns are not looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from tessella.llm.common import map_texts
 
 GAP, MARGIN = 400, 250
-#: Templates that are aligned by either ranking, least share of a template's words, most differing words for each of its words.
-RANKED, LEAST, MOST_DIFFERENT = 5, 0.85, 0.25
+#: Least share of a template's words, most differing words for each of its words.
+LEAST, MOST_DIFFERENT = 0.85, 0.25
 #: A level that looks at every byte of a dictionary; the fast ones step over some.
 LEVEL = 19
 #: A block of so many characters at most is aligned at once; longer ones are cut with an overlap.
@@ -48,6 +49,13 @@ notice, this list of conditions and the following disclaimer in the documentatio
 the distribution."""
 _BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
 promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this permission notice appear in all copies."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
@@ -63,15 +71,21 @@ option) any later version."""
 _UNLICENSE = "This is free and unencumbered software released into the public domain."
 
 
+CC_PARTS = {"SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+#: Wordings that are no license of their own.
+WITHOUT_TAG = {"BSD-Disclaimer"}
+
+
 def templates() -> dict[str, list[str]]:
     """Wordings by license. The wordings that licenses ask for and the usual short forms."""
     out = {
         "MIT": [_MIT_GRANT, "Released under the MIT License.", "Licensed under the MIT license."],
-        "BSD-2-Clause": [_BSD_TWO, "Licensed under the BSD 2-Clause License."],
-        "BSD-3-Clause": [f"{_BSD_TWO} {_BSD_THIRD}", "Licensed under the BSD 3-Clause License."],
+        "BSD-2-Clause": [_BSD_TWO, f"{_BSD_TWO} {_BSD_DISCLAIMER}", "Licensed under the BSD 2-Clause License."],
+        "BSD-3-Clause": [f"{_BSD_TWO} {_BSD_THIRD}", f"{_BSD_TWO} {_BSD_THIRD} {_BSD_DISCLAIMER}", "Licensed under the BSD 3-Clause License."],
         "ISC": [_ISC, "Licensed under the ISC License."],
         "Apache-2.0": [_APACHE, "Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0."],
         "MPL-2.0": [_MPL, "Licensed under the Mozilla Public License, version 2.0."],
+        "BSD-Disclaimer": [_BSD_DISCLAIMER],
         "Unlicense": [_UNLICENSE],
         "CC0-1.0": ["Licensed under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
     }
@@ -85,12 +99,24 @@ def templates() -> dict[str, list[str]]:
             ]
     for form in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         for v in ("3.0", "4.0"):
-            out[f"CC-{form}-{v}"] = [f"Licensed under CC {form} {v}.", f"This work is licensed under CC {form} {v}."]
+            long = "-".join(["Attribution", *(CC_PARTS[p] for p in form.split("-")[1:])])
+            scope = "International" if v == "4.0" else "Unported"
+            out[f"CC-{form}-{v}"] = [
+                f"Licensed under CC {form} {v}.",
+                f"This work is licensed under CC {form} {v}.",
+                f"Creative Commons {long} {v} {scope} License",
+                f"This work is licensed under a Creative Commons {long} {v} {scope} License.",
+            ]
+    for name, texts in out.items():
+        if name in WITHOUT_TAG:
+            continue
+        tags = [name] if "GPL" not in name else [name, f"{name}-only", f"{name}-or-later"]
+        texts += [f"SPDX-License-Identifier: {tag}" for tag in tags]
     return out
 
 
 _MARK = re.compile(
-    r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|unencumbered|spdx|liab|copies|disclaimer|endorse|apache|mozilla",
+    r"licen[cs]e|copyright|permission|redistribut|warrant|public domain|unencumbered|spdx|liab|copies|disclaimer|endorse|apache|mozilla|creative commons",
     re.I,
 )
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
@@ -119,18 +145,19 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
 
     def ranked(self, block: str) -> list[tuple[int, str, list[str]]]:
-        """(bytes saved, license, words) of the templates that save most, in all or for their length."""
+        """(bytes saved, license, words) of the templates that save any, the most for their length first."""
         data = " ".join(block.lower().split()).encode()
         size = len(self.alone.compress(data))
         saved = [(size - len(c.compress(data)), name, words, n) for name, words, n, c in self.entries]
-        most = sorted(saved, key=lambda s: (-s[0], s[1]))[:RANKED] + sorted(saved, key=lambda s: (-s[0] / s[3], s[1]))[:RANKED]
-        return [(s, name, words) for i, (s, name, words, _) in enumerate(most) if (s, name, words) not in [m[:3] for m in most[:i]]]
+        return [(s, name, words) for s, name, words, n in sorted(saved, key=lambda s: (-s[0] / s[3], s[1])) if s > 0]
 
     def best(self, text: str, lo: int, hi: int) -> tuple | None:
         """The license of text[lo:hi] with the least differing wording, if any is confirmed."""
         words = [(m[0].lower(), lo + m.start(), lo + m.end()) for m in _WORD.finditer(text[lo:hi])]
-        found = []
+        found, there = [], Counter(w for w, *_ in words)
         for saved, name, wording in self.ranked(text[lo:hi]):
+            if sum((Counter(wording) & there).values()) < LEAST * len(wording):
+                continue  # no alignment can have enough of its words
             parts = [p for p in SequenceMatcher(None, wording, [w for w, *_ in words], autojunk=False).get_matching_blocks() if p.size]
             parts = dense(parts)
             equal = sum(p.size for p in parts)
@@ -166,7 +193,7 @@ def freeze(hit: tuple) -> tuple:
 
 def telling(missing: list[str]) -> bool:
     """Whether words are missing that tell one license from another: numbers and the letters of a form."""
-    return any(any(c.isdigit() for c in w) or re.fullmatch(r"by(-\w\w)*", w) for w in missing)
+    return any(any(c.isdigit() for c in w) or re.fullmatch(r"by(-\w\w)*|attribution(-\w+)*", w) for w in missing)
 
 
 def dense(parts: list) -> list:

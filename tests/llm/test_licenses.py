@@ -53,3 +53,53 @@ def test_query_finds_all_short_forms(spark):
         want[r.doc_id] = [name for _, name in found]
     got = {r.doc_id: [s.rsplit(":", 2)[0] for s in r.spans.split(",") if s] for r in QUERIES["op2_license_compression"](spark, sf).collect()}
     assert any(want.values()) and {k: sorted(set(v)) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_tags_long_forms_and_disclaimers():
+    scan = L.Scanner(L.templates())
+    want = {
+        "# SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "under the Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        f"x {L._BSD_TWO} {L._BSD_DISCLAIMER} y": "BSD-2-Clause",
+        f"x {L._BSD_DISCLAIMER} y": "BSD-Disclaimer",
+    }
+    for text, name in want.items():
+        assert [h[0] for h in scan(text)] == [name], text
+    assert scan("Creative Commons Attribution-Other 4.0 International License") == []
+
+
+def test_ranking_goes_on_to_the_end(monkeypatch):
+    """Whatever the order of the ranking, the same license is confirmed."""
+    rng, scan = random.Random(5), L.Scanner(L.templates())
+    texts = [f"{prose(rng, 40)}\n{w}\n{prose(rng, 40)}" for ws in list(L.templates().values())[:12] for w in ws]
+    want = [scan(t) for t in texts]
+    real = L.Scanner.ranked
+    monkeypatch.setattr(L.Scanner, "ranked", lambda self, block: real(self, block)[::-1])
+    assert [scan(t) for t in texts] == want
+
+
+def test_equals_alignment_with_every_template():
+    """Brute force: every wording is aligned with the whole text, without compression or bags of words."""
+    from difflib import SequenceMatcher
+
+    rng, scan = random.Random(6), L.Scanner(L.templates())
+    wordings = [(name, L._WORD.findall(" ".join(t.lower().split()))) for name, ts in L.templates().items() for t in ts]
+    for name, ts in list(L.templates().items())[::3]:
+        words = ts[0].split()
+        if len(words) > 12:
+            words[len(words) // 2] = "otherwise"
+        text = f"{prose(rng, 20)}\n{' '.join(words)}\n{prose(rng, 20)}"
+        tokens = L._WORD.findall(text.lower())
+        scored = []
+        for other, wording in wordings:
+            parts = L.dense([p for p in SequenceMatcher(None, wording, tokens, autojunk=False).get_matching_blocks() if p.size])
+            equal = sum(p.size for p in parts)
+            if parts and equal >= L.LEAST * len(wording):
+                held = {i for p in parts for i in range(p.a, p.a + p.size)}
+                missing = [w for i, w in enumerate(wording) if i not in held]
+                differ = len(missing) + parts[-1].b + parts[-1].size - parts[0].b - equal
+                if differ <= L.MOST_DIFFERENT * len(wording) and not L.telling(missing):
+                    scored.append((differ / equal, -equal, other))
+        assert scan(text)[0][0] == min(scored)[2] == name
