@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +73,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Sizes of the groups in which card numbers are printed.
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 _GROUP = re.compile(r"[0-9]+")
+_HEX_GROUP = re.compile(r"[0-9A-Fa-f]+")
 _DOTTED = re.compile(r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ -]?[A-Za-z0-9])")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")
@@ -84,7 +86,9 @@ _SPELLED = re.compile(
     r"(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\.) ?[A-Za-z0-9-]{1,63})+",
     re.I | re.A,
 )
-_SIXES = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![\w:])")
+_SIXES = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:])")
+#: Beginnings of addresses that are in use.
+_SIX_PREFIX = re.compile(r"(?:2[0-9a-f]{3}|3[0-9a-f]{3}|fe[89ab][0-9a-f]|f[cd][0-9a-f]{2}):", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -187,21 +191,31 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, float]]:
             ipaddress.IPv6Address(m[0])
         except ValueError:
             continue
-        yield "ipv6", m.start(), m.end(), 0.65
+        groups = len(_HEX_GROUP.findall(m[0]))
+        usual = groups >= 4 or groups >= 2 and _SIX_PREFIX.match(m[0])
+        yield "ipv6", m.start(), m.end(), 0.65 if usual else 0.4
 
 
 def entities(text: str) -> list[tuple]:
     """All spans of a text by kind as listed, then start; an added span never overlaps another span."""
     found = [(k, a, b, min(1.0, 0.7 + context(text, k, a, b)), True, text[a:b]) for k, a, b in base_spans(text)]
-    added, taken = [], sorted((a, b) for _, a, b, *_ in found)
-    if _GROUP.search(text) or _SPELLED_AT.search(text):
+    added, starts, ends = [], [], []
+    for a, b in sorted((a, b) for _, a, b, *_ in found):  # as stretches that do not overlap
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    if _GROUP.search(text) or _SPELLED_AT.search(text) or "::" in text:
         for kind, a, b, score in proposals(text):
             score += context(text, kind, a, b)
             if score >= THRESHOLD - 1e-9:
                 added.append((-score, a, b, kind))
     for score, a, b, kind in sorted(added):
-        if not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
+        at = bisect_left(starts, b)  # stretches that begin before the span ends
+        if not at or ends[at - 1] <= a:
+            starts.insert(at, a)
+            ends.insert(at, b)
             found.append((kind, a, b, min(1.0, -score), False, text[a:b]))
     return sorted(found, key=lambda s: (ORDER[s[0]], s[1]))
 

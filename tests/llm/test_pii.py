@@ -51,6 +51,32 @@ def test_checksums_and_context():
     assert kinds("plain words, 2024-05-06, version 1.2.3, 3.14159") == []
 
 
+def test_compressed_addresses():
+    for text in ("see 2001:db8::1 there", "at fe80::1ff:fe23 now", "host fe80::1", "2001:0db8:0:0::1:8a2e", "::ffff:1:2:3:4 x"):
+        (span,) = [s for s in pii.entities(text) if s[0] == "ipv6"]
+        assert "::" in text[span[1] : span[2]] and span[1] == min(i for i, c in enumerate(text) if c in "0123456789abcdef:" and ":" in text[i:].split()[0])
+    for text in ("std::vector a::b", "12:30:45", "1:2:3:4:5:6:7:8:9", "dead::beef", "a :: b"):
+        assert [s for s in pii.entities(text) if s[0] == "ipv6"] == [], text
+
+
+def test_many_spans_in_one_text():
+    """Spans never overlap an added one, and eight times the spans take no more than about eight times the time."""
+    import time
+
+    rng = random.Random(4)
+    part = lambda: f"{rng.choice(['call', 'x'])} (555) 234-{rng.randrange(1000, 9999)} a@b.cd 2001:db8::{rng.randrange(1, 9999)} "
+    spent = []
+    for n in (2_000, 16_000):
+        text = "".join(part() for _ in range(n))
+        start = time.process_time()
+        spans = pii.entities(text)
+        spent.append(time.process_time() - start)
+        assert len(spans) == 3 * n
+        ordered = sorted(s[1:3] for s in spans)
+        assert all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:]))
+    assert spent[1] < 20 * spent[0]
+
+
 def test_long_texts_take_time_in_proportion():
     for text in ("a" * 300_000, "1" * 300_000, "+1" + "(" * 300_000, "1." * 150_000, "a." * 150_000 + "@"):
         pii.entities(text)
