@@ -2,12 +2,13 @@
 
 Base kinds (assign, access, hex) are patterns whose matches are always reported. The field adds spans: it
 tags tokens as begin, inside or outside of a secret from the token's shape, the words near it and features
-of the file, and decodes by Viterbi. A token without a digit, in plain letters and not soon after a telling
-word is outside by definition; a stretch of such tokens is one known tag, so only the stretches between are
-decoded, exactly.
+of the file, and decodes by Viterbi. A token of fewer than 24 plain letters, with no capital behind a small one, no
+underscore and no digit, and not soon after a telling word, is outside by definition; a stretch of such tokens is one
+known tag, so only the stretches between are decoded, exactly.
 
-The field is trained here: words around come from a bounded sample of the texts' lines (``SAMPLE`` of them), and
-secrets of many forms, and harmless look-alikes, are set among them.
+The field is trained here: words around come from a bounded sample of the texts' lines (``SAMPLE`` different ones, in
+pieces of ``PIECE`` characters), with the features of the text each is from; secrets of many forms, and harmless
+look-alikes, are set among them, more of them where the text looks like code.
 
 Cases: a null or empty text has no span; a null key stays null; repeated rows give one result each; with no
 text at all the sample is empty and the field learns from the generated lines alone; an empty table gives
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +37,11 @@ KINDS = (*BASE_KINDS, "crf")
 TAGS = ("O", "B", "I")
 BUCKETS = 1 << 14
 #: Lines whose words surround the training secrets, and lines made of them.
-SAMPLE, LINES, SEED, EPOCHS = 2000, 2400, 11, 4
-#: A token this soon after a telling word is always looked at.
-REACH = 4
+SAMPLE, PIECE, LINES, SEED, EPOCHS = 2000, 2000, 2800, 11, 4
+#: Share of generated lines with a secret, in code and elsewhere.
+IN_CODE, IN_PROSE = 0.6, 0.45
+#: A token this soon after a telling word is always looked at, and one of so many characters.
+REACH, LONG = 4, 24
 
 # Words that announce a secret, and words that announce a harmless code.
 TELLING = {
@@ -56,6 +59,7 @@ _TOKEN = re.compile(r"[^\s\"'`,;:=()\[\]{}<>|]+|[:=]")
 #: Words whose names announce a secret when they end in them, as in signing_key.
 ENDINGS = ("key", "token", "secret", "password")
 _DIGIT = re.compile("[0-9]")
+_CAMEL = re.compile("[a-z][A-Z]")
 #: The shortest of the telling words and endings that all others hold.
 _PARTS = [w for w in sorted({*TELLING, *ENDINGS}) if not any(v != w and v in w for v in {*TELLING, *ENDINGS})]
 
@@ -109,10 +113,17 @@ def worth_a_look(text: str) -> bool:
     """
     if _DIGIT.search(text) or not text.isascii() and any(c.isdigit() for c in set(text)):
         return True
+    if "_" in text or _CAMEL.search(text) or max(map(len, text.split()), default=0) >= LONG:
+        return True
     low = text.lower()
     return any(w in low for w in _PARTS)
 
 
+def odd_letters(token: str) -> bool:
+    """Whether a token without digits does not look like a word."""
+    return len(token) >= LONG or "_" in token.strip("_") or _CAMEL.search(token) is not None
+
+
 def looked_at(tokens: list[str]) -> list[bool]:
     """Tokens that may be part of a secret; all others are outside."""
     near, out = 0, []
@@ -122,7 +133,7 @@ def looked_at(tokens: list[str]) -> list[bool]:
             continue
         word = bare(t)
         digits = sum(c.isdigit() for c in t)
-        out.append(len(t) >= 6 and word not in TELLING and (near > 0 or (0 < digits and len(t) - digits >= 2)))
+        out.append(len(t) >= 6 and word not in TELLING and (near > 0 or (0 < digits and len(t) - digits >= 2) or odd_letters(t)))
         near = REACH if word in TELLING or any(word.endswith(f"_{w}") for w in ENDINGS) else near - 1
     return out
 
@@ -227,6 +238,8 @@ class Field:
                 self.move += 0.2 * pairs / np.sqrt(move_sq)
 
 
+# Beginnings of the tokens of well-known services.
+PREFIXES = ["ghp_", "gho_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_", "AIza", "ya29.", "hf_"]
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -236,11 +249,15 @@ def some(rng: random.Random, signs: str, n: int) -> str:
 
 def secret(rng: random.Random) -> tuple[str, bool]:
     """A generated secret, and whether it is one wherever it stands."""
-    kind = rng.randrange(9)
+    kind = rng.randrange(11)
+    if kind == 9:
+        return rng.choice(PREFIXES) + some(rng, _ALNUM[:52], rng.randint(20, 40)), True
+    if kind == 10:
+        return some(rng, _ALNUM[:52], rng.randint(24, 44)), True
     if kind == 0:
         return some(rng, _ALNUM, rng.randint(20, 64)), True
     if kind == 1:
-        return rng.choice(["ghp_", "gho_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_", "AIza", "ya29.", "hf_"]) + some(rng, _ALNUM + "_", rng.randint(20, 40)), True
+        return rng.choice(PREFIXES) + some(rng, _ALNUM + "_", rng.randint(20, 40)), True
     if kind == 2:
         return some(rng, _ALNUM + "+/", rng.randint(28, 60)) + rng.choice(["", "=", "=="]), True
     if kind == 3:
@@ -259,7 +276,16 @@ def secret(rng: random.Random) -> tuple[str, bool]:
 def harmless(rng: random.Random) -> list[str]:
     """A look-alike with the words before it."""
     digits, hexes = "0123456789", "0123456789abcdef"
-    kind = rng.randrange(10)
+    kind = rng.randrange(14)
+    part = lambda: some(rng, "abcdefghilmnorst", rng.randint(3, 9))
+    if kind == 10:
+        return [part() + "".join(part().title() for _ in range(rng.randint(1, 4)))]
+    if kind == 11:
+        return [rng.choice(["_", "-"]).join(part() for _ in range(rng.randint(2, 5)))]
+    if kind == 12:
+        return ["".join(part().title() for _ in range(rng.randint(2, 5)))]
+    if kind == 13:
+        return [rng.choice([str.lower, str.upper])("".join(part() for _ in range(rng.randint(3, 7))))]
     if kind == 0:
         return [f"{some(rng, digits, 3)}-{some(rng, digits, 4)}", "ext", some(rng, digits, 3)]
     if kind == 1:
@@ -281,45 +307,67 @@ def harmless(rng: random.Random) -> list[str]:
     return [some(rng, "abcdefghilmnorst", rng.randint(3, 7)) + some(rng, digits, 4) + rng.choice(["th", "km", "px", "kg", "st"])]
 
 
+def line_of(words: list[str], rng: random.Random, share: float) -> tuple[list[str], list[int]]:
+    """Tokens and tags of a generated line; ``share`` of them hold a secret."""
+    around = lambda k: [rng.choice(words) for _ in range(rng.randint(0, k))]
+    tokens, tags = around(8), []
+    what = rng.random()
+    if what < share:
+        value, plain = secret(rng)
+        if not plain or rng.random() < 0.6:
+            lead = [rng.choice(sorted(TELLING))] + rng.choice([[":"], ["="], ["is"], [], ["the", "is"]])
+            tokens += [w.upper() if rng.random() < 0.2 else w for w in lead]
+        start = len(tokens)
+        tokens += [value]
+        if rng.random() < 0.15:  # a phrase of several parts
+            tokens += [some(rng, _ALNUM, rng.randint(6, 12)) for _ in range(rng.randint(1, 3))]
+        tags = [0] * start + [1] + [2] * (len(tokens) - start - 1)
+    elif what < 0.9:
+        tokens += [w for w in harmless(rng) if w]
+    else:  # a telling word with nothing to tell
+        tokens += [rng.choice(sorted(TELLING)), rng.choice(["is", "of", "for", ":"]), *around(3)]
+    tokens += around(8)
+    return tokens, tags + [0] * (len(tokens) - len(tags))
+
+
 def lines(words: list[str], rng: random.Random, n: int) -> Iterator[tuple[list[str], list[int]]]:
     """Tokens and tags of generated lines."""
     for _ in range(n):
-        around = lambda k: [rng.choice(words) for _ in range(rng.randint(0, k))]
-        tokens, tags = around(8), []
-        what = rng.random()
-        if what < 0.5:
-            value, plain = secret(rng)
-            if not plain or rng.random() < 0.6:
-                lead = [rng.choice(sorted(TELLING))] + rng.choice([[":"], ["="], ["is"], [], ["the", "is"]])
-                tokens += [w.upper() if rng.random() < 0.2 else w for w in lead]
-            start = len(tokens)
-            tokens += [value]
-            if rng.random() < 0.15:  # a phrase of several parts
-                tokens += [some(rng, _ALNUM, rng.randint(6, 12)) for _ in range(rng.randint(1, 3))]
-            tags = [0] * start + [1] + [2] * (len(tokens) - start - 1)
-        elif what < 0.85:
-            tokens += [w for w in harmless(rng) if w]
-        else:  # a telling word with nothing to tell
-            tokens += [rng.choice(sorted(TELLING)), rng.choice(["is", "of", "for", ":"]), *around(3)]
-        tokens += around(8)
-        yield tokens, tags + [0] * (len(tokens) - len(tags))
-
-
-def training_words(df: DataFrame, text_col: str) -> list[str]:
-    """Words of a bounded sample of the texts' lines, chosen by hash; tokens with digits are left out."""
-    lines = keyed_text(df, text_col, text_col).select(F.explode(F.split(f"{PRE}text", "\n", -1)).alias("t"))
-    lines = lines.where(F.length("t").between(20, 2000)).select(F.xxhash64("t").alias("h"), "t")
-    least = lines.orderBy("h", "t").limit(SAMPLE).repartition(1)  # one task keeps the least, not the driver
-    sample = [r.t for r in least.collect()]
-    words = [w for t in sample for w in _TOKEN.findall(t) if not any(c.isdigit() for c in w) and bare(w) not in TELLING]
-    return words or ["the", "of", "and", "line"]
-
-
-def train(words: list[str]) -> Field:
+        yield line_of(words, rng, 0.5)
+
+
+def text_signs() -> Column:
+    """``File.of`` as columns: whether the text looks like code, and whether it is short."""
+    text = F.col(f"{PRE}text")
+    signs = F.length(text) - F.length(F.translate(text, "={;", ""))
+    return F.struct((signs * 60 > F.length(text)).alias("code"), (F.length(text) < 400).alias("short"))
+
+
+def training_lines(df: DataFrame, text_col: str) -> list[tuple[list[str], File]]:
+    """Words and file features of a bounded sample of different lines, chosen by hash.
+
+    Lines are taken in pieces of ``PIECE`` characters, so that the sample is bounded whatever their length. The least hashes are
+    found first, by partial distinct, and the pieces with these hashes (``SAMPLE`` numbers) are read then. Tokens with
+    digits are left out.
+    """
+    texts = keyed_text(df, text_col, text_col).select(text_signs().alias("file"), F.explode(F.split(f"{PRE}text", "\n", -1)).alias("line"))
+    begins = F.sequence(F.lit(0), F.expr(f"(length(line) - 1) div {PIECE}").cast("int"))
+    parts = texts.where(F.length("line") > 0).select("file", F.explode(F.transform(begins, lambda i: F.substring("line", i * PIECE + 1, F.lit(PIECE)))).alias("t"))
+    parts = parts.select(F.xxhash64("t").alias("h"), "t", "file")
+    least = parts.select("h").distinct().orderBy("h").limit(SAMPLE)
+    held = parts.join(F.broadcast(least), "h").groupBy("h").agg(F.min(F.struct("t", "file")).alias("s"))
+    rows = held.orderBy("h").select("s.t", "s.file.code", "s.file.short").repartition(1).collect()
+    keep = lambda t: [w for w in _TOKEN.findall(t) if not any(c.isdigit() for c in w) and bare(w) not in TELLING]
+    return [(words, File(r.code, r.short)) for r in rows if (words := keep(r.t))]
+
+
+def train(words: list[str], sample: list[tuple[list[str], File]] | None = None) -> Field:
+    """A field from generated lines among ``words``, or among the words of the lines of ``sample`` with their features."""
     rng = random.Random(SEED)
     examples = []
-    for tokens, tags in lines(words, rng, LINES):
-        file = File(rng.random() < 0.3, rng.random() < 0.3)
+    for _ in range(LINES):
+        around, file = rng.choice(sample) if sample else (words, File(rng.random() < 0.3, rng.random() < 0.3))
+        tokens, tags = line_of(around, rng, IN_CODE if file.code else IN_PROSE)
         for a, b in stretches(looked_at(tokens)):
             examples.append(([features(tokens, i, file) for i in range(a, b)], tags[a:b]))
     field = Field()
@@ -364,7 +412,7 @@ def secrets_of(text: str, field: Field) -> list[tuple[str, int, int]]:
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its key and ``secrets`` (kind, start, end)."""
-    field = train(training_words(df, text_col))
+    field = train(["the", "of", "and", "line"], training_lines(df, text_col))
     held = df.sparkSession.sparkContext.broadcast((field.emit, field.move))  # of fixed size
 
     def make():

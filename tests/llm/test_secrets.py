@@ -103,3 +103,28 @@ def test_rows(spark):
     want = [(1, 1, 0, 1, "assign:2:51,hex:11:51"), (1, 0, 0, 0, "crf:12:52"), (None, 0, 1, 0, "access:0:20"), (3, 0, 0, 0, ""), (4, 0, 0, 0, ""), (5, 0, 0, 0, "")]
     assert got == sorted(want, key=str)
     assert S.secrets_digest(df.limit(0)).count() == 0
+
+
+def test_letters_alone_are_decoded():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    field = S.train(words)
+    for text in ("deploy ghp_abcdefghijklmnopqrstuvwxyzABCDEFGHIJ now", "use kGmTqWzLpRsVbNxYcDfHjKwQaZeXoUiPyTt here"):
+        assert [text[a:b] for a, b in S.field_spans(text, field)] == [text.split()[1]], text
+    for text in ("call getElementById and max_line_ratio", "an Internationalisierungsbehoerde wrote", "plain words of prose alone"):
+        assert list(S.field_spans(text, field)) == [], text
+
+
+def test_sample_of_lines(spark):
+    hot = [(i, "the same hot line\n" * 3 + f"line number {chr(97 + i % 26)}{chr(97 + i // 26)} of its own") for i in range(300)]
+    code = [(1000, "\n".join(f"x{chr(97 + i)} = {{y}};" for i in range(20)))]
+    long = [(2000, "word " * 3000)]
+    df = spark.createDataFrame(hot + code + long + [(3000, None), (3001, "")], "doc_id long, text string")
+    got = S.training_lines(df, "text")
+    same = [w for w, _ in got if w == ["the", "same", "hot", "line"]]
+    assert len(same) == 1 and len(got) <= S.SAMPLE and max(len(w) for w, _ in got) <= S.PIECE
+    assert {f.code for w, f in got if "=" in w} == {True} and {f.code for w, f in got if "number" in w} == {False}
+    texts = [r.text or "" for r in df.collect()]
+    flags = [tuple(r[0]) for r in S.keyed_text(df, "text", "text").select(S.text_signs()).collect()]
+    assert flags == [(f.code, f.short) for f in map(S.File.of, texts)]
+    assert S.training_lines(df.limit(0), "text") == []
