@@ -339,7 +339,7 @@ def lines(words: list[str], rng: random.Random, n: int) -> Iterator[tuple[list[s
 def text_signs() -> Column:
     """``File.of`` as columns: whether the text looks like code, and whether it is short."""
     text = F.col(f"{PRE}text")
-    signs = F.length(text) - F.length(F.translate(text, "={;", ""))
+    signs = sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit(""))) for sign in "={;")
     return F.struct((signs * 60 > F.length(text)).alias("code"), (F.length(text) < 400).alias("short"))
 
 
@@ -350,9 +350,11 @@ def training_lines(df: DataFrame, text_col: str) -> list[tuple[list[str], File]]
     found first, by partial distinct, and the pieces with these hashes (``SAMPLE`` numbers) are read then. Tokens with
     digits are left out.
     """
-    texts = keyed_text(df, text_col, text_col).select(text_signs().alias("file"), F.explode(F.split(f"{PRE}text", "\n", -1)).alias("line"))
+    texts = keyed_text(df, text_col, text_col).select(f"{PRE}text", text_signs().alias("file"))  # once a text, not once a line
+    texts = texts.select("file", F.explode(F.split(f"{PRE}text", "\n", -1)).alias("line"))
     begins = F.sequence(F.lit(0), F.expr(f"(length(line) - 1) div {PIECE}").cast("int"))
-    parts = texts.where(F.length("line") > 0).select("file", F.explode(F.transform(begins, lambda i: F.substring("line", i * PIECE + 1, F.lit(PIECE)))).alias("t"))
+    cut = F.when(F.length("line") <= PIECE, F.array("line")).otherwise(F.transform(begins, lambda i: F.substring("line", i * PIECE + 1, F.lit(PIECE))))
+    parts = texts.where(F.length("line") > 0).select("file", F.explode(cut).alias("t"))
     parts = parts.select(F.xxhash64("t").alias("h"), "t", "file")
     least = parts.select("h").distinct().orderBy("h").limit(SAMPLE)
     held = parts.join(F.broadcast(least), "h").groupBy("h").agg(F.min(F.struct("t", "file")).alias("s"))
