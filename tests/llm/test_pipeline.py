@@ -8,35 +8,41 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessella.llm import decontaminate, pii, quality
 from tessella.llm.tokens import vocabulary
-from test_simhash import brute_components, brute_print
+from test_near_text import groups_of, jaccard, shingles
 
 SF = "/root/testdata/sf0.001"
 
 
 def expected(spark, docs, bench):
-    """doc_id to final text, by plain code on collected rows."""
+    """doc_id to final text, by plain code on collected rows, without and with the near copies."""
     good = {r.doc_id for r in quality.judge(docs).collect() if r.kept}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
-    label = brute_components({i: brute_print(texts[i]) for i in sorted(texts)})
-    texts = {i: t for i, t in texts.items() if label[i] == i}
+    ids = sorted(texts)
+    sets = [shingles(texts[i]) for i in ids]
+    near = [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if jaccard(sets[a], sets[b]) >= 0.8]
+    label = groups_of(near, len(ids))
+    copies = {i for k, i in enumerate(ids) if label[k] != k}
     items = [decontaminate.words_of(r.text) for r in bench.collect()]
     held = lambda t: any(f" {' '.join(w)} " in t for w in items)
     texts = {i: t for i, t in texts.items() if not held(f" {' '.join(decontaminate.words_of(t))} ")}
-    return {i: pii.redacted(t) for i, t in texts.items()}
+    final = {i: pii.redacted(t) for i, t in texts.items()}
+    return {i: t for i, t in final.items() if i not in copies}, final
 
 
 def test_rows_equal_brute_force(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    want = expected(spark, docs, bench)
+    want, with_copies = expected(spark, docs, bench)
     rows = corpus_pipeline.run(spark, SF).collect()
     plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     got = {}
     for r in rows:
         got.setdefault(r.doc_id, []).append((r.start, r.ids))
-    assert set(got) == set(want)
+    # All that is no copy stays; of the copies at most a tenth is overlooked.
+    assert set(want) <= set(got) <= set(with_copies)
+    assert len(set(got) - set(want)) <= 0.1 * (len(with_copies) - len(want))
     for i, parts in got.items():
         ids = np.frombuffer(b"".join(b for _, b in sorted(parts)), "<u4").tolist()
-        assert ids == [*plain.encode(want[i], add_special_tokens=False).ids, 2]
+        assert ids == [*plain.encode(with_copies[i], add_special_tokens=False).ids, 2]
 
 
 def test_stages_keep_the_columns(spark):
