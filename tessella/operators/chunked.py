@@ -125,6 +125,82 @@ def previous(
     )
 
 
+def ordered(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: Column,
+    order: Sequence[str],
+    number: str | None = None,
+    sums: Mapping[str, Column] | None = None,
+    lows: Mapping[str, str] | None = None,
+    before: Mapping[str, str] | None = None,
+    totals: Mapping[str, tuple[str, Column]] | None = None,
+) -> DataFrame:
+    """Several statistics of one order in one pass, from one summary row per chunk.
+
+    ``number``: zero-based position; ``sums``: running sums; ``lows``: least value so far of one of these sums, by the
+    sum's name; ``before``: columns of the row before (NULL for the first); ``totals``: whole-key aggregates, and
+    for every sum and low its value at the end of the key as ``<name>_end``. The input is read twice at most.
+    """
+    sums, lows, before, totals = sums or {}, lows or {}, before or {}, totals or {}
+    rows = _spots(df, keys, chunk)
+    inside = W.partitionBy("_spot").orderBy(*order)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select("*", *[F.coalesce(F.sum(e).over(upto), F.lit(0)).alias(f"_l_{n}") for n, e in sums.items()])
+    local = local.select("*", *[F.min(f"_l_{of}").over(upto).alias(f"_m_{n}") for n, of in lows.items()])
+    packed = F.struct(F.lit(True).alias("_some"), *[F.col(src).alias(out) for out, src in before.items()])
+    parts = local.groupBy("_spot").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max_by(packed, F.struct(*order)).alias("_last"),
+        *[F.coalesce(F.sum(e), F.lit(0)).alias(f"_s_{n}") for n, e in sums.items()],
+        *[F.min(f"_l_{of}").alias(f"_d_{n}") for n, of in lows.items()],
+        *[PARTIAL[kind](e).alias(f"_p_{n}") for n, (kind, e) in totals.items()],
+    )
+    earlier = _whole(keys).orderBy("_spot._chunk").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("*", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    reach = {n: F.col(f"_b_{of}") + F.col(f"_d_{n}") for n, of in lows.items()}
+    carry = parts.select(
+        "_spot",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+        F.lag("_last").over(_whole(keys).orderBy("_spot._chunk")).alias("_carry"),
+        *[F.col(f"_b_{n}") for n in sums],
+        *[F.sum(f"_s_{n}").over(_whole(keys)).alias(f"{n}_end") for n in sums],
+        *[F.min(e).over(earlier).alias(f"_c_{n}") for n, e in reach.items()],
+        *[F.min(e).over(_whole(keys)).alias(f"{n}_end") for n, e in reach.items()],
+        *[COMBINE[kind](f"_p_{n}").over(_whole(keys)).alias(n) for n, (kind, _) in totals.items()],
+    )
+    local = local.withColumn("_prev", F.lag(packed).over(inside)).withColumn("_rn", F.row_number().over(inside))
+    prev = F.coalesce("_prev", "_carry")
+    return local.join(carry, "_spot").select(
+        *df.columns,
+        *([(F.col("_base") + F.col("_rn") - 1).cast("long").alias(number)] if number else []),
+        *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums],
+        *[F.least(F.col(f"_c_{n}"), F.col(f"_b_{of}") + F.col(f"_m_{n}")).alias(n) for n, of in lows.items()],
+        *[prev[out].alias(out) for out in before],
+        *[F.col(f"{n}_end") for n in [*sums, *lows]],
+        *totals,
+    )
+
+
+def islands(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Numbers the stretches of rows with one value (NULL is one), from 1, in one pass."""
+    rows = _spots(df, keys, chunk)
+    inside = W.partitionBy("_spot").orderBy(*order)
+    packed = F.struct(F.col(value).alias("v"))
+    opened = rows.withColumn("_prev", F.lag(packed).over(inside)).withColumn(
+        "_new", (F.col("_prev").isNotNull() & ~F.col("_prev.v").eqNullSafe(F.col(value))).cast("long")
+    )
+    parts = opened.groupBy("_spot").agg(
+        F.sum("_new").alias("_news"), F.min_by(packed, F.struct(*order)).alias("_first"), F.max_by(packed, F.struct(*order)).alias("_last")
+    )
+    whole = _whole(keys).orderBy("_spot._chunk")
+    begins = parts.select("*", (~F.lag("_last").over(whole).eqNullSafe(F.col("_first"))).cast("long").alias("_begin"))
+    earlier = whole.rowsBetween(W.unboundedPreceding, -1)
+    carry = begins.select("_spot", (F.coalesce(F.sum(F.col("_news") + F.col("_begin")).over(earlier), F.lit(0)) + F.col("_begin")).alias("_base"))
+    counted = opened.withColumn("_count", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return counted.join(carry, "_spot").select(*df.columns, (F.col("_base") + F.col("_count")).alias(name))
+
+
 def spread_join(
     rows: DataFrame, table: DataFrame, keys: Sequence[str], chunk: Column, how: str = "left"
 ) -> DataFrame:

@@ -13,8 +13,8 @@ from tessella.functions.shape import on_canvas
 from tessella.operators.chunked import (
     SEQ_BLOCK,
     attach_totals,
+    ordered,
     previous,
-    row_numbers,
     running,
     seq_block,
     spread_join,
@@ -26,6 +26,7 @@ COVERED_SHARE = 0.5
 IDLE_SECONDS = 3.0
 KEYFRAME_SECONDS = 30.0
 UNDO_POOL_BYTES = 64 * 1024 * 1024
+FUNNEL_HOUR = 3600
 FUNNEL_STEPS = ("download", "open", "finish", "paywall", "trial", "convert")
 
 
@@ -149,29 +150,22 @@ def completion(regions: DataFrame, fills: DataFrame, coverage: DataFrame, last:
 def funnel(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
     """Users that reached every step in order; ``events`` holds ``user_id, step, ts`` (seconds).
 
-    A step counts from the first time it happens at or after the step before it.  Each round
-    reads one step only and keeps one time per user.
+    A step counts from the first time it happens at or after the step before it.  A user's events of one hour are folded
+    to a vector that tells for every number of steps reached before it how many are reached after it; these
+    vectors are applied in the order of the hours.  The events are read once.
     """
-    reached = events.where(F.col("step") == steps[0]).groupBy("user_id").agg(F.min("ts").alias("at"))
-    counts = []
-    for n, step in enumerate(steps):
-        if n:
-            here = events.where(F.col("step") == step).select("user_id", "ts")
-            reached = (
-                spread_join(here, reached, ["user_id"], F.floor(F.col("ts")), "inner")
-                .where("ts >= at")
-                .groupBy("user_id")
-                .agg(F.min("ts").alias("at"))
-            )
-        counts.append(
-            reached.agg(F.count(F.lit(1)).alias("users")).select(
-                F.lit(n).alias("step_no"), F.lit(step).alias("step"), "users"
-            )
-        )
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    number = F.array_position(F.array(*map(F.lit, steps)), F.col("step")).cast("int") - 1
+    known = events.where(F.col("step").isin(*steps)).select(
+        F.struct("user_id").alias("user"), F.floor(F.col("ts") / FUNNEL_HOUR).alias("hour"), F.struct("ts", number.alias("n")).alias("e")
+    )
+    start = F.array(*map(F.lit, range(len(steps) + 1)))
+    fold = F.aggregate("events", start, lambda at, e: F.transform(at, lambda v: F.when(v == e["n"], v + 1).otherwise(v)))
+    hours = known.groupBy("user", "hour").agg(F.array_sort(F.collect_set("e")).alias("events")).select("user", F.struct("hour", fold.alias("to")).alias("h"))
+    reached = F.aggregate("hours", F.lit(0), lambda at, h: F.get(h["to"], at))
+    users = hours.groupBy("user").agg(F.array_sort(F.collect_list("h")).alias("hours")).select(reached.alias("reached"))
+    counts = users.agg(*[F.count_if(F.col("reached") > n).alias(f"_{n}") for n in range(len(steps))])
+    rows = F.array(*[F.struct(F.lit(n).alias("step_no"), F.lit(step).alias("step"), F.col(f"_{n}").alias("users")) for n, step in enumerate(steps)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 # --- logs -----------------------------------------------------------------------------------
@@ -186,19 +180,10 @@ def effective_log(log: DataFrame) -> DataFrame:
     still inside the final length is what remains.
     """
     step = F.when(F.col("kind") == "undo", -1).otherwise(1)
-    walked = running(
-        log.withColumn("_step", step), ["doc_id"], seq_block("seq"), [F.col("seq")], {"_sum": ("sum", F.col("_step"))}
-    )
-    floored = running(
-        walked, ["doc_id"], seq_block("seq"), [F.col("seq")], {"_low": ("min", F.col("_sum"))}
-    ).withColumn("slot", F.col("_sum") - F.least("_low", F.lit(0)))
-    final = attach_totals(
-        floored,
-        ["doc_id"],
-        seq_block("seq"),
-        {"_end": ("max", F.struct(F.col("seq"), F.col("slot")))},
-    )
-    written = final.where((F.col("kind") == "op") & (F.col("slot") <= F.col("_end.slot")))
+    walked = ordered(log, ["doc_id"], seq_block("seq"), ["seq"], sums={"_sum": step}, lows={"_low": "_sum"})
+    slot = F.col("_sum") - F.least("_low", F.lit(0))
+    last = F.col("_sum_end") - F.least("_low_end", F.lit(0))
+    written = walked.withColumn("slot", slot).where((F.col("kind") == "op") & (slot <= last))
     return written.groupBy("doc_id", "slot").agg(F.max("seq").alias("seq"))
 
 
@@ -208,13 +193,12 @@ def keyframes(ops: DataFrame, every_ops: int, every_seconds: float = KEYFRAME_SE
     ``ops`` holds ``doc_id, seq, ts`` (seconds).  A time keyframe falls on the first operation of
     a new period since the start of the document.
     """
-    numbered = row_numbers(ops, ["doc_id"], seq_block("seq"), [F.col("seq")], "n")
-    timed = attach_totals(numbered, ["doc_id"], seq_block("seq"), {"_t0": ("min", F.col("ts"))}).withColumn(
-        "period", F.floor((F.col("ts") - F.col("_t0")) / every_seconds)
+    seen = ordered(
+        ops, ["doc_id"], seq_block("seq"), ["seq"], number="n", before={"_ts": "ts"}, totals={"_t0": ("min", F.col("ts"))}
     )
-    seen = previous(timed, ["doc_id"], seq_block("seq"), "seq", {"_period": "period"})
+    period = lambda ts: F.floor((F.col(ts) - F.col("_t0")) / every_seconds)
     by_count = (F.col("n") + 1) % every_ops == 0
-    by_time = F.coalesce(F.col("period") > F.col("_period"), F.lit(False))
+    by_time = F.coalesce(period("ts") > period("_ts"), F.lit(False))
     return seen.where(by_count | by_time).select(
         "doc_id", "seq", F.when(by_count, "ops").otherwise("time").alias("reason")
     )
@@ -240,23 +224,18 @@ def backup_quota(works: DataFrame, quota: int) -> DataFrame:
     dropped is above the quota; ``over`` tells what still exceeds it.
     """
     size = F.col("log_bytes") + F.col("other_bytes")
-    day = F.floor(F.col("last_edited") / SEQ_BLOCK).cast("long")
-    summed = attach_totals(works, ["user_id"], day, {"_all": ("sum", size)})
-    freed = running(
-        summed,
+    own = F.when(F.col("shared"), F.col("log_bytes")).otherwise(F.lit(0))
+    freed = ordered(
+        works,
         ["user_id"],
-        day,
-        [F.col("last_edited"), F.col("doc_id")],
-        {"_freed": ("sum", F.when(F.col("shared"), F.col("log_bytes")).otherwise(F.lit(0)))},
+        F.floor(F.col("last_edited") / SEQ_BLOCK).cast("long"),
+        ["last_edited", "doc_id"],
+        sums={"_freed": own},
+        totals={"_all": ("sum", size)},
     )
-    own = F.when(F.col("shared"), F.col("log_bytes")).otherwise(F.lit(0))
     drop = F.col("shared") & (F.col("_all") - (F.col("_freed") - own) > quota)
-    marked = freed.withColumn("drop_log", drop)
-    return attach_totals(
-        marked, ["user_id"], day, {"_gone": ("sum", F.when(F.col("drop_log"), F.col("log_bytes")).otherwise(F.lit(0)))}
-    ).select(
-        "user_id", "doc_id", "drop_log", (F.col("_all") - F.col("_gone") > quota).alias("over")
-    )
+    # Logs go until the rest fits, so something is over only if it is with all of them gone.
+    return freed.select("user_id", "doc_id", drop.alias("drop_log"), (F.col("_all") - F.col("_freed_end") > quota).alias("over"))
 
 
 # --- quantised strokes ----------------------------------------------------------------------

@@ -96,9 +96,7 @@ def read_seeds(seed_px: DataFrame, tile: int = TILE) -> DataFrame:
     blobs = components(seed_px.where("a > 0"), F.lit(0), tile).select(
         "image_id", "x", "y", F.col("component").alias("blob")
     )
-    pixels = seed_px.select("image_id", "x", "y", "r", "g", "b", "a").join(
-        blobs, ["image_id", "x", "y"]
-    )
+    pixels = materialize(seed_px.select("image_id", "x", "y", "r", "g", "b", "a").join(blobs, ["image_id", "x", "y"]), "blobs")
     centred = attach_totals(
         pixels,
         ["image_id", "blob"],
@@ -124,12 +122,15 @@ def read_seeds(seed_px: DataFrame, tile: int = TILE) -> DataFrame:
         .agg(F.min(F.struct((-F.col("n")).alias("o"), "r", "g", "b")).alias("c"))
     )
     rgb = [F.coalesce(F.col(f"c.{k}"), F.lit(0)).cast("int").alias(k) for k in "rgb"]
-    seeds = anchors.join(colors, ["image_id", "blob"], "left").select(
-        "image_id",
-        F.col("at.x").alias("ax"),
-        F.col("at.y").alias("ay"),
-        *rgb,
-        "solid_area",
+    seeds = materialize(
+        anchors.join(colors, ["image_id", "blob"], "left").select(
+            "image_id",
+            F.col("at.x").alias("ax"),
+            F.col("at.y").alias("ay"),
+            *rgb,
+            "solid_area",
+        ),
+        "seeds",
     )
     return row_numbers(
         seeds, ["image_id"], F.col("ay").cast("long"), [F.col("ay"), F.col("ax")], "seed_id"

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 
 from tessella.functions.color import idiv
 from tessella.functions.shape import ROW_SHIFT, raster_key
-from tessella.operators.chunked import attach_totals, fan_out, previous, row_numbers, running, seq_block
+from tessella.operators.chunked import attach_totals, fan_out, islands, row_numbers, running, seq_block
+from tessella.session import materialize
 
 # Fixed values of the run format.
 MAGIC = b"CLR1"
@@ -42,12 +43,13 @@ def encode_runs(px: DataFrame) -> DataFrame:
 def stitch_runs(pieces: DataFrame) -> DataFrame:
     """Join row pieces ``image_id, y, x, len, label`` to runs, and split the overlong ones."""
     at = pieces.withColumn("key", raster_key("x", "y"))
-    y = F.col("y").cast("long")
-    seen = previous(at, ["image_id"], y, "key", {"before": "label"})
-    starts = seen.withColumn("new", (~F.col("before").eqNullSafe(F.col("label"))).cast("long"))
-    grouped = running(starts, ["image_id"], y, [F.col("key")], {"gid": ("sum", F.col("new"))})
-    whole = grouped.groupBy("image_id", "gid").agg(
-        F.min("key").alias("key"), F.sum("len").alias("total"), F.first("label").alias("id")
+    grouped = islands(at, ["image_id"], F.col("y").cast("long"), ["key"], "label", "gid")
+    # Written, as the numbering looks at the runs twice.
+    whole = materialize(
+        grouped.groupBy("image_id", "gid").agg(
+            F.min("key").alias("key"), F.sum("len").alias("total"), F.first("label").alias("id")
+        ),
+        "runs",
     )
     split = whole.withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), idiv(F.col("total") - 1, MAX_RUN)))
@@ -206,7 +208,7 @@ def content_hash(entries: DataFrame) -> DataFrame:
     the way its bytes are cut into chunks does not matter.
     """
     rows = attach_totals(
-        entries, ["image_id", "entry"], seq_block("chunk_no"), {"total": ("sum", F.length("data").cast("long"))}
+        materialize(entries, "entries"), ["image_id", "entry"], seq_block("chunk_no"), {"total": ("sum", F.length("data").cast("long"))}
     )
     return (
         fan_out(rows.select("image_id", "entry", "name", "chunk_no", "data", "total"), "image_id")
