@@ -293,6 +293,28 @@ def delta_decode(rows: DataFrame, cols: Sequence[str] = STEP_COLUMNS) -> DataFra
     return summed.select("stroke_id", "seq", "part", *[F.col(c).cast("int").alias(c) for c in cols])
 
 
+def dequantize(rows: DataFrame) -> DataFrame:
+    """Samples of decoded log rows: filler rows are folded into their sample, numbers get their units back.
+
+    Gives ``stroke_id, seq, x, y, t, pressure, radius, tilt_x, tilt_y``. Positions, radius and tilt are off by half a unit at
+    most where they fitted their range, pressure by 1/510; times are whole milliseconds from the first sample,
+    off by one at most, where they did not go back.
+    """
+    whole = rows.groupBy("stroke_id", "seq").agg(
+        F.sum(F.col("dt").cast("long")).alias("_gap"),
+        *[F.max_by(c, "part").alias(c) for c in ("qx", "qy", "qp", "qr", "tx", "ty")],
+    )
+    timed = running(whole, ["stroke_id"], seq_block("seq"), [F.col("seq")], {"_ms": ("sum", F.col("_gap"))})
+    plain = {"x": "qx", "y": "qy", "radius": "qr", "tilt_x": "tx", "tilt_y": "ty"}
+    return timed.select(
+        "stroke_id",
+        "seq",
+        *[F.col(q).cast("double").alias(name) for name, q in plain.items()],
+        (F.col("_ms") / 1000).alias("t"),
+        (F.col("qp") / 255).alias("pressure"),
+    )
+
+
 # --- stroke sessions ------------------------------------------------------------------------
 
 

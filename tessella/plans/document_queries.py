@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import documents as D
+from tessella.operators import strokes as K
 from tessella.operators import gallery as G
 from tessella.plans import views as V
 from tessella.plans.registry import query, view
@@ -261,6 +262,36 @@ def delta_decoded(spark, sf):
     return D.delta_decode(D.delta_encode(quantized(spark, sf)))
 
 
+@query(
+    "dequantized_samples",
+    """select stroke_id, seq, qx::double as x, qy::double as y, round(sum(gap) over (partition by stroke_id order by seq) / 1000, 3) as t, round(qp / 255, 6) as pressure, qr::double as radius
+    from quantized""",
+)
+def dequantized_samples(spark, sf):
+    """From the stored differences back to samples."""
+    log = D.delta_encode(quantized(spark, sf))
+    return D.dequantize(D.delta_decode(log)).select(
+        "stroke_id", "seq", "x", "y", F.round("t", 3).alias("t"), F.round("pressure", 6).alias("pressure"), "radius"
+    )
+
+
+@query("replayed_strokes", "select distinct stroke_id, true as close, true as counted from samples where not predicted")
+def replayed_strokes(spark, sf):
+    """Dabs of the stored log next to those of the samples: boxes within a sixth of the brush, numbers within a tenth.
+
+    Whole milliseconds change the speed and whole radii the pressure of a finger, so sizes and gaps move a little.
+    """
+    real = K.real_samples(V.samples(spark, sf))
+    how = real.groupBy("stroke_id").agg(*[F.min(c).alias(c) for c in ("brush", "size", "seed")])
+    log = D.delta_encode(D.quantize(real.selectExpr("stroke_id", "seq", "x", "y", "t", "pressure", "radius", "0D as tilt_x", "0D as tilt_y")))
+    again = D.dequantize(D.delta_decode(log)).withColumn("predicted", F.lit(False)).join(how, "stroke_id")
+    a, b = (K.stroke_bounds(K.generate_dabs(s)) for s in (real, again))
+    both = a.join(b.select("stroke_id", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1", "dabs")]), "stroke_id", "full")
+    near = [F.abs(F.col(c) - F.col(f"_{c}")) <= F.col("size") / 6 for c in ("x0", "y0", "x1", "y1")]
+    counted = F.abs(F.col("dabs") - F.col("_dabs")) <= F.greatest(F.lit(2), F.col("dabs") / 10)
+    return both.join(how, "stroke_id", "left").select("stroke_id", (near[0] & near[1] & near[2] & near[3]).alias("close"), counted.alias("counted"))
+
+
 _SESSION_KIND = "case when event_id % 11 = 0 then 'begin' when event_id % 13 = 0 then 'end' when event_id % 29 = 0 then 'cancel' else 'append' end"
 
 

@@ -12,7 +12,7 @@ from tessella.operators import runs as U
 from tessella.operators.components import components
 from tessella.plans import raster_views  # noqa: F401
 from tessella.plans import views as V
-from tessella.plans.registry import query
+from tessella.plans.registry import query, view
 
 ID = ["image_id", "x", "y"]
 
@@ -230,20 +230,39 @@ def full_cover(spark, sf):
     )
 
 
-@query(
-    "region_adjacency",
+view(
+    "adjacent",
     """select distinct image_id, least(l, p) as a, greatest(l, p) as b from (
     select image_id, label as l, lag(label) over w as p, x - lag(x) over w as gap from holed_px where label is not null window w as (partition by image_id, y order by x)
     union all select image_id, label, lag(label) over w, y - lag(y) over w from holed_px where label is not null window w as (partition by image_id, x order by y))
     where l <> p and gap <= 64""",
 )
+
+
+@query("region_adjacency", "select * from adjacent")
 def region_adjacency(spark, sf):
     return L.region_adjacency(V.holed_px(spark, sf))
 
 
-@query("contrast_colors")
+view("candidate", "select * from (values " + ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in enumerate(L.preview_candidates())) + ") v(k, r, g, b)")
+view("tint_regions", "select distinct image_id, label from holed_px where label is not null")
+# Ids run from 0 to 15, so the colouring by id is fifteen steps after the first.
+for _n in range(16):
+    _before = f"tint{_n - 1}" if _n else "(select 0 as image_id, 0 as label, 0 as color where false)"
+    view(
+        f"tint{_n}",
+        f"""select * from {_before} union all select image_id, {_n}, k from (select r.image_id, c.k, min(t.d) as far from
+        (select image_id from tint_regions where label = {_n}) r cross join candidate c left join
+        (select a.image_id, c.k, (c.r - q.r) * (c.r - q.r) + (c.g - q.g) * (c.g - q.g) + (c.b - q.b) * (c.b - q.b) as d
+        from adjacent a join {_before} p on p.image_id = a.image_id and p.label = a.a join candidate q on q.k = p.color cross join candidate c where a.b = {_n}) t
+        on t.image_id = r.image_id and t.k = c.k group by r.image_id, c.k)
+        qualify row_number() over (partition by image_id order by far desc nulls first, k) = 1""",
+    )
+
+
+@query("contrast_colors", "select t.image_id, t.label, t.color, c.r, c.g, c.b from tint15 t join candidate c on c.k = t.color")
 def contrast_colors(spark, sf):
-    """Greedy colouring of the region graph; checked by brute force in the tests."""
+    """Greedy colouring of the region graph, by id."""
     px = V.holed_px(spark, sf)
     regions = px.where("label is not null").select("image_id", "label").distinct()
     return L.contrast_colors(regions, L.region_adjacency(px))

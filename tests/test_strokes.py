@@ -104,3 +104,26 @@ def test_spark_folds_each_stroke_in_order(spark):
     schema = "stroke_id long, seq long, x double, y double, t double, pressure double, radius double, predicted boolean, brush string, size double, seed long"
     got = K.generate_dabs(spark.createDataFrame(rows[::-1], schema)).groupBy("stroke_id").count().collect()
     assert {r["stroke_id"]: r["count"] for r in got} == {0: 209, 1: 87, 2: 1}
+
+
+def test_log_gives_samples_back_within_the_stated_bounds(spark):
+    import random
+
+    from tessella.operators import documents as D
+
+    rng = random.Random(4)
+    rows, t = [], 0.0
+    for stroke in range(3):
+        for seq in range(40):
+            t += rng.choice([0.0, 0.004, 0.0083, 0.9, 2.5])
+            rows.append((stroke, seq, rng.uniform(-3000, 3000), rng.uniform(0, 2048), t, rng.random(), rng.uniform(0, 60), rng.uniform(-90, 90), rng.uniform(-90, 90)))
+    df = spark.createDataFrame(rows, "stroke_id long, seq long, x double, y double, t double, pressure double, radius double, tilt_x double, tilt_y double")
+    coded = D.delta_encode(D.quantize(df))
+    assert coded.count() > len(rows)  # long pauses take filler rows
+    got = {(r.stroke_id, r.seq): r for r in D.dequantize(D.delta_decode(coded)).collect()}
+    first = {s: min(r[4] for r in rows if r[0] == s) for s in range(3)}
+    assert len(got) == len(rows)
+    for stroke, seq, x, y, at, pressure, radius, tx, ty in rows:
+        r = got[stroke, seq]
+        assert max(abs(r.x - x), abs(r.y - y), abs(r.radius - radius), abs(r.tilt_x - tx), abs(r.tilt_y - ty)) <= 0.5
+        assert abs(r.pressure - pressure) <= 1 / 510 + 1e-12 and abs(r.t - (at - first[stroke])) <= 0.001 + 1e-9
