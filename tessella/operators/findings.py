@@ -168,8 +168,12 @@ def find_code(diags: DataFrame, code: str) -> DataFrame:
     return diags.where(F.col("code") == code)
 
 
+def stopped(findings: DataFrame, *codes: str) -> DataFrame:
+    """Images with an error finding (of the given codes, or of any)."""
+    errors = codes or tuple(c for c, severity, *_ in RULES if severity == "error")
+    return findings.where(F.col("code").isin(*errors)).select("image_id").distinct()
+
+
 def passing(images: DataFrame, findings: DataFrame, *codes: str) -> DataFrame:
     """Images without an error finding (of the given codes, or of any)."""
-    errors = codes or tuple(c for c, severity, *_ in RULES if severity == "error")
-    stopped = findings.where(F.col("code").isin(*errors)).select("image_id").distinct()
-    return images.join(stopped, "image_id", "left_anti")
+    return images.join(stopped(findings, *codes), "image_id", "left_anti")

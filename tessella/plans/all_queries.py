@@ -2,6 +2,7 @@
 
 from tessella.plans import (  # noqa: F401
     document_queries,
+    gate_queries,
     quality_queries,
     raster_queries,
     scalar_queries,

@@ -34,6 +34,8 @@ class Bake:
     diagnostics: DataFrame
     ids: DataFrame
     line: DataFrame
+    shade: DataFrame | None
+    orphans: DataFrame
     regions: DataFrame
     runs: DataFrame
     thumbs: DataFrame
@@ -50,14 +52,40 @@ def bake(
     check_canvas: bool = True,
     gates: bool = True,
     tile: int = TILE,
+    layers: DataFrame | None = None,
+    meta: DataFrame | None = None,
 ) -> Bake:
     """Bakes all images at once.
 
     ``images`` holds ``image_id, id, category, width, height``; the pixel tables are dense RGBA.
-    An image with an error finding of the master stage goes no further, one with an output error
-    gets no pack; inside a stage every rule is reported.  ``check_canvas=False`` admits other
+    ``layers`` (``image_id, layer, width, height, is_srgb, basis``) and ``meta`` (``image_id, folder_id, id, category``)
+    are what the folders hold. There are four gates: images without a required layer stop after the source rules,
+    those whose layers differ in size after the geometry rules, those with any error so far after the master rules,
+    and those with an output error get no pack; inside a stage every rule is reported. Each gate is a
+    small written table that the next pixel scans are joined with, so that pixel tables written by ``write_pixels`` are
+    read for the images that go on alone.  ``check_canvas=False`` admits other
     sizes and ``gates=False`` bakes on regardless, for test rasters.
     """
+    early = []
+
+    def going_on(going: DataFrame, found: DataFrame, *codes: str) -> DataFrame:
+        return gate(going, found, *codes) if gates else going
+
+    going = images
+    if layers is not None:
+        found = Q.source_incomplete(images, layers)
+        if meta is not None:
+            found = found.unionByName(Q.meta_rules(meta))
+        early.append(materialize(found, "source_findings"))
+        going = going_on(going, early[-1], "source-incomplete")
+        here = of_images(layers, going)
+        found = Q.size_mismatch(here).unionByName(Q.color_space(here))
+        if check_canvas:
+            found = found.unionByName(Q.canvas_size(here))
+        early.append(materialize(found, "geometry_findings"))
+        going = going_on(going, early[-1], "size-mismatch")
+    line_px, seed_px = of_images(line_px, going), of_images(seed_px, going)
+    shade_px = None if shade_px is None else of_images(shade_px, going)
     masked = line_px.select(*AT, is_line("a", params.line_threshold).alias("line"))
     ratio = R.line_ratio(masked, F.col("line"))
     seeds = materialize(R.read_seeds(seed_px, tile), "seeds")
@@ -74,14 +102,17 @@ def bake(
     ]
     if source_findings is not None:
         parts.append(source_findings)
-    if check_canvas:
+    parts += early
+    if check_canvas and layers is None:
         parts.append(Q.canvas_size(images.select("image_id", F.lit("lineart").alias("layer"), "width", "height")))
     if shade_px is not None:
         parts.append(Q.shade_too_dark(shade_px))
     for p in parts:
         found = found.unionByName(p)
     found = materialize(found, "master_findings")
-    going = N.passing(images, found) if gates else images
+    going = going_on(going, found)
+    line_px = of_images(line_px, going)
+    shade_px = None if shade_px is None else of_images(shade_px, going)
 
     # The gate comes before the costly stages: only passing images are closed and halved.
     def of(px: DataFrame) -> DataFrame:
@@ -103,13 +134,16 @@ def bake(
     half = L.majority(with_area).join(alpha, AT)
     ids = materialize(L.dilate_under_line(half, tile), "ids")
     line_out = L.box_downsample(line_white, ["r", "g", "b"], 2)
+    shade_out = None
+    if shade_px is not None:
+        shade_out = L.box_downsample(P.layers_over_white(of(shade_px), "width", "height"), ["r", "g", "b"], 2)
 
     master = R.region_stats(closed)
     output = materialize(R.region_stats(ids), "output_stats")
     pieces = R.pieces_per_region(ids, tile)
     found = found.unionByName(Q.output_rules(master, output, pieces, output))
     found = materialize(found, "findings")
-    packable = N.passing(going, found) if gates else going
+    packable = going_on(going, found)
 
     regions = R.region_table(output, seeds).join(packable.select("image_id"), "image_id", "left_semi")
     runs = U.encode_runs(ids.join(packable.select("image_id"), "image_id", "left_semi"))
@@ -122,6 +156,8 @@ def bake(
         diagnostics=N.diagnostics(found),
         ids=ids,
         line=line_out,
+        shade=shade_out,
+        orphans=kept,
         regions=regions,
         runs=runs,
         thumbs=thumbs,
@@ -129,6 +165,23 @@ def bake(
     )
 
 
+def write_pixels(px: DataFrame, path: str) -> None:
+    """A pixel table with a folder per image, which scans of some images skip."""
+    px.repartition("image_id").write.mode("overwrite").partitionBy("image_id").parquet(path)
+
+
+def gate(images: DataFrame, found: DataFrame, *codes: str) -> DataFrame:
+    """The images that go on, as a written table of one row per image with a filter on it."""
+    stopped = N.stopped(found, *codes).withColumn("stopped", F.lit(1))
+    marked = images.join(stopped, "image_id", "left").withColumn("stopped", F.coalesce("stopped", F.lit(0)))
+    return materialize(marked, "gate").where("stopped = 0").drop("stopped")  # a comparison is what scans are pruned for
+
+
+def of_images(rows: DataFrame, going: DataFrame) -> DataFrame:
+    """Rows of the images that go on; scans of tables with a folder per image are pruned by it."""
+    return rows.join(going.select("image_id"), "image_id", "left_semi")
+
+
 def _packs(images: DataFrame, regions: DataFrame, runs: DataFrame, shaded: bool) -> DataFrame:
     """Manifest, region document and content hash per image."""
     documents = packs.region_documents(regions)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from tessella.operators import findings as N
@@ -13,7 +11,7 @@ from tessella.operators import regions as R
 from tessella.operators import runs as U
 from tessella.plans import raster_queries as RQ
 from tessella.plans import views as V
-from tessella.plans.bake import bake
+from tessella.plans.bake import Bake, bake
 from tessella.plans.params import BakeParams
 from tessella.plans.registry import query, view
 from tessella.sources import assets, packs, reports
@@ -161,9 +159,21 @@ def top_clusters(spark, sf):
 LOOSE = BakeParams(min_orphan_area=1)
 
 
-@functools.lru_cache(maxsize=2)
+_BAKED: dict[tuple, Bake] = {}
+
+
 def baked(spark, sf):
-    """Shared by the queries below: its tables are written once per session."""
+    """Shared by the queries below: its tables are written once for a session and a state of the files it reads."""
+    files = spark.read.parquet(f"{sf}/events.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)), F.sum("file_size"), F.max("file_modification_time")).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
+    if key not in _BAKED:
+        _BAKED.clear()
+        _BAKED[key] = _bake_all(spark, sf)
+    return _BAKED[key]
+
+
+def _bake_all(spark, sf):
     images = V.images(spark, sf).selectExpr("image_id", "concat('art-', image_id) as id", "'animal' as category", "width", "height")
     return bake(
         images, V.px(spark, sf), V.seed_px(spark, sf), V.seed_px(spark, sf), LOOSE,

@@ -19,6 +19,23 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
+def variant(prefix: str, bases: dict[str, str], targets: list[str]) -> None:
+    """Copies of the views that ``targets`` need and that rest on ``bases``, over other SQL for these, with prefixed names."""
+    needed, todo = set(targets), list(targets)
+    while todo:
+        for v in _needs(VIEWS[todo.pop()]):
+            if v not in needed:
+                needed.add(v)
+                todo.append(v)
+    wanted = set(bases)
+    for name in VIEWS:
+        if name in needed and wanted & set(_needs(VIEWS[name])):
+            wanted.add(name)
+    names = re.compile(r"(?<![.\w'])(" + "|".join(sorted(wanted, key=len, reverse=True)) + r")(?![\w'])")
+    for name in [n for n in VIEWS if n in wanted]:
+        view(f"{prefix}{name}", bases.get(name) or names.sub(rf"{prefix}\1", VIEWS[name]))
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:

@@ -91,3 +91,30 @@ def region_attachment(merged: DataFrame, seeds: DataFrame) -> DataFrame:
         "anchor_x",
         "anchor_y",
     )
+
+
+def rejection_documents(images: DataFrame, merged: DataFrame, seeds: DataFrame, orphans: DataFrame) -> DataFrame:
+    """One JSON document per image at master size, before closing: its size, all regions, and the areas without a seed.
+
+    ``images`` holds ``image_id, id, width, height``. An image has 65,535 regions at most; orphans are those that were not merged.
+    """
+    pair = lambda *c: F.array(*c)
+    box = lambda b: F.array(*[F.col(f"{b}.{c}") for c in "xywh"])
+    region = F.struct(
+        "id", "area", box("bbox").alias("bbox"), pair("centroid.x", "centroid.y").alias("centroid"), "suggested_color",
+        pair("anchor_x", "anchor_y").alias("seed_anchor"),
+    )
+    listed = region_attachment(merged, seeds).groupBy("image_id").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    orphan = F.struct((-F.col("area")).alias("_o"), "y", "x", "area", box("bbox").alias("bbox"), pair("x", "y").alias("anchor"))
+    lost = orphans.groupBy("image_id").agg(F.array_sort(F.collect_list(orphan)).alias("o")).select(
+        "image_id", F.transform("o", lambda s: F.struct(s["area"].alias("area"), s["bbox"].alias("bbox"), s["anchor"].alias("anchor"))).alias("orphans")
+    )
+    none = lambda name, of: F.coalesce(name, F.array().cast(of))
+    rows = images.join(listed, "image_id", "left").join(lost, "image_id", "left")
+    doc = F.struct(
+        "id",
+        pair("width", "height").alias("master_size"),
+        none("regions", listed.schema["regions"].dataType).alias("regions"),
+        none("orphans", lost.schema["orphans"].dataType).alias("orphans"),
+    )
+    return rows.select("image_id", F.to_json(doc).alias("rejection_json"))
