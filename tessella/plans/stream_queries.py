@@ -74,6 +74,35 @@ def stream_dabs(spark, sf):
     )
 
 
+@query(
+    "predicted_overlay",
+    """select stroke_id, hi % 3 = 0 as open, hi % 3 <> 0 as committed, true as newest_only from
+    (select user_id as stroke_id, max(event_id) as hi, count(*) as n from events group by user_id) where n > 1""",
+)
+def predicted_overlay(spark, sf):
+    """Strokes of which a third is still open at the end: ended ones are committed, the overlay has the last guess of open ones."""
+    SS.use_state_store(spark)
+    ends = V.events(spark, sf).groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).where("lo < hi")
+    rows = V.samples(spark, sf).join(ends.withColumnRenamed("user_id", "stroke_id"), "stroke_id")
+    last = (F.col("seq") == F.col("hi")) & (F.col("hi") % 3 != 0)
+    events = rows.withColumn("kind", F.when(F.col("seq") == F.col("lo"), "begin").when(last, "end").otherwise("append")).selectExpr(
+        "stroke_id", "seq", "kind", "x", "y", "t", "cast(pressure as double) as pressure", "cast(radius as double) as radius",
+        "(predicted or seq % 4 = 3) and kind = 'append' as predicted", "brush", "cast(size as double) as size", "seed",
+    )
+    base = f"{scratch_dir(spark)}/overlay-{uuid.uuid4().hex}"
+    n = events.agg(F.max("seq")).first()[0]
+    for part in range(3):
+        events.where(F.expr(f"seq * 3 div ({n} + 1) = {part}")).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    sinks, version = SS.run_to_sinks(SD.read_files(spark, f"{base}/events", events.schema, per_batch=1), f"{base}/out")
+    done = sinks.committed(spark).groupBy("stroke_id").agg(F.lit(True).alias("committed"))
+    # A guess is newer than the stroke's real samples if it was made in the last batch the stroke was seen in.
+    over = sinks.overlay(spark, version).groupBy("stroke_id").agg(F.count_distinct("epoch").alias("epochs"), F.count(F.lit(1)).alias("guesses"))
+    strokes = ends.select(F.col("user_id").alias("stroke_id"), (F.col("hi") % 3 == 0).alias("open"))
+    both = strokes.join(done, "stroke_id", "left").join(over, "stroke_id", "left")
+    fine = F.col("guesses").isNull() | (F.col("open") & (F.col("epochs") == 1))
+    return both.select("stroke_id", "open", F.coalesce("committed", F.lit(False)).alias("committed"), fine.alias("newest_only"))
+
+
 # --- replays by event time -------------------------------------------------------------------
 
 PARTS = 4

@@ -38,7 +38,8 @@ class StrokeProcessor(StatefulProcessor):
     thrown away, and one ``done`` marker with the number of dabs when the stroke ends.  A begin
     discards what was open, samples without a begin are ignored, a cancel emits nothing.  Rows carry
     the number of the begin event as their ``epoch``, so that dabs of a discarded attempt are told
-    from those of the next.  The state of a stroke without events expires.
+    from those of the next.  With predictions, a ``seen`` row says that older predictions of the stroke no longer hold.
+    The state of a stroke without events expires.
     """
 
     def __init__(self, predictions: bool = False, idle_ms: int | None = IDLE_MS):
@@ -81,6 +82,7 @@ class StrokeProcessor(StatefulProcessor):
             else:
                 fold, guessed = None, []
         if self._predictions:
+            out.append((stroke, None, None, None, None, None, None, "seen", epoch))
             out += [(*d, "predicted", epoch) for d in guessed]
         if fold is None:
             self._state.clear()
@@ -110,3 +112,50 @@ def committed(dabs: DataFrame) -> DataFrame:
     """Dabs of attempts that ended, from the written output of the stream."""
     done = dabs.where("state = 'done'").select("stroke_id", "epoch").distinct()
     return dabs.where("state = 'wet'").join(done, ["stroke_id", "epoch"], "left_semi").drop("state")
+
+
+class TwoSinks:
+    """What a stream with predictions writes, batch by batch: dabs that stay, and an overlay of the newest predictions.
+
+    Under ``base``, ``committed/batch=n`` holds the wet dabs and done markers of batch n, never a prediction, and
+    ``overlay/version=n`` the predictions that hold after batch n: those of version n-1 without the strokes
+    that batch n has seen, and the batch's own. Both follow from the batch and the version before alone and are
+    overwritten, so a batch that runs again changes nothing. The overlay is as large as what is being drawn.
+    """
+
+    def __init__(self, base: str):
+        self.base = base
+
+    def __call__(self, batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        path = f"{self.base}/received/batch={n}"
+        batch.write.mode("overwrite").parquet(path)  # once, as the stateful operator must not run again for the second sink
+        rows = spark.read.schema(batch.schema).parquet(path)
+        rows.where("state in ('wet', 'done')").write.mode("overwrite").parquet(f"{self.base}/committed/batch={n}")
+        guesses = rows.where("state = 'predicted'")
+        if n:
+            seen = rows.select("stroke_id").distinct()
+            before = spark.read.schema(batch.schema).parquet(f"{self.base}/overlay/version={n - 1}")
+            guesses = guesses.unionByName(before.join(seen, "stroke_id", "left_anti").select(*batch.columns))
+        guesses.write.mode("overwrite").parquet(f"{self.base}/overlay/version={n}")
+
+    def committed(self, spark: SparkSession) -> DataFrame:
+        return committed(spark.read.schema(OUT_SCHEMA).parquet(f"{self.base}/committed/*"))
+
+    def overlay(self, spark: SparkSession, version: int) -> DataFrame:
+        """The predictions that hold after a batch."""
+        return spark.read.schema(OUT_SCHEMA).parquet(f"{self.base}/overlay/version={version}").drop("state")
+
+
+def run_to_sinks(events: DataFrame, base: str) -> tuple[TwoSinks, int]:
+    """Streams all available events with predictions into two sinks; also the number of the last batch."""
+    sinks, last = TwoSinks(base), [-1]
+
+    def write(batch: DataFrame, n: int) -> None:
+        sinks(batch, n)
+        last[0] = n
+
+    dabs = stream_dabs(events, predictions=True, idle_ms=None)
+    query = dabs.writeStream.outputMode("append").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return sinks, last[0]

@@ -41,3 +41,28 @@ def test_only_the_last_attempt_is_committed(output):
 
 def test_predictions_stay_out_of_the_sink(output):
     assert output.where("state = 'predicted'").count() == 0
+
+
+def test_overlay_holds_the_newest_guess_and_batches_may_run_again(spark, tmp_path):
+    SS.use_state_store(spark)
+    batches = [
+        [event(1, i, "begin" if i == 0 else "append", i == 3) for i in range(4)] + [event(2, i, "begin" if i == 0 else "append", i == 2) for i in range(3)],
+        [event(1, 4, "append"), event(1, 5, "append", True), event(3, 0, "begin"), event(3, 1, "append"), event(3, 2, "append"), event(3, 3, "append", True)],
+        [event(2, 4, "append"), event(2, 5, "end"), event(3, 4, "cancel")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SS.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = SD.read_files(spark, f"{tmp_path}/in", spark.createDataFrame(batches[0], SS.EVENT_SCHEMA).schema, per_batch=1)
+    sinks, last = SS.run_to_sinks(stream, f"{tmp_path}/out")
+    assert last == 2
+    shown = [sorted({r.stroke_id for r in sinks.overlay(spark, n).collect()}) for n in range(3)]
+    assert shown == [[1, 2], [1, 2, 3], [1]]  # an ended and a cancelled stroke leave the overlay, an untouched one stays
+    raw = spark.read.parquet(f"{tmp_path}/out/committed")
+    assert {r.state for r in raw.select("state").distinct().collect()} == {"wet", "done"}
+    assert {r.stroke_id for r in sinks.committed(spark).collect()} == {2}
+    newest = dabs(sinks.overlay(spark, 1).where("stroke_id = 1").collect())
+    assert newest and newest != dabs(sinks.overlay(spark, 0).where("stroke_id = 1").collect())
+    before = [sorted(map(tuple, sinks.overlay(spark, n).collect())) for n in range(3)]
+    for n in (1, 2):  # as after a failure between the two sinks
+        sinks(spark.read.parquet(f"{tmp_path}/out/received/batch={n}"), n)
+    assert [sorted(map(tuple, sinks.overlay(spark, n).collect())) for n in range(3)] == before
