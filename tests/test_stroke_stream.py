@@ -64,5 +64,6 @@ def test_overlay_holds_the_newest_guess_and_batches_may_run_again(spark, tmp_pat
     assert newest and newest != dabs(sinks.overlay(spark, 0).where("stroke_id = 1").collect())
     before = [sorted(map(tuple, sinks.overlay(spark, n).collect())) for n in range(3)]
     for n in (1, 2):  # as after a failure between the two sinks
-        sinks(spark.read.parquet(f"{tmp_path}/out/received/batch={n}"), n)
+        batch = spark.read.schema(SS.OUT_SCHEMA).parquet(f"{tmp_path}/out/received/batch={n}")
+        sinks(spark.createDataFrame(batch.collect(), batch.schema), n)
     assert [sorted(map(tuple, sinks.overlay(spark, n).collect())) for n in range(3)] == before
