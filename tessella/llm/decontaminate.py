@@ -1,6 +1,8 @@
-"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman alignment as judge.
+"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment as judge.
 
-Every n-gram of a test item is a seed, frequent or not, so a passage that many documents share and a copy of
+A first pass counts in how many documents each n-gram of the items occurs. N-grams that occur nowhere are of no use; of
+those that are left in each stretch of ``STRETCH`` places of an item, the ``KEPT`` rarest are its seeds. There is no
+limit on how frequent a seed may be, so a passage that many documents share and a copy of
 any part of an item have theirs. Where a document has a seed, the words around it are aligned with the item's
 (local alignment, linear gaps), unless these words have too few in common with the item, in any order, to reach
 a limit. A document holds an item if the alignment reaches ``min_score`` of the item's own score, or
@@ -8,7 +10,7 @@ a limit. A document holds an item if the alignment reaches ``min_score`` of the
 paraphrased copies count, chance meetings of frequent words do not. A copy in which no n words in a row are
 left of the item has no seed.
 
-Items go to the tasks in blocks of bounded size, each one pass over the documents; documents are not moved.
+Items go to the tasks in blocks of bounded size, each two passes over the documents; documents are not moved.
 
 Cases: null or empty texts and items match nothing, nor do items with fewer words than an n-gram; a null
 key stays null; repeated rows give one result each; items with equal texts each match; empty tables give
@@ -25,12 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.common import keyed_text
 
 GRAM = 3
+STRETCH, KEPT = 4, 2
 MIN_SCORE, MIN_EQUAL, MIN_IDENTITY = 0.45, 16, 0.7
 EQUAL, DIFFERENT, GAP = 2.0, -2.0, -1.5
 #: N-grams of the items in one block.
@@ -151,12 +155,34 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, n: int) -> Iterato
         yield ids, words
 
 
-def seeded(ids: list, words: list[list[str]], n: int) -> Items:
-    """The block with every n-gram as a seed."""
+def gram_counts(rows: DataFrame, words: list[list[str]], n: int) -> dict[str, int]:
+    """In how many documents each n-gram of a block of items occurs; ``rows`` is a table of texts alone."""
+    asked = {" ".join(g) for ws in words for g in grams_of(ws, n)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                total.update(asked.intersection(map(" ".join, grams_of(words_of(text.as_py()), n))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+
+    counted = rows.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram: r.n for r in counted.toLocalIterator()}  # those of the block at most
+
+
+def seeded(ids: list, words: list[list[str]], n: int, counts: dict[str, int] | None = None) -> Items:
+    """The block with its rare n-grams as seeds, or with all of them where nothing is counted."""
     seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
     for item, ws in enumerate(words):
+        stretches: dict[int, list[tuple]] = defaultdict(list)
         for at, gram in enumerate(grams_of(ws, n)):
-            seeds[gram].append((item, at))
+            if counts is None:
+                seeds[gram].append((item, at))
+            elif known := counts.get(" ".join(gram)):
+                stretches[at // STRETCH].append((known, at, gram))
+        for stretch in stretches.values():
+            for _, at, gram in sorted(stretch)[:KEPT]:
+                seeds[gram].append((item, at))
     return Items(ids, words, dict(seeds))
 
 
@@ -191,7 +217,8 @@ def find_items(
 
     found = df.sparkSession.createDataFrame([], schema)
     for ids, words in item_blocks(items, item_id_col, item_text_col, n):
-        found = found.union(search(seeded(ids, words, n)))
+        counts = gram_counts(rows.select(rows.columns[1]), words, n)
+        found = found.union(search(seeded(ids, words, n, counts)))
     return found
 
 
@@ -215,7 +242,7 @@ def without_items(
 
         return run
 
-    out = df
+    out, texts = df, df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for ids, words in item_blocks(items, item_id_col, item_text_col, n):
-        out = out.mapInArrow(keep(seeded(ids, words, n)), df.schema)
+        out = out.mapInArrow(keep(seeded(ids, words, n, gram_counts(texts, words, n))), df.schema)
     return out

@@ -122,3 +122,15 @@ def test_query_finds_all_exact_copies(spark):
     want = {(d, i) for d, t in texts.items() for i, s in items.items() if s in t}
     got = {(r.doc_id, r.item_id): r.score for r in QUERIES["op9_seeded_alignment"](spark, sf).collect()}
     assert want and {k for k, s in got.items() if s == 1} == want
+
+
+def test_seeds_are_the_rare_present_ones_of_each_stretch(spark):
+    item = [f"w{i}" for i in range(14)]
+    docs = [" ".join(item[:9])] * 3 + [" ".join(item[2:5]), " ".join(item[4:9]), None]
+    rows = spark.createDataFrame([(d or "",) for d in docs], "text string")
+    counts = D.gram_counts(rows, [item], 3)
+    want = {g: sum(f" {' '.join(g)} " in f" {d} " for d in docs if d) for g in D.grams_of(item, 3)}
+    assert counts == {" ".join(g): n for g, n in want.items() if n}
+    seeds = D.seeded([0], [item], 3, counts).seeds
+    places = sorted(at for spots in seeds.values() for _, at in spots)
+    assert places == [0, 1, 4, 5] and len(D.seeded([0], [item], 3).seeds) == 12
