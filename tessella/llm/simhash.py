@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.common import PRE, keyed_text, written
-from tessella.llm.graph import components
+from tessella.llm.graph import components, spread_to
 
 SEED = 42
 BITS = 4
@@ -208,7 +208,7 @@ def labelled(prints: DataFrame, id_col: str, bits: int = BITS) -> DataFrame:
     roots = components(near_links(distinct.select(own), own, bits)).select(F.col("node").alias(own), F.col("root").alias(f"{PRE}root"))
     roots = distinct.join(roots, own, "left").withColumn(f"{PRE}root", F.coalesce(f"{PRE}root", own))
     least = roots.groupBy(f"{PRE}root").agg(F.min(f"{PRE}least").alias(COMPONENT))
-    return prints.join(roots.join(least, f"{PRE}root").select(own, COMPONENT), own)
+    return prints.join(spread_to(roots, least, f"{PRE}root", own).select(own, COMPONENT), own)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
