@@ -6,6 +6,7 @@ from tessella.plans import (  # noqa: F401
     quality_queries,
     raster_queries,
     scalar_queries,
+    source_queries,
     stream_queries,
     stroke_queries,
     tree_queries,

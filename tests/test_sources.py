@@ -72,3 +72,51 @@ def test_a_file_that_does_not_decode_is_reported(spark, tmp_path):
     bad = assets.unreadable_images(spark, str(tmp_path)).collect()
     assert [(r.folder_id, r.code) for r in bad] == [("art-1", "source-unreadable")]
     assert assets.image_source_pixels(spark, str(tmp_path)).count() == 0
+
+
+def test_strips_equal_the_whole_reader(spark, tmp_path):
+    import random
+
+    import pytest
+
+    from tessella.sources import readers
+
+    readers.register(spark)
+    rng = random.Random(1)
+    for i, (w, h, depth) in enumerate([(5, 7, 1), (3, 40, 2), (17, 9, 3), (8, 33, 4), (1, 1, 4)]):
+        (tmp_path / f"a{i}").mkdir()
+        (tmp_path / f"a{i}" / "lineart.pam").write_bytes(pam(w, h, depth, rng.randbytes(w * h * depth)))
+    want = sorted(map(tuple, assets.read_pixels(spark, str(tmp_path)).select("folder_id", "layer", "x", "y", "r", "g", "b", "a").collect()))
+    for size in (50, 1 << 20):
+        got = spark.read.format("pam_strips").option("strip_bytes", size).load(str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == want
+        assert (got.rdd.getNumPartitions() > 5) == (size == 50)
+    (tmp_path / "a0" / "lineart.pam").write_bytes(pam(5, 7, 1, b"short"))
+    with pytest.raises(Exception, match="cut short"):
+        spark.read.format("pam_strips").load(str(tmp_path)).count()
+
+
+def test_frames_are_streamed_once_and_in_order(spark, tmp_path):
+    from tessella.sources import readers
+
+    readers.register(spark)
+
+    def write(frame, rows, last=False):
+        (tmp_path / "in" / f"frame={frame}").mkdir(parents=True)
+        lines = [json.dumps({"stroke_id": 1, "seq": s, "x": s, "y": 0, "t": s / 120, "pressure": 1, "radius": 0, "predicted": p}) for s, p in rows]
+        (tmp_path / "in" / f"frame={frame}" / "part.json").write_text("\n".join(lines))
+        if last:
+            (tmp_path / "in" / "_SUCCESS").write_text("")
+
+    def run():
+        query = spark.readStream.format("sample_frames").load(str(tmp_path / "in")).writeStream.format("parquet")
+        query.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return [(r.frame, r.place, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("frame", "place").collect()]
+
+    write(0, [(2, True), (1, False), (0, False)])
+    write(1, [(5, False)])
+    first = [(0, 0, 0), (0, 1, 1), (0, 2, 2)]
+    assert run() == first  # the second frame may still grow
+    write(2, [(6, True), (7, False)], last=True)
+    assert run() == first + [(1, 0, 5), (2, 0, 7), (2, 1, 6)]
+    assert run() == first + [(1, 0, 5), (2, 0, 7), (2, 1, 6)]
