@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.functions.color import idiv
-from tessella.functions.shape import on_canvas
 from tessella.operators.chunked import (
     SEQ_BLOCK,
     attach_totals,
@@ -33,16 +32,16 @@ FUNNEL_STEPS = ("download", "open", "finish", "paywall", "trial", "convert")
 # --- taps and fills -------------------------------------------------------------------------
 
 
-def tap_regions(taps: DataFrame, labels: DataFrame, images: DataFrame) -> DataFrame:
+def tap_regions(taps: DataFrame, labels: DataFrame) -> DataFrame:
     """Region under every tap; taps outside the canvas give nothing and are never clamped.
 
-    ``taps`` holds ``image_id, x, y`` in canvas pixels, ``images`` ``image_id, width, height``.
+    ``taps`` holds ``image_id, x, y`` in canvas pixels. Labels are dense, so what is off the canvas meets no pixel.
     """
-    sized = taps.join(images.select("image_id", "width", "height"), "image_id")
-    inside = sized.where(on_canvas(F.floor("x"), F.floor("y"), F.col("width"), F.col("height")) & ~F.isnan("x") & ~F.isnan("y"))
-    cells = inside.withColumn("px", F.floor("x").cast("int")).withColumn("py", F.floor("y").cast("int"))
+    # NaN counts as larger than any number, so the upper bound drops it too.
+    inside = [F.col(c).cast("double").between(0, 2**31 - 1) for c in ("x", "y")]
+    cells = taps.where(inside[0] & inside[1]).withColumn("px", F.floor("x").cast("int")).withColumn("py", F.floor("y").cast("int"))
     at = labels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("label").alias("region_id"))
-    return cells.join(at, ["image_id", "px", "py"]).drop("width", "height")
+    return cells.join(at, ["image_id", "px", "py"])
 
 
 def known_ops(ops: DataFrame, regions: DataFrame, on: Sequence[str] = ("doc_id", "region_id")) -> DataFrame:

@@ -45,7 +45,7 @@ def tap_regions(spark, sf):
         "case when event_type = 'error' then double('NaN') else value - 5 end as x",
         "(user_id % 40) / 2D - 2 as y",
     )
-    got = D.tap_regions(taps, V.labels_px(spark, sf), V.images(spark, sf))
+    got = D.tap_regions(taps, V.labels_px(spark, sf))
     return got.select("event_id", "image_id", "px", "py", "region_id")
 
 
