@@ -225,3 +225,30 @@ def region_overflow(spark, sf):
     placed = stats.withColumn("centroid", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
     found = Q.output_rules(stats, placed, none, placed)
     return QQ.listed(found.where("code = 'region-count-overflow'"))
+
+
+view(
+    "staged_places",
+    """select image_id, code, sum(n)::bigint as coord_total, count(*) as cluster_total,
+    string_agg('(' || x || ', ' || y || ')' || case when n > 1 then 'x' || n else '' end, ' ' order by rank) filter (rank <= 16) as points from
+    (select *, row_number() over (partition by image_id, code order by n desc, a, b) as rank from staged_cells) group by image_id, code""",
+)
+_RANK = "case code " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(N.CODES)) + " end"
+
+
+@query(
+    "staged_reports",
+    f"""select image_id, case when lines is null then '' else lines || chr(10) end || '  ' || coalesce(errors, 0) || ' errors, ' || coalesce(warnings, 0) || ' warnings' as text from folders left join
+    (select image_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings,
+    string_agg('  ' || severity || ' [' || code || '] ' || stage || ': ' || {_MESSAGE} || case when points is null then '' else
+    chr(10) || '      ' || cluster_total || ' places' || case when coord_total > cluster_total then ' / ' || coord_total || ' px' else '' end || ': ' || points ||
+    case when cluster_total > 16 then ', ' || (cluster_total - 16) || ' more' else '' end end, chr(10) order by {_RANK}) as lines from
+    (select image_id, code, coalesce(arg_min(metric, {{'a': a, 'b': b}}), min(low)::varchar, count(*)::varchar) as shown from staged_findings group by image_id, code)
+    join rules using (code) left join staged_places using (image_id, code) group by image_id) using (image_id)""",
+)
+def staged_reports(spark, sf):
+    """The reports of all images, written as JSON, read back and put as text."""
+    path = f"{scratch_dir(spark)}/reports-{uuid.uuid4().hex}"
+    rows = reports.reports(QQ.folders(spark, sf), staged_bake(spark, sf).diagnostics)
+    reports.write_reports(rows, path)
+    return reports.report_text(spark.read.schema(rows.schema).json(path))
