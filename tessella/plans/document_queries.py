@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import documents as D
+from tessella.operators.chunked import row_numbers, seq_block
 from tessella.operators import strokes as K
 from tessella.operators import gallery as G
 from tessella.plans import views as V
@@ -315,12 +316,12 @@ def session_strokes(spark, sf):
     "select asset_id, row_number() over (order by last_edited desc nulls last, pos) as place from items where work is not null",
 )
 def my_works(spark, sf):
-    """Sorted by a range shuffle; the place is added from partition offsets, not one big window."""
-    from tessella.operators.chunked import row_numbers
-
+    """Places over the whole table: rows are numbered in chunks of dates, those without a date in chunks of positions."""
     works = V.items(spark, sf).where("work is not null").withColumn("_all", F.lit(0))
+    none = F.col("last_edited").isNull()
     back = -F.coalesce("last_edited", F.lit(-1))
-    placed = row_numbers(works, ["_all"], F.floor(back / 1000), [back, F.col("pos")], "place")
+    chunk = F.struct(none.alias("none"), F.floor(back / 1000).alias("dates"), F.when(none, seq_block("pos")).otherwise(0).alias("positions"))
+    placed = row_numbers(works, ["_all"], chunk, [back, F.col("pos")], "place")
     return placed.select("asset_id", (F.col("place") + 1).alias("place"))
 
 
