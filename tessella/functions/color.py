@@ -35,6 +35,20 @@ def luma(r: str | Column, g: str | Column, b: str | Column) -> Column:
     return F.least(F.greatest(F.round(y), F.lit(0.0)), F.lit(255.0)).cast("int")
 
 
+def share_text(ratio: str | Column) -> Column:
+    """A ratio from 0 to 1 with three decimals, its exact binary value rounded half to even, as C and Rust print it.
+
+    Java rounds the shortest decimal that gives the number, half up. Twenty-six bits of the ratio times a thousand are exact
+    in a double, and so is the rest times a thousand; so the sign of what is over a half is exact too.
+    """
+    ratio = as_col(ratio)
+    high = F.floor(ratio * F.lit(2.0**26)) / F.lit(2.0**26)
+    whole = F.floor(ratio * 1000)
+    over = (high * 1000 - whole - 0.5) + (ratio - high) * 1000
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+    return F.format_string("%d.%03d", *[f(whole + up.cast("long")) for f in (lambda n: idiv(n, 1000), lambda n: n % 1000)])
+
+
 def hex_color(r: str | Column, g: str | Column, b: str | Column) -> Column:
     return F.format_string(
         "#%02X%02X%02X", as_col(r).cast("int"), as_col(g).cast("int"), as_col(b).cast("int")
