@@ -57,6 +57,14 @@ def mix(a: Column, b: Column, t: Column) -> Column:
     return a + (b - a) * t
 
 
+def decimals(v: Column, digits: int) -> Column:
+    """The double nearest to so many decimals by scaling and rounding half away from zero, as SQL engines on doubles do.
+
+    ``round(v, digits)`` of Spark rounds the shortest decimal that gives ``v``, which differs at ties.
+    """
+    return F.round(v * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def fit_scale(cw: Column, ch: Column, sw: Column, sh: Column) -> Column:
     return F.least(sw / cw, sh / ch)
 
@@ -156,9 +164,13 @@ def grain(tx: Column, ty: Column) -> Column:
     return clamp((n - 0.5) * F.lit(GRAIN_CONTRAST) + 0.5, 0.0, 1.0)
 
 
-def tip_coverage(tip: Column, u: Column, v: Column) -> Column:
-    """Coverage of a brush tip at local coordinates in [-1, 1]; 0 outside the square."""
-    d = F.hypot(u, v)
+def tip_coverage(tip: Column, u: Column, v: Column, d: Column | None = None) -> Column:
+    """Coverage of a brush tip at local coordinates in [-1, 1]; 0 from distance 1 on.
+
+    ``d`` is the distance from the middle where the caller knows it before the turn: turning rounds, and would put
+    pixels on the rim, at exactly 1, a little inside.
+    """
+    d = F.hypot(u, v) if d is None else d
     half = TIP_SIZE / 2
     texel = [clamp((c + 1.0) * F.lit(half) - 0.5, 0.0, float(TIP_SIZE - 1)) for c in (u, v)]
     shape = (
@@ -166,5 +178,4 @@ def tip_coverage(tip: Column, u: Column, v: Column) -> Column:
         .when(tip == "hard_round", hard_tip(d))
         .when(tip == "grain", F.when(d >= 1.0, F.lit(0.0)).otherwise(grain(*texel) * soft_tip(d)))
     )
-    inside = (F.abs(u) <= 1.0) & (F.abs(v) <= 1.0)
-    return F.when(inside, clamp(shape, 0.0, 1.0)).otherwise(F.lit(0.0))
+    return F.when(d < 1.0, clamp(shape, 0.0, 1.0)).otherwise(F.lit(0.0))

@@ -14,6 +14,8 @@ from tessella.operators.regions import tile_id
 
 THUMB_LONG_EDGE = 512
 STROKE_BLOCK = 1024
+#: Share of what is below an opaque stroke that counts as shown, in place of a logarithm of zero.
+OPAQUE = 1e-300
 
 
 # --- dabs on pixels -------------------------------------------------------------------------
@@ -38,10 +40,12 @@ def dab_pixels(dabs: DataFrame) -> DataFrame:
     cells = dabs.withColumn("px", F.explode(span("x", "width"))).withColumn("py", F.explode(span("y", "height")))
     dx, dy = F.col("px") + 0.5 - F.col("x"), F.col("py") + 0.5 - F.col("y")
     cos, sin = F.cos("angle"), F.sin("angle")
-    local = cells.withColumn("_u", (dx * cos + dy * sin) / half).withColumn("_v", (dy * cos - dx * sin) / half)
+    local = cells.withColumns(
+        {"_u": (dx * cos + dy * sin) / half, "_v": (dy * cos - dx * sin) / half, "_d": F.sqrt(dx * dx + dy * dy) / half}
+    )
     return local.withColumn(
-        "cover", tip_coverage(F.col("tip"), F.col("_u"), F.col("_v")) * F.col("alpha")
-    ).drop("width", "height", "_u", "_v")
+        "cover", tip_coverage(F.col("tip"), F.col("_u"), F.col("_v"), F.col("_d")) * F.col("alpha")
+    ).drop("width", "height", "_u", "_v", "_d")
 
 
 def stroke_coverage(cells: DataFrame, *keys: str) -> DataFrame:
@@ -86,17 +90,21 @@ def commit(coverage: DataFrame, strokes: DataFrame, labels: DataFrame, tile: int
     )
 
     def fold(df: DataFrame, *keys: str) -> DataFrame:
-        layers = F.array_sort(F.collect_list(F.struct("order_no", "r", "g", "b", "a")))
-        zero = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"])
+        layers = F.array_sort(F.collect_list(F.struct((-F.col("order_no")).alias("last"), "r", "g", "b", "a", "left")))
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("r", "g", "b", "a", "left")])
         over = F.aggregate(
             "layers",
             zero,
-            lambda acc, s: F.struct(*[(s[c] + acc[c] * (F.lit(1.0) - s["a"])).alias(c) for c in "rgba"]),
+            lambda acc, s: F.struct(
+                *[(acc[c] + s[c] * F.exp(acc["left"])).alias(c) for c in "rgba"], (acc["left"] + s["left"]).alias("left")
+            ),
         )
         return df.groupBy(*keys).agg(layers.alias("layers")).select(*keys, over.alias("p")).select(*keys, "p.*")
 
-    blocks = fold(laid.withColumn("block", seq_block("order_no", STROKE_BLOCK)), "image_id", "x", "y", "block")
-    return fold(blocks.withColumnRenamed("block", "order_no"), "image_id", "x", "y")
+    # What shows through is summed as a logarithm from the newest stroke down, so that sums round as those of the SQL do.
+    clear = laid.withColumn("left", F.log(F.greatest(F.lit(1.0) - F.col("a"), F.lit(OPAQUE))))
+    blocks = fold(clear.withColumn("block", seq_block("order_no", STROKE_BLOCK)), "image_id", "x", "y", "block")
+    return fold(blocks.withColumnRenamed("block", "order_no"), "image_id", "x", "y").drop("left")
 
 
 # --- layers ---------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.shape import decimals
 from tessella.operators import painting as P
 from tessella.operators import strokes as K
 from tessella.plans import views as V
@@ -141,7 +142,7 @@ def dab_pixels(spark, sf):
 @query("stroke_coverage", "select image_id, stroke_id, x, y, round(cover, 5) as cover from stroke_cells where cover > 0.001")
 def stroke_coverage(spark, sf):
     cells = P.stroke_coverage(P.dab_pixels(dabs(spark, sf))).where("cover > 0.001")
-    return cells.select("image_id", "stroke_id", "x", "y", F.round("cover", 5).alias("cover"))
+    return cells.select("image_id", "stroke_id", "x", "y", decimals(F.col("cover"), 5).alias("cover"))
 
 
 view(
@@ -178,7 +179,7 @@ def region_mask(spark, sf):
 
 @query("committed_paint", "select image_id, x, y, round(r, 4) as r, round(a, 4) as a from painted")
 def committed_paint(spark, sf):
-    return paint(spark, sf).select("image_id", "x", "y", F.round("r", 4).alias("r"), F.round("a", 4).alias("a"))
+    return paint(spark, sf).select("image_id", "x", "y", decimals(F.col("r"), 4).alias("r"), decimals(F.col("a"), 4).alias("a"))
 
 
 @query(
@@ -193,7 +194,7 @@ def canvas_composite(spark, sf):
         "image_id", "label", "label % 3 * 90 as r", "0 as g", "0 as b"
     )
     stack = P.layer_stack(labels, fills, paint(spark, sf), P.layers_over_white(V.px(spark, sf)), V.TILE)
-    return P.canvas_composite(stack).select("image_id", "x", "y", F.round("r", 4).alias("r"))
+    return P.canvas_composite(stack).select("image_id", "x", "y", decimals(F.col("r"), 4).alias("r"))
 
 
 @query(
