@@ -8,6 +8,8 @@ and the carry is joined back on ``(keys, chunk)``, the partitioning the rows alr
 
 ``(keys, chunk)`` is one struct column, ``_spot``: structs are equal where their fields are, NULL fields
 included, so rows with a NULL key or a NULL order form groups like any other and none is lost.
+
+The summaries grow with the rows, so they are merged and never broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def attach_totals(
     totals = parts.select(
         "_spot", *[COMBINE[kind](f"_p_{name}").over(_whole(keys)).alias(name) for name, (kind, _) in aggs.items()]
     )
-    return rows.join(totals, "_spot").drop("_spot")
+    return rows.join(totals.hint("merge"), "_spot").drop("_spot")
 
 
 def row_numbers(
@@ -66,7 +68,7 @@ def row_numbers(
     carry = parts.select("_spot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     numbered = rows.withColumn("_rn", F.row_number().over(W.partitionBy("_spot").orderBy(*order)))
     return (
-        numbered.join(carry, "_spot")
+        numbered.join(carry.hint("merge"), "_spot")
         .withColumn(name, (F.col("_base") + F.col("_rn") - 1).cast("long"))
         .drop("_spot", "_base", "_rn")
     )
@@ -92,7 +94,7 @@ def running(
     local = rows.select(
         "*", *[PARTIAL[kind](expr).over(inside).alias(f"_l_{n}") for n, (kind, expr) in specs.items()]
     )
-    out = local.join(carry, "_spot")
+    out = local.join(carry.hint("merge"), "_spot")
     for n, (kind, _) in specs.items():
         a, b = F.col(f"_c_{n}"), F.col(f"_l_{n}")
         if kind in ("sum", "count"):
@@ -119,7 +121,7 @@ def previous(
     last = rows.groupBy("_spot").agg(F.max_by("_row", F.struct(order_by)).alias("_last"))
     carry = last.select("_spot", F.lag("_last").over(_whole(keys).orderBy("_spot._chunk")).alias("_carry"))
     local = rows.withColumn("_prev", F.lag("_row").over(W.partitionBy("_spot").orderBy(order_by)))
-    out = local.join(carry, "_spot").withColumn("_prev", F.coalesce("_prev", "_carry"))
+    out = local.join(carry.hint("merge"), "_spot").withColumn("_prev", F.coalesce("_prev", "_carry"))
     return out.select(
         *df.columns, *[F.col(f"_prev.{name}").alias(name) for name in cols]
     )
@@ -171,7 +173,7 @@ def ordered(
     )
     local = local.withColumn("_prev", F.lag(packed).over(inside)).withColumn("_rn", F.row_number().over(inside))
     prev = F.coalesce("_prev", "_carry")
-    return local.join(carry, "_spot").select(
+    return local.join(carry.hint("merge"), "_spot").select(
         *df.columns,
         *([(F.col("_base") + F.col("_rn") - 1).cast("long").alias(number)] if number else []),
         *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums],
@@ -198,7 +200,7 @@ def islands(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[s
     earlier = whole.rowsBetween(W.unboundedPreceding, -1)
     carry = begins.select("_spot", (F.coalesce(F.sum(F.col("_news") + F.col("_begin")).over(earlier), F.lit(0)) + F.col("_begin")).alias("_base"))
     counted = opened.withColumn("_count", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    return counted.join(carry, "_spot").select(*df.columns, (F.col("_base") + F.col("_count")).alias(name))
+    return counted.join(carry.hint("merge"), "_spot").select(*df.columns, (F.col("_base") + F.col("_count")).alias(name))
 
 
 def spread_join(
@@ -212,8 +214,8 @@ def spread_join(
     """
     keys = list(keys)
     salted = rows.withColumn("_chunk", F.xxhash64(chunk))
-    spots = salted.select(*keys, "_chunk").distinct().join(table, keys)
-    return salted.join(spots, [*keys, "_chunk"], how).drop("_chunk")
+    spots = salted.select(*keys, "_chunk").distinct().join(table.hint("merge"), keys)
+    return salted.join(spots.hint("merge"), [*keys, "_chunk"], how).drop("_chunk")
 
 
 def fan_out(df: DataFrame, *keys: str | Column) -> DataFrame:

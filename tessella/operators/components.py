@@ -123,7 +123,7 @@ def _resolve_block(table: pa.Table) -> pa.Table:
 def _renamed(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """``df`` with the new name where the column has one."""
     to = names.select("image_id", F.col("node").alias(column), F.col("name").alias("_name"))
-    return df.join(to, ["image_id", column], "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
+    return df.join(to.hint("merge"), ["image_id", column], "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
 
 
 def block_names(edges: DataFrame, merge: int = MERGE) -> DataFrame:

@@ -96,7 +96,7 @@ def read_seeds(seed_px: DataFrame, tile: int = TILE) -> DataFrame:
     blobs = components(seed_px.where("a > 0"), F.lit(0), tile).select(
         "image_id", "x", "y", F.col("component").alias("blob")
     )
-    pixels = materialize(seed_px.select("image_id", "x", "y", "r", "g", "b", "a").join(blobs, ["image_id", "x", "y"]), "blobs")
+    pixels = materialize(seed_px.select("image_id", "x", "y", "r", "g", "b", "a").join(blobs.hint("merge"), ["image_id", "x", "y"]), "blobs")
     centred = attach_totals(
         pixels,
         ["image_id", "blob"],
@@ -123,7 +123,7 @@ def read_seeds(seed_px: DataFrame, tile: int = TILE) -> DataFrame:
     )
     rgb = [F.coalesce(F.col(f"c.{k}"), F.lit(0)).cast("int").alias(k) for k in "rgb"]
     seeds = materialize(
-        anchors.join(colors, ["image_id", "blob"], "left").select(
+        anchors.join(colors.hint("merge"), ["image_id", "blob"], "left").select(
             "image_id",
             F.col("at.x").alias("ax"),
             F.col("at.y").alias("ay"),

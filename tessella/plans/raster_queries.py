@@ -200,7 +200,7 @@ def _output_ids(spark, sf):
     closed = L.close_labels(grown).select(*ID, F.col("closed").alias("label")).where("label is not null")
     half = L.majority(V.with_size(L.with_area(closed, V.TILE)))
     alpha = L.box_downsample(V.with_size(V.px(spark, sf)), ["a"], 2).withColumnRenamed("a", "alpha")
-    return L.dilate_under_line(half.join(alpha, ID), V.TILE)
+    return L.dilate_under_line(half.join(alpha.hint("merge"), ID), V.TILE)
 
 
 @query("output_region_stats", "select * from out_stats")

@@ -49,9 +49,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage, keeps column pruning and statistics for the readers, and survives the
     loss of executors, which cached or locally checkpointed blocks do not.
+
+    Joins on the table are merge joins: its files may be small enough for a broadcast while its rows, packed to almost
+    nothing in the files, take a hundred times as much in the driver. Small tables are broadcast by name.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).hint("merge")
