@@ -21,6 +21,65 @@ from tessella.operators.documents import IDLE_SECONDS
 #: Progress is told once in so many milliseconds.
 FLUSH_MS = 500
 _NEVER = 1 << 62
+#: Waiting rows of a key are kept by spans of so many milliseconds.
+SPAN_MS = 600_000
+
+
+class Held:
+    """A map state whose entries are read once and written back once for a stretch of rows: every access of the state is a call to the JVM."""
+
+    def __init__(self, state):
+        self.state = state
+        self.forget()
+
+    def forget(self) -> None:
+        """Another key comes: nothing is known of its state."""
+        self.now: dict[tuple, tuple | None] = {}
+        self.there: set[tuple] = set()
+        self.changed: set[tuple] = set()
+
+    def _look(self, key: tuple) -> tuple | None:
+        if key not in self.now:
+            found = self.state.containsKey(key)
+            self.now[key] = tuple(self.state.getValue(key)) if found else None
+            if found:
+                self.there.add(key)
+        return self.now[key]
+
+    def containsKey(self, key: tuple) -> bool:
+        return self._look(key) is not None
+
+    def getValue(self, key: tuple) -> tuple:
+        return self._look(key)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._look(key)
+        self.now[key] = value
+        self.changed.add(key)
+
+    def removeKey(self, key: tuple) -> None:
+        self._look(key)
+        self.now[key] = None
+        self.changed.add(key)
+
+    def load(self) -> None:
+        """Reads the whole map, for one whose values or absence are asked for often."""
+        for key, value in self.state.iterator():
+            key = tuple(key)
+            if key not in self.now:
+                self.now[key] = tuple(value)
+                self.there.add(key)
+
+    def values(self) -> list[tuple]:
+        return [v for v in self.now.values() if v is not None]
+
+    def write(self) -> None:
+        for key in self.changed:
+            if self.now[key] is not None:
+                self.state.updateValue(key, self.now[key])
+            elif key in self.there:
+                self.state.removeKey(key)
+        self.forget()
 
 
 class InOrder(StatefulProcessor):
@@ -30,14 +89,22 @@ class InOrder(StatefulProcessor):
     OUT: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, seq long", "row string")
+        self.handle, self.held = handle, []
+        self.waiting = handle.getMapState("waiting", "span long", "rows string")
         self.value = handle.getValueState("value", "json string")
         self.prepare(handle)
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
         """Further state of the subclass."""
 
+    def hold(self, *state: str) -> Held:
+        """A map state of the subclass, written back after every span of rows."""
+        self.held.append(Held(self.handle.getMapState(*state)))
+        return self.held[-1]
+
+    def opened(self) -> None:
+        """Before a span of rows is applied."""
+
     def apply(self, state: dict, at: int, seq: int, row: list) -> Iterator[tuple]:
         """Changes the state; yields rows without the key."""
         raise NotImplementedError
@@ -53,38 +120,68 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = json.loads(self.value.get()[0]) if self.value.exists() else {"applied": -1}
         for frame in rows:
+            spans: dict[int, dict] = {}
             columns = [frame[c].tolist() for c in ("at_ms", "seq", *self.TAKES)]
             for at, seq, *row in zip(*columns):
                 if seq > state["applied"]:
-                    self.waiting.updateValue((int(at), int(seq)), (json.dumps(row),))
-        yield self._advance(key, state, timerValues)
+                    spans.setdefault(int(at) // SPAN_MS, {})[int(at), int(seq)] = row
+            for span, new in spans.items():
+                if self.waiting.containsKey((span,)):
+                    new = {(at, seq): row for at, seq, row in json.loads(self.waiting.getValue((span,))[0])} | new
+                self._wait(span, [(*spot, row) for spot, row in new.items()])
+        yield from self._advance(key, state, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.value.exists():
-            yield self._advance(key, json.loads(self.value.get()[0]), timerValues)
-
-    def _advance(self, key, state: dict, timers) -> pd.DataFrame:
-        now, out = timers.getCurrentWatermarkInMs(), []
-        spots = sorted(self.waiting.keys())
-        ready = [s for s in spots if s[0] <= now]
-        for at, seq in ready:
-            row = json.loads(self.waiting.getValue((at, seq))[0])
-            self.waiting.removeKey((at, seq))
-            if seq > state["applied"]:
-                out += self.passed(state, at)
-                out += self.apply(state, at, seq, row)
-                state["applied"] = seq
-        out += self.passed(state, now)
+            yield from self._advance(key, json.loads(self.value.get()[0]), timerValues)
+
+    def _wait(self, span: int, rows: list) -> None:
+        self.waiting.updateValue((span,), (json.dumps(rows),))
+
+    def _advance(self, key, state: dict, timers) -> Iterator[pd.DataFrame]:
+        """A span of waiting rows at a time, so no more than one is held."""
+        now, following = timers.getCurrentWatermarkInMs(), _NEVER
+        names = key if isinstance(key, tuple) else (key,)
+        for (span,) in sorted(tuple(k) for k in self.waiting.keys()):
+            rows, out = sorted(json.loads(self.waiting.getValue((span,))[0])), []
+            ready = [r for r in rows if r[0] <= now]
+            if ready:
+                self._open()
+                for at, seq, row in ready:
+                    if seq > state["applied"]:
+                        out += self.passed(state, at)
+                        out += self.apply(state, at, seq, row)
+                        state["applied"] = seq
+                self._write()
+                yield pd.DataFrame([(*names, *row) for row in out], columns=list(self.OUT))
+                if len(ready) == len(rows):
+                    self.waiting.removeKey((span,))
+                else:
+                    self._wait(span, rows[len(ready) :])
+            if len(ready) < len(rows):
+                following = rows[len(ready)][0]
+                break
+        self._open()
+        out = list(self.passed(state, now))
+        self._write()
         self.value.update((json.dumps(state),))
-        following = min([s[0] for s in spots[len(ready) :][:1]] + [self.due(state)])
+        following = min(following, self.due(state))
         set_already = list(self.handle.listTimers())
         if following != _NEVER and following not in set_already:
             self.handle.registerTimer(following)
         for timer in set_already:
             if timer != following and timer > now:
                 self.handle.deleteTimer(timer)
-        names = key if isinstance(key, tuple) else (key,)
-        return pd.DataFrame([(*names, *row) for row in out], columns=list(self.OUT))
+        yield pd.DataFrame([(*names, *row) for row in out], columns=list(self.OUT))
+
+    def _open(self) -> None:
+        for held in self.held:
+            held.forget()
+        self.opened()
+
+    def _write(self) -> None:
+        for held in self.held:
+            held.write()
 
     def close(self) -> None:
         pass
@@ -98,7 +195,7 @@ class StateChanges(InOrder):
     SCHEMA = "doc_id long, seq long, color long, colored long"
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.palette = handle.getMapState("palette", "region long", "color long")
+        self.palette = self.hold("palette", "region long", "color long")
 
     def apply(self, state, at, seq, row):
         region, color = row
@@ -126,8 +223,8 @@ class IdleHints(InOrder):
         self.idle_ms = idle_ms
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getMapState("log", "slot long", "region long")
-        self.fills = handle.getMapState("fills", "region long", "n long")
+        self.log = self.hold("log", "slot long", "region long")
+        self.fills = self.hold("fills", "region long", "n long")
 
     def apply(self, state, at, seq, row):
         kind, region, total = row
@@ -170,7 +267,11 @@ class Progress(InOrder):
         self.every_ms = every_ms
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.dirty = handle.getMapState("dirty", "tile long", "delta long")
+        self.dirty = self.hold("dirty", "tile long", "delta long")
+
+    def opened(self):
+        # All that changed since the last flush, and nothing else.
+        self.dirty.load()
 
     def apply(self, state, at, seq, row):
         tile, delta = row
@@ -183,7 +284,8 @@ class Progress(InOrder):
         flush = state.get("flush")
         if flush is not None and now >= flush:
             changes = [d[0] for d in self.dirty.values() if d[0]]
-            self.dirty.clear()
+            for key in [k for k, v in self.dirty.now.items() if v is not None]:
+                self.dirty.removeKey(key)
             state["flush"] = None
             state["covered"] = state.get("covered", 0) + sum(changes)
             if changes:
