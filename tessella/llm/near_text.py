@@ -12,6 +12,9 @@ shingles mostly differ in more, so this module takes a longer fingerprint (128 b
   ``HOT`` members are dealt out further; their leaders meet once more.
 * Candidates are verified by the exact similarity of the texts' shingle sets, first the nearest one of every text, then
   those between texts that are not connected yet. A hub's links are spread over many tasks.
+* Fingerprints miss some pairs, so an exact join follows between texts that are still apart: in one order of all shingles, two
+  similar texts share a shingle among the first fifth of either's. The order puts rare shingles first, as told by a bounded sample;
+  it settles how much is compared, not what is found.
 
 Cases: a null or empty text has no shingle and is linked to its equals alone; of equal keys any one row stays; repeated rows
 count as copies; null keys come last; an empty table gives an empty table; other columns are kept as they are.
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tessella.llm.common import PRE, written
 from tessella.llm.graph import components
@@ -40,7 +44,9 @@ RECALL, REACH = 0.98, 30
 PIVOTS, SMALL, HOT = 8, 8, 4096
 #: Copies of a hub's text, at most, when its links are verified.
 SPOTS = 1024
-NODE, LOW, HIGH, RANK = (f"{PRE}{c}" for c in ("node", "low", "high", "rank"))
+#: Texts whose shingles are counted for the order, about; how often a frequent one occurs in them, and how many are kept, at most.
+SAMPLE, OFTEN, MOST_OFTEN = 16_384, 4, 1 << 18
+NODE, LOW, HIGH, RANK, SIZE, FIRST = (f"{PRE}{c}" for c in ("node", "low", "high", "rank", "size", "first"))
 
 
 def bit_chance(similar: float = SIMILAR) -> float:
@@ -64,8 +70,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: str) -> tuple[bytes, int, int]:
-    """Digest of the words, and the two halves of the fingerprint of the shingles."""
+def frequent(df: DataFrame, text_col: str) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts, the rarest first."""
+    share = max(1, df.count() // SAMPLE)
+    some = df.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py() or "", WORDS)) for t in batch.column(0)]
+            hashes, counts = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
+
+    counts = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    kept = counts.orderBy(F.desc("n"), "shingle").limit(MOST_OFTEN).select("shingle").toArrow().column(0)
+    return kept.to_numpy().view(np.uint64)[::-1]
+
+
+def first_shingles(hashes: np.ndarray, often: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of a set of shingles (sorted) those that a similar text must share one of, in the order of all shingles.
+
+    ``often`` are the frequent ones, sorted, and ``places`` their places behind all others.
+    """
+    many = len(hashes) - math.ceil(SIMILAR * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    at = np.searchsorted(often, hashes)
+    late = np.flatnonzero(often[np.minimum(at, len(often) - 1)] == hashes) if len(often) else at[:0]
+    last = hashes[late][np.argsort(places[at[late]])]
+    return np.concatenate([np.delete(hashes, late)[:many], last])[:many]
+
+
+def sketch(text: str, often: np.ndarray, places: np.ndarray) -> tuple[bytes, int, int, int, np.ndarray]:
+    """Digest of the words, the two halves of the fingerprint of the shingles, their number, and the first of them."""
     digest = xxhash.xxh3_128_digest(b" ".join(text.encode().lower().split()), SEED)
     hashes = np.unique(shingle_hashes(text, WORDS))
     counts = np.zeros(PRINT_BITS, np.int64)
@@ -74,18 +108,23 @@ def sketch(text: str) -> tuple[bytes, int, int]:
         both = np.stack([part, mixed(part)], 1).astype(">u8").view(np.uint8)
         counts += np.unpackbits(both).reshape(-1, PRINT_BITS).sum(0, dtype=np.int64)
     low, high = np.packbits(2 * counts > len(hashes)).view(">i8").tolist()
-    return digest, low, high
+    return digest, low, high, len(hashes), first_shingles(hashes, often, places).view(np.int64)
 
 
 def with_sketches(df: DataFrame, text_col: str) -> DataFrame:
     at = df.columns.index(text_col)
-    extra = [T.StructField(NODE, T.BinaryType()), T.StructField(LOW, T.LongType()), T.StructField(HIGH, T.LongType())]
+    kinds = {NODE: T.BinaryType(), LOW: T.LongType(), HIGH: T.LongType(), SIZE: T.LongType(), FIRST: T.ArrayType(T.LongType())}
+    extra = [T.StructField(name, kind) for name, kind in kinds.items()]
+    arrow = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    ordered = frequent(df, text_col)
+    places = np.argsort(ordered)
+    often = ordered[places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py() or "") for t in batch.column(at)]
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, NODE, LOW, HIGH])
+            found = [sketch(t.as_py() or "", often, places) for t in batch.column(at)]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *kinds])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra]))
 
@@ -251,15 +290,47 @@ def similarity(a: str, b: str) -> float:
     return common / (len(x) + len(y) - common) if common else 0.0
 
 
+def missed(prints: DataFrame, groups: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between texts of different groups that share one of their first shingles and may be similar.
+
+    Of two similar texts the first shingle they share leaves enough behind it in both. A shingle of many texts is dealt to
+    many tasks: each of its texts is in one part on one side and in all on the other.
+    """
+    nodes = prints.select(F.col(NODE).alias("node"), F.col(RANK)["row"].alias("id"), F.col(SIZE).alias("size"), F.col(FIRST).alias("first"))
+    roots = groups.join(nodes.select(F.col("node").alias("root"), F.col("id").alias("group")), "root").select("node", "group")
+    own = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("group", "id"))
+    rows = own.select("id", "group", "size", F.posexplode("first").alias("at", "shingle"))
+    of = W.partitionBy("shingle")
+    shared = rows.withColumns({"n": F.count("*").over(of), "least": F.min("group").over(of), "most": F.max("group").over(of)})
+    shared = written(shared.where("least < most").drop("least", "most"), "shared")
+    parts = F.ceil(F.col("n") / hot)
+    names = ("id", "group", "size", "at")
+    left = shared.select("shingle", F.pmod(F.xxhash64("id"), parts).alias("part"), *[F.col(c).alias(f"{c}_a") for c in names])
+    right = shared.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in names])
+    # With more than a rounding error to spare: the texts themselves decide.
+    least = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    common = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b"))
+    links = left.join(right, ["shingle", "part"]).where("id_a < id_b and group_a <> group_b").where(common >= least)
+    links = links.select("id_a", "id_b").distinct()
+    for end in ("a", "b"):
+        links = links.join(nodes.select(F.col("id").alias(f"id_{end}"), F.col("node").alias(end)), f"id_{end}")
+    return links.select("a", "b")
+
+
 def near_groups(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
     """(node, root): texts of ``rows`` (a written table with sketches and ``RANK``) that hang together, where there are others."""
-    least = rows.groupBy(NODE).agg(F.min(F.struct(RANK, LOW, HIGH)).alias("s"))
+    least = rows.groupBy(NODE).agg(F.min(F.struct(RANK, LOW, HIGH, SIZE, FIRST)).alias("s"))
     prints = written(least.select(NODE, "s.*"), "prints")
     links = written(candidates(prints, hot), "candidates")
     own = rows.select(F.col(NODE).alias("node"), RANK, F.coalesce(text_col, F.lit("")).alias("text"))
-    asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    first = prints.select(F.col(NODE).alias("node"), F.col(RANK).alias("first")).join(asked, "node", "left_semi")
-    texts = written(own.join(first, "node").where(F.col(RANK) == F.col("first")).select("node", "text"), "texts")
+    first = prints.select(F.col(NODE).alias("node"), F.col(RANK).alias("first"))
+
+    def texts_of(links: DataFrame) -> DataFrame:
+        asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        rows = own.join(first.join(asked, "node", "left_semi"), "node").where(F.col(RANK) == F.col("first"))
+        return written(rows.select("node", "text"), "texts")
+
+    texts = texts_of(links)
     ends = links.select(F.col("a").alias("node"), "a", "b", "apart").union(links.select("b", "a", "b", "apart"))
     nearest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("l")).select("l.a", "l.b").distinct()
     held = written(similar(nearest, texts), "similar")
@@ -267,7 +338,12 @@ def near_groups(rows: DataFrame, text_col: str, hot: int = HOT) -> DataFrame:
     name = lambda end: groups.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     rest = links.join(nearest, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return written(components(written(held.union(similar(rest, texts)), "similar")), "groups")
+    held = written(held.union(similar(rest, texts)), "similar")
+    groups = written(components(held), "groups")
+    left = written(missed(prints, groups, hot), "candidates")
+    if left.isEmpty():
+        return groups
+    return written(components(written(held.union(similar(left, texts_of(left))), "similar")), "groups")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import near_text as N
@@ -110,3 +111,35 @@ def test_numbers_of_tables():
     assert N.table_bits(1) == N.table_bits(10**6) == 16 and N.table_bits(1 << 30) == 24
     for bits in (16, 20, 24):
         assert 1 - (1 - (1 - N.bit_chance()) ** bits) ** N.table_count(bits) >= N.RECALL
+
+
+def far_pairs(rng, many):
+    """Pairs of similar texts whose fingerprints are too far apart for a candidate."""
+    none = np.empty(0, np.uint64)
+    prints = lambda t: np.array([x & (2**64 - 1) for x in N.sketch(t, none, none)[1:3]], np.uint64)
+    pairs = []
+    while len(pairs) < many:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        a, b = " ".join(words), " ".join([*(f"n{rng.randrange(10**6)}" for _ in range(5)), *words[5:], *(f"n{rng.randrange(10**6)}" for _ in range(5))])
+        if jaccard(shingles(a), shingles(b)) >= 0.8 and N.distance(prints(a), prints(b)) > N.REACH:
+            pairs += [a, b]
+    return pairs
+
+
+def test_pairs_of_far_fingerprints_are_linked(spark):
+    texts = far_pairs(random.Random(3), 10)
+    for hot in (N.HOT, 2):
+        kept = {r.doc_id for r in N.one_of_each(frame(spark, texts), hot=hot).collect()}
+        assert kept == set(range(0, len(texts), 2))
+
+
+def test_groups_are_those_of_brute_force(spark):
+    rng = random.Random(4)
+    # A line that many texts begin with, frequent shingles alone, members of a family near to one another but not to its first.
+    texts = corpus(rng, 120, 6) + far_pairs(rng, 4)
+    texts += ["the same line at the head of many short texts " + " ".join(f"v{rng.randrange(40)}" for _ in range(4)) for _ in range(150)]
+    sets = [shingles(t) for t in texts]
+    label = groups_of([(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(sets[i], sets[j]) >= 0.8], len(texts))
+    for hot in (N.HOT, 5):
+        kept = {r.doc_id for r in N.one_of_each(frame(spark, texts), hot=hot).collect()}
+        assert kept == {i for i in range(len(texts)) if label[i] == i}
