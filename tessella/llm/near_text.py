@@ -13,8 +13,9 @@ shingles mostly differ in more, so this module takes a longer fingerprint (128 b
 * Candidates are verified by the exact similarity of the texts' shingle sets, first the nearest one of every text, then
   those between texts that are not connected yet. A hub's links are spread over many tasks.
 * Fingerprints miss some pairs, so an exact join follows between texts that are still apart: in one order of all shingles, two
-  similar texts share a shingle among the first fifth of either's. The order puts rare shingles first, as told by a bounded sample;
-  it settles how much is compared, not what is found.
+  similar texts share a shingle among the first fifth of either's, and so many of these that the rest can make up for the others;
+  only such pairs are verified. The order puts rare shingles first, as told by a bounded sample; it settles how much is
+  compared, not what is found.
 
 Cases: a null or empty text has no shingle and is linked to its equals alone; of equal keys any one row stays; repeated rows
 count as copies; null keys come last; an empty table gives an empty table; other columns are kept as they are.
@@ -293,25 +294,30 @@ def similarity(a: str, b: str) -> float:
 def missed(prints: DataFrame, groups: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) between texts of different groups that share one of their first shingles and may be similar.
 
-    Of two similar texts the first shingle they share leaves enough behind it in both. A shingle of many texts is dealt to
-    many tasks: each of its texts is in one part on one side and in all on the other.
+    Of two similar texts the first shingle they share leaves enough behind it in both. What they share besides the first
+    ones of both lies behind the last of one of them, so the first ones alone must hold about half in common. A shingle of
+    many texts is dealt to many tasks: each of its texts is in one part on one side and in all on the other.
     """
     nodes = prints.select(F.col(NODE).alias("node"), F.col(RANK)["row"].alias("id"), F.col(SIZE).alias("size"), F.col(FIRST).alias("first"))
     roots = groups.join(nodes.select(F.col("node").alias("root"), F.col("id").alias("group")), "root").select("node", "group")
     own = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("group", "id"))
-    rows = own.select("id", "group", "size", F.posexplode("first").alias("at", "shingle"))
+    rest = (F.col("size") - F.size("first")).alias("rest")
+    rows = own.select("id", "group", "size", rest, F.posexplode("first").alias("at", "shingle"))
     of = W.partitionBy("shingle")
     shared = rows.withColumns({"n": F.count("*").over(of), "least": F.min("group").over(of), "most": F.max("group").over(of)})
     shared = written(shared.where("least < most").drop("least", "most"), "shared")
     parts = F.ceil(F.col("n") / hot)
-    names = ("id", "group", "size", "at")
+    names = ("id", "group", "size", "rest", "at")
     left = shared.select("shingle", F.pmod(F.xxhash64("id"), parts).alias("part"), *[F.col(c).alias(f"{c}_a") for c in names])
     right = shared.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in names])
     # With more than a rounding error to spare: the texts themselves decide.
     least = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    common = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b"))
-    links = left.join(right, ["shingle", "part"]).where("id_a < id_b and group_a <> group_b").where(common >= least)
-    links = links.select("id_a", "id_b").distinct()
+    links = left.join(right, ["shingle", "part"]).where("id_a < id_b and group_a <> group_b").where(F.least("size_a", "size_b") >= least)
+    ends = [F.max(c).alias(c) for c in ("size_a", "size_b", "rest_a", "rest_b")]
+    places = [F.min("at_a").alias("from_a"), F.min("at_b").alias("from_b"), F.max("at_a").alias("to_a"), F.max("at_b").alias("to_b")]
+    links = links.groupBy("id_a", "id_b").agg(F.count("*").alias("common"), *ends, *places)
+    most = F.expr("common + greatest(least(rest_a, size_b - to_b - 1), least(rest_b, size_a - to_a - 1))")
+    links = links.where(F.expr("least(size_a - from_a, size_b - from_b)") >= least).where(most >= least).select("id_a", "id_b")
     for end in ("a", "b"):
         links = links.join(nodes.select(F.col("id").alias(f"id_{end}"), F.col("node").alias(end)), f"id_{end}")
     return links.select("a", "b")
