@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 #: Bytes of an image that one task reads, and pixels in one Arrow batch.
 STRIP_BYTES, BATCH_PIXELS = 16 << 20, 1 << 16
 HEADER_BYTES = 1024
+#: From so many strips on, small ones share a task, up to so many bytes; opening a file counts as some.
+MANY_STRIPS, TASK_BYTES, OPEN_BYTES = 256, 1 << 20, 4096
 PIXEL_SCHEMA = "folder_id string, layer string, x int, y int, r int, g int, b int, a int"
 SAMPLE_SCHEMA = (
     "frame long, place int, stroke_id long, seq long, x double, y double, t double, pressure double, radius double, predicted boolean"
@@ -48,15 +50,40 @@ class Strip(InputPartition):
     of: int
 
 
+@dataclass
+class Strips(InputPartition):
+    """The strips that one task reads, one after the other."""
+
+    strips: list[Strip]
+
+
+def packed(strips: list[Strip], sizes: list[int]) -> list[Strips]:
+    """A task for each strip; of many small ones, a task for some neighbours."""
+    tasks, room = [], 0
+    for strip, size in zip(strips, sizes):
+        cost = max(size, OPEN_BYTES)
+        if len(strips) < MANY_STRIPS or cost > room:
+            tasks.append(Strips([]))
+            room = TASK_BYTES
+        tasks[-1].strips.append(strip)
+        room -= cost
+    return tasks
+
+
 class PamReader(DataSourceReader):
     def __init__(self, root: str, strip_bytes: int):
         self.root, self.strip_bytes = root, strip_bytes
 
-    def partitions(self) -> list[Strip]:
+    def partitions(self) -> list[Strips]:
         images = [f for f in listed(self.root) if f.is_file and f.path.endswith(".pam")]
-        return [Strip(f.path, k, n) for f in images for n in [math.ceil(max(f.size, 1) / self.strip_bytes)] for k in range(n)]
+        strips = [(Strip(f.path, k, n), f.size // n) for f in images for n in [math.ceil(max(f.size, 1) / self.strip_bytes)] for k in range(n)]
+        return packed([strip for strip, _ in strips], [size for _, size in strips])
+
+    def read(self, task: Strips) -> Iterator[pa.RecordBatch]:
+        for strip in task.strips:
+            yield from self.read_strip(strip)
 
-    def read(self, strip: Strip) -> Iterator[pa.RecordBatch]:
+    def read_strip(self, strip: Strip) -> Iterator[pa.RecordBatch]:
         folder, layer = strip.path.split("/")[-2], strip.path.split("/")[-1].removesuffix(".pam")
         with place(self.root)[0].open_input_file(strip.path) as file:
             head = file.read(HEADER_BYTES)
