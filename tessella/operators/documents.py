@@ -240,12 +240,12 @@ def backup_quota(works: DataFrame, quota: int) -> DataFrame:
 # --- quantised strokes ----------------------------------------------------------------------
 
 
-def quantize(samples: DataFrame, max_dt: int = 255) -> DataFrame:
-    """16-bit positions, 8-bit time steps, pressure, radius and signed 8-bit tilt.
+#: The most milliseconds in one row of the log.
+MAX_DT = 255
 
-    ``samples`` holds ``stroke_id, seq, x, y, t, pressure, radius, tilt_x, tilt_y``.  A time step
-    over ``max_dt`` milliseconds is carried by filler rows (``part`` below ``parts``).
-    """
+
+def quantize_whole(samples: DataFrame, max_dt: int = MAX_DT) -> DataFrame:
+    """One row per sample: what ``quantize`` gives, with ``parts`` log rows of which the last has ``last`` and all others ``dt`` milliseconds."""
 
     def fit(v: Column, lo: int, hi: int, to: str) -> Column:
         return F.least(F.greatest(F.round(v), F.lit(lo)), F.lit(hi)).cast(to)
@@ -255,16 +255,14 @@ def quantize(samples: DataFrame, max_dt: int = 255) -> DataFrame:
     gap = F.greatest(F.coalesce(F.col("_ms") - F.col("_before"), F.lit(0)), F.lit(0))
     parts = F.greatest(idiv(gap + (max_dt - 1), max_dt), F.lit(1).cast("long"))
     wide = seen.withColumn("_gap", gap).withColumn("parts", parts)
-    each = wide.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))))
-    left = F.col("_gap") - (F.col("part") - 1) * max_dt
-    return each.select(
+    return wide.select(
         "stroke_id",
         "seq",
-        "part",
         "parts",
         fit(F.col("x"), -32768, 32767, "smallint").alias("qx"),
         fit(F.col("y"), -32768, 32767, "smallint").alias("qy"),
-        F.least(left, F.lit(max_dt)).cast("smallint").alias("dt"),
+        F.least("_gap", F.lit(max_dt)).cast("smallint").alias("dt"),
+        (F.col("_gap") - (F.col("parts") - 1) * max_dt).cast("smallint").alias("last"),
         fit(F.col("pressure") * 255, 0, 255, "smallint").alias("qp"),
         fit(F.col("radius"), 0, 255, "smallint").alias("qr"),
         fit(F.col("tilt_x"), -128, 127, "tinyint").alias("tx"),
@@ -272,6 +270,23 @@ def quantize(samples: DataFrame, max_dt: int = 255) -> DataFrame:
     )
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """A row for every part of a sample."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))))
+
+
+def quantize(samples: DataFrame, max_dt: int = MAX_DT) -> DataFrame:
+    """16-bit positions, 8-bit time steps, pressure, radius and signed 8-bit tilt.
+
+    ``samples`` holds ``stroke_id, seq, x, y, t, pressure, radius, tilt_x, tilt_y``.  A time step
+    over ``max_dt`` milliseconds is carried by filler rows (``part`` below ``parts``).
+    """
+    dt = F.when(F.col("part") == F.col("parts"), F.col("last")).otherwise(F.col("dt"))
+    return _parts(quantize_whole(samples, max_dt)).select(
+        "stroke_id", "seq", "part", "parts", "qx", "qy", dt.alias("dt"), "qp", "qr", "tx", "ty"
+    )
+
+
 STEP_COLUMNS = ("qx", "qy", "dt", "qp", "qr", "tx", "ty")
 
 
@@ -292,6 +307,44 @@ def delta_decode(rows: DataFrame, cols: Sequence[str] = STEP_COLUMNS) -> DataFra
     return summed.select("stroke_id", "seq", "part", *[F.col(c).cast("int").alias(c) for c in cols])
 
 
+def encode_whole(rows: DataFrame) -> DataFrame:
+    """The log of ``quantize_whole`` with one row per sample, as filler rows repeat their sample but for the time step.
+
+    The first log row of a sample has the steps ``d_*``, the last one besides ``d_last`` in time, those between have none.
+    Long pauses are many log rows, so only these rows are shuffled, and ``log_rows`` makes the others at the end.
+    """
+    seen = previous(rows, ["stroke_id"], seq_block("seq"), "seq", {f"_b_{c}": "last" if c == "dt" else c for c in STEP_COLUMNS})
+    return seen.select(
+        "stroke_id", "seq", "parts",
+        *[(F.col(c).cast("int") - F.coalesce(F.col(f"_b_{c}").cast("int"), F.lit(0))).alias(f"d_{c}") for c in STEP_COLUMNS],
+        (F.col("last").cast("int") - F.col("dt").cast("int")).alias("d_last"),
+    )
+
+
+def log_rows(log: DataFrame) -> DataFrame:
+    """All rows of the log, as ``delta_encode`` gives them."""
+    first, last = F.col("part") == 1, F.when(F.col("part") == F.col("parts"), F.col("d_last")).otherwise(F.lit(0))
+    step = {c: F.when(first, F.col(f"d_{c}")).otherwise(F.lit(0)) for c in STEP_COLUMNS}
+    step["dt"] = step["dt"] + last
+    return _parts(log).select("stroke_id", "seq", "part", *[v.alias(f"d_{c}") for c, v in step.items()])
+
+
+def decode_whole(log: DataFrame) -> DataFrame:
+    """One row per sample, as ``quantize_whole`` gives them, from ``encode_whole``."""
+    steps = {c: F.col(f"d_{c}") + (F.col("d_last") if c == "dt" else F.lit(0)) for c in STEP_COLUMNS}
+    sums = {c if c != "dt" else "last": ("sum", step) for c, step in steps.items()}
+    summed = running(log, ["stroke_id"], seq_block("seq"), [F.col("seq")], sums)
+    columns = {c: F.col(c) for c in sums} | {"dt": F.col("last") - F.col("d_last")}
+    return summed.select("stroke_id", "seq", "parts", *[v.cast("int").alias(c) for c, v in columns.items()])
+
+
+def decoded_rows(whole: DataFrame) -> DataFrame:
+    """All log rows of decoded samples, as ``delta_decode`` gives them."""
+    dt = F.when(F.col("part") == F.col("parts"), F.col("last")).otherwise(F.col("dt"))
+    columns = [(dt if c == "dt" else F.col(c)).alias(c) for c in STEP_COLUMNS]
+    return _parts(whole).select("stroke_id", "seq", "part", *columns)
+
+
 def dequantize(rows: DataFrame) -> DataFrame:
     """Samples of decoded log rows: filler rows are folded into their sample, numbers get their units back.
 
@@ -299,10 +352,20 @@ def dequantize(rows: DataFrame) -> DataFrame:
     most where they fitted their range, pressure by 1/510; times are whole milliseconds from the first sample,
     off by one at most, where they did not go back.
     """
-    whole = rows.groupBy("stroke_id", "seq").agg(
-        F.sum(F.col("dt").cast("long")).alias("_gap"),
-        *[F.max_by(c, "part").alias(c) for c in ("qx", "qy", "qp", "qr", "tx", "ty")],
+    return _with_units(
+        rows.groupBy("stroke_id", "seq").agg(
+            F.sum(F.col("dt").cast("long")).alias("_gap"),
+            *[F.max_by(c, "part").alias(c) for c in ("qx", "qy", "qp", "qr", "tx", "ty")],
+        )
     )
+
+
+def dequantize_whole(whole: DataFrame) -> DataFrame:
+    """The samples of ``decode_whole``, as ``dequantize`` gives them."""
+    return _with_units(whole.withColumn("_gap", (F.col("parts") - 1) * F.col("dt") + F.col("last")))
+
+
+def _with_units(whole: DataFrame) -> DataFrame:
     timed = running(whole, ["stroke_id"], seq_block("seq"), [F.col("seq")], {"_ms": ("sum", F.col("_gap"))})
     plain = {"x": "qx", "y": "qy", "radius": "qr", "tilt_x": "tx", "tilt_y": "ty"}
     return timed.select(
