@@ -145,10 +145,15 @@ def spline_points(pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class DabWalk:
     """Walks the spline of one stroke and places dabs; state carries over between samples."""
 
-    __slots__ = ("preset", "size", "rng", "ctrl", "count", "acc", "gap", "jitter")
+    __slots__ = ("preset", "size", "rng", "ctrl", "count", "acc", "gap", "jitter", "shape")
 
     def __init__(self, preset: dict, size: float, seed: int) -> None:
         self.preset, self.size = preset, size
+        # What every dab asks of the preset.
+        self.shape = (
+            *(preset["velocity_to_size"], preset["size_min"], preset["size_max"] - preset["size_min"], preset["size_gamma"]),
+            *(preset["flow"], preset["alpha_min"], preset["alpha_max"] - preset["alpha_min"], preset["alpha_gamma"], preset["spacing"]),
+        )
         self.rng = (int(seed) | 1) & MASK32
         self.ctrl: list[tuple] = []  # the last three controls: x, y, pressure, speed
         self.count = 0
@@ -199,32 +204,41 @@ class DabWalk:
             self._pieces(xs[n].tolist(), ys[n].tolist(), steps[n].tolist(), b, c, out)
 
     def _pieces(self, xs, ys, steps, b, c, out: list[tuple]) -> None:
+        single, hypot, emit, add = np.float32, math.hypot, self._emit, out.append
+        p0, p1, v0, v1 = b[2], c[2] - b[2], b[3], c[3] - b[3]
+        acc = self.acc
         for k, length in enumerate(steps):
             if length <= 0.0:
                 continue
-            if self.gap - self.acc > length:
-                self.acc += length
+            ahead = self.gap - acc
+            if ahead > length:
+                acc += length
                 continue
             x, y, u = xs[k], ys[k], k / SUBSTEPS
             ex, ey, eu = xs[k + 1], ys[k + 1], (k + 1) / SUBSTEPS
-            while length > 0.0 and self.gap - self.acc <= length:
-                f = (self.gap - self.acc) / length
+            while length > 0.0 and ahead <= length:
+                f = ahead / length
                 # Positions are single precision, and the rest of the piece starts there.
-                x, y, u = _single(x + (ex - x) * f), _single(y + (ey - y) * f), u + (eu - u) * f
-                out.append(self._emit(x, y, b[2] + (c[2] - b[2]) * u, b[3] + (c[3] - b[3]) * u))
-                self.acc = 0.0
-                length = math.hypot(ex - x, ey - y)
-            self.acc += length
+                x, y, u = float(single(x + (ex - x) * f)), float(single(y + (ey - y) * f)), u + (eu - u) * f
+                add(emit(x, y, p0 + p1 * u, v0 + v1 * u))
+                acc, ahead = 0.0, self.gap
+                length = hypot(ex - x, ey - y)
+            acc += length
+        self.acc = acc
 
     def _emit(self, x: float, y: float, pressure: float, speed: float) -> tuple:
-        q = self.preset
-        p = unit_clamp(pressure)
-        taper = 1.0 - q["velocity_to_size"] * unit_clamp(speed / REFERENCE_SPEED)
-        size = self.size * (q["size_min"] + (q["size_max"] - q["size_min"]) * p ** q["size_gamma"]) * taper
-        alpha = unit_clamp(q["flow"] * (q["alpha_min"] + (q["alpha_max"] - q["alpha_min"]) * p ** q["alpha_gamma"]))
-        self.gap = max(q["spacing"] * size, MIN_STEP)
+        by_speed, size_min, size_span, size_gamma, flow, alpha_min, alpha_span, alpha_gamma, spacing = self.shape
+        p = 0.0 if pressure < 0.0 else 1.0 if pressure > 1.0 else pressure
+        v = speed / REFERENCE_SPEED
+        taper = 1.0 - by_speed * (0.0 if v < 0.0 else 1.0 if v > 1.0 else v)
+        size = self.size * (size_min + size_span * p**size_gamma) * taper
+        alpha = flow * (alpha_min + alpha_span * p**alpha_gamma)
+        alpha = 0.0 if alpha < 0.0 else 1.0 if alpha > 1.0 else alpha
+        gap = spacing * size
+        self.gap = MIN_STEP if MIN_STEP > gap else gap
         if not self.jitter:
             return x, y, size, 0.0, alpha
+        q = self.preset
         # Four draws per dab, whatever the preset uses; the walk itself never sees the jitter.
         jx, jy, js, ja = self._draw(), self._draw(), self._draw(), self._draw()
         reach = q["jitter_pos"] * size
@@ -256,12 +270,14 @@ class DabWalk:
 # --- streaming sorted partitions through a per-stroke fold ----------------------------------
 
 _FOLD_IN = ("x", "y", "t", "pressure", "radius")
+#: Samples that are folded at once, and rows after which they are handed on: a sample may give hundreds of dabs, a batch has 10,000.
+SLICE, ROWS_OUT = 128, 8_192
 
 
 def _per_stroke(
     frames: Iterable[pd.DataFrame], make: Callable, step: Callable, end: Callable
 ) -> Iterator[list[tuple]]:
-    """Feeds consecutive rows of one stroke to its fold, batch by batch.
+    """Feeds consecutive rows of one stroke to its fold, slice by slice, and gives its rows in lists of bounded length.
 
     ``make`` sees the first row of a stroke, ``step`` every slice of it, ``end`` what is left.
     """
@@ -270,6 +286,7 @@ def _per_stroke(
         out: list[tuple] = []
         ids = frame["stroke_id"].to_numpy()
         cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        cuts = [at for lo, hi in zip(cuts, cuts[1:]) for at in range(lo, hi, SLICE)] + [len(ids)]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo == hi:
                 continue
@@ -279,6 +296,9 @@ def _per_stroke(
                     end(key, fold, out)
                 key, fold = ids[lo], make(part.iloc[0])
             step(key, part, fold, out)
+            if len(out) >= ROWS_OUT:
+                yield out
+                out = []
         yield out
     if fold is not None:
         out = []
@@ -344,7 +364,9 @@ def _dab_rows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out += fold.finish(key)
 
     for rows in _per_stroke(frames, lambda r: StrokeFold(r.brush, r["size"], r.seed), step, end):
-        yield pd.DataFrame(rows, columns=DAB_COLUMNS)
+        columns = zip(*rows) if rows else [()] * len(DAB_COLUMNS)
+        kinds = (np.int64, np.int64, *[np.float64] * 5)
+        yield pd.DataFrame({name: np.array(c, kind) for name, c, kind in zip(DAB_COLUMNS, columns, kinds)})
 
 
 def real_samples(samples: DataFrame) -> DataFrame:
