@@ -12,7 +12,8 @@ from tessella.session import scratch_dir
 from tessella.sources import assets, readers
 from tessella.streaming import documents as SD
 
-FRAME = 64
+#: Samples of a frame, and frames that are written to one folder.
+FRAME, FOLDER_FRAMES = 64, 1024
 
 
 @query("strip_pixels", "select image_id, x, y, r, g, b, a from px")
@@ -65,6 +66,9 @@ def frame_samples(spark, sf):
     root = f"{scratch_dir(spark)}/frames-{uuid.uuid4().hex}"
     columns = ["stroke_id", "seq", "x", "y", "t", "pressure", "radius", "predicted"]
     framed = V.samples(spark, sf).select((F.expr(f"seq div {FRAME}")).alias("frame"), *columns)
-    framed.repartition("frame").write.partitionBy("frame").json(root)
+    last = framed.agg(F.max("frame")).first()[0] or 0
+    first = F.expr(f"frame div {FOLDER_FRAMES} * {FOLDER_FRAMES}")
+    folder = F.concat_ws("-", first, F.least(first + (FOLDER_FRAMES - 1), F.lit(last)))
+    framed.withColumn("frames", folder).repartition("frames").write.partitionBy("frames").option("compression", "gzip").json(root)
     out = SD.run_to_table(spark.readStream.format("sample_frames").load(root), "frames")
     return spark.read.parquet(out).select("frame", "place", "stroke_id", "seq", "x", "y", *[F.round(c, 6).alias(c) for c in ("t", "pressure", "radius")], "predicted")

@@ -28,6 +28,8 @@ PIXEL_SCHEMA = "folder_id string, layer string, x int, y int, r int, g int, b in
 SAMPLE_SCHEMA = (
     "frame long, place int, stroke_id long, seq long, x double, y double, t double, pressure double, radius double, predicted boolean"
 )
+#: From so many folders of frames on, small ones share a task, up to so many frames.
+MANY_FRAMES, TASK_FRAMES = 256, 1024
 # How the channels of an image of so many are to be read as red, green, blue and alpha.
 CHANNELS = {1: (0, 0, 0, None), 2: (0, 0, 0, 1), 3: (0, 1, 2, None), 4: (0, 1, 2, 3)}
 
@@ -130,41 +132,77 @@ class PamStrips(DataSource):
 
 
 @dataclass
-class Frame(InputPartition):
-    number: int
+class Frames(InputPartition):
+    """The folders that one task reads, one after the other."""
+
+    folders: list[str]
 
 
 class FrameReader(DataSourceStreamReader):
-    """The offset is the number of frames; a frame is complete once the next one or its ``_SUCCESS`` is there."""
+    """The offset is the number of frames; a folder is complete once the next one or a ``_SUCCESS`` is there."""
 
     def __init__(self, root: str):
         self.root = root
 
+    def _listed(self) -> tuple[list[tuple[int, int, str]], bool]:
+        """First and last frame of each folder with its name, in order, and whether no more will come."""
+        names = [f.path.split("/")[-1] for f in listed(self.root, False)]
+        found = [m for name in names if (m := re.fullmatch(r"frames?=(\d+)(?:-(\d+))?", name))]
+        return sorted((int(m[1]), int(m[2] or m[1]), m[0]) for m in found), "_SUCCESS" in names
+
     def initialOffset(self) -> dict:
         return {"frames": 0}
 
     def latestOffset(self) -> dict:
-        numbers = [int(m[1]) for f in listed(self.root, False) if (m := re.search(r"frame=(\d+)$", f.path))]
-        done = any(f.path.endswith("/_SUCCESS") for f in listed(self.root, False))
-        return {"frames": max(numbers, default=-1) + done}
-
-    def partitions(self, start: dict, end: dict) -> list[Frame]:
-        return [Frame(n) for n in range(start["frames"], end["frames"])]
-
-    def read(self, frame: Frame) -> Iterator[tuple]:
+        folders, done = self._listed()
+        if not folders:
+            return {"frames": 0}
+        first, last, _ = folders[-1]
+        return {"frames": last + 1 if done else first}
+
+    def partitions(self, start: dict, end: dict) -> list[Frames]:
+        folders = [f for f in self._listed()[0] if start["frames"] <= f[0] < end["frames"]]
+        tasks, room = [], 0
+        for first, last, name in folders:
+            if len(folders) < MANY_FRAMES or last - first >= room:
+                tasks.append(Frames([]))
+                room = TASK_FRAMES
+            tasks[-1].folders.append(name)
+            room -= last - first + 1
+        return tasks
+
+    def read(self, task: Frames) -> Iterator[pa.RecordBatch]:
         files, root = place(self.root)
-        rows = []
-        for info in files.get_file_info(fs.FileSelector(f"{root}/frame={frame.number}", allow_not_found=True)):
-            if info.path.endswith(".json"):
-                with files.open_input_stream(info.path) as file:
-                    rows += [json.loads(line) for line in file.read().splitlines() if line]
-        rows.sort(key=lambda r: (r["predicted"], r["seq"]))  # real samples first, predicted ones last
-        for at, r in enumerate(rows):
-            yield (frame.number, at, r["stroke_id"], r["seq"], *(float(r[c]) for c in ("x", "y", "t", "pressure", "radius")), r["predicted"])
+        for folder in task.folders:
+            rows = []
+            for info in files.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True)):
+                if info.path.endswith((".json", ".json.gz")):
+                    with files.open_input_stream(info.path) as file:
+                        rows += [json.loads(line) for line in file.read().splitlines() if line]
+            if rows:
+                yield in_frames(rows, int(re.search(r"\d+", folder)[0]))
+
+
+def in_frames(rows: list[dict], first: int) -> pa.RecordBatch:
+    """Rows of whole frames with their places: real samples first, predicted ones last. Rows without a frame are of the ``first``."""
+    frames = [r.get("frame", first) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (frames[i], rows[i]["predicted"], rows[i]["seq"]))
+    rows, frames = [rows[i] for i in order], [frames[i] for i in order]
+    starts: dict[int, int] = {}
+    columns = [frames, [i - starts.setdefault(f, i) for i, f in enumerate(frames)]]
+    columns += [[r.get(c) for r in rows] for c in ("stroke_id", "seq")]
+    columns += [[None if (v := r.get(c)) is None else float(v) for r in rows] for c in ("x", "y", "t", "pressure", "radius")]
+    columns.append([r["predicted"] for r in rows])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.bool_()]
+    names = [c.strip().split(" ")[0] for c in SAMPLE_SCHEMA.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 class SampleFrames(DataSource):
-    """``frame=<n>`` folders of JSON samples below ``path`` as a stream, a partition per frame."""
+    """Folders of JSON samples below ``path`` as a stream: ``frame=<n>`` with one frame or ``frames=<first>-<last>``, whose rows tell theirs.
+
+    A folder is read at once by one task; of many folders with few frames, a task reads some neighbours.
+    """
 
     @classmethod
     def name(cls) -> str:
