@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.plans import views as V
 from tessella.plans.registry import query, view
-from tessella.session import scratch_dir
+from tessella.session import materialize, scratch_dir
 from tessella.streaming import documents as SD
 from tessella.streaming import live as SL
 from tessella.streaming import strokes as SS
@@ -57,8 +57,7 @@ def stream_dabs(spark, sf):
     SS.use_state_store(spark)
     first_last = V.events(spark, sf).groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     events = (
-        V.samples(spark, sf)
-        .join(first_last.withColumnRenamed("user_id", "stroke_id"), "stroke_id")
+        V.as_samples(V.events(spark, sf).join(first_last, "user_id"), "lo", "hi")
         .withColumn("kind", F.when(F.col("seq") == F.col("lo"), "begin").when(F.col("seq") == F.col("hi"), "end").otherwise("append"))
         .withColumn("predicted", F.col("predicted") & (F.col("kind") == "append"))
         .selectExpr(
@@ -68,10 +67,10 @@ def stream_dabs(spark, sf):
     )
     folder = f"{scratch_dir(spark)}/stroke-events-{uuid.uuid4().hex}"
     events.write.mode("overwrite").parquet(folder)
-    out = SD.run_to_table(SS.stream_dabs(SD.read_files(spark, folder, events.schema), idle_ms=None), "dabs")
-    return SS.committed(spark.read.parquet(out)).select(
-        "stroke_id", "dab_no", *[F.round(c, 3).alias(c) for c in ("x", "y", "size", "alpha")]
-    )
+    # The result has three places, so the sink need not hold more.
+    dabs = SS.thousandths(SS.stream_dabs(SD.read_files(spark, folder, events.schema), idle_ms=None).drop("angle"))
+    out = SD.run_to_table(dabs, "dabs", by_batch=SS.compact_batch)
+    return SS.of_thousandths(SS.committed(spark.read.parquet(out))).select("stroke_id", "dab_no", "x", "y", "size", "alpha")
 
 
 @query(
@@ -83,17 +82,18 @@ def predicted_overlay(spark, sf):
     """Strokes of which a third is still open at the end: ended ones are committed, the overlay has the last guess of open ones."""
     SS.use_state_store(spark)
     ends = V.events(spark, sf).groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).where("lo < hi")
-    rows = V.samples(spark, sf).join(ends.withColumnRenamed("user_id", "stroke_id"), "stroke_id")
+    rows = V.as_samples(V.events(spark, sf).join(ends, "user_id"), "lo", "hi")
     last = (F.col("seq") == F.col("hi")) & (F.col("hi") % 3 != 0)
     events = rows.withColumn("kind", F.when(F.col("seq") == F.col("lo"), "begin").when(last, "end").otherwise("append")).selectExpr(
         "stroke_id", "seq", "kind", "x", "y", "t", "cast(pressure as double) as pressure", "cast(radius as double) as radius",
         "(predicted or seq % 4 = 3) and kind = 'append' as predicted", "brush", "cast(size as double) as size", "seed",
     )
     base = f"{scratch_dir(spark)}/overlay-{uuid.uuid4().hex}"
+    events = materialize(events, "overlay-events")  # joined once for its three parts
     n = events.agg(F.max("seq")).first()[0]
     for part in range(3):
         events.where(F.expr(f"seq * 3 div ({n} + 1) = {part}")).coalesce(1).write.mode("append").parquet(f"{base}/events")
-    sinks, version = SS.run_to_sinks(SD.read_files(spark, f"{base}/events", events.schema, per_batch=1), f"{base}/out")
+    sinks, version = SS.run_to_sinks(SD.read_files(spark, f"{base}/events", events.schema, per_batch=1), f"{base}/out", compact=True)
     done = sinks.committed(spark).groupBy("stroke_id").agg(F.lit(True).alias("committed"))
     # A guess is newer than the stroke's real samples if it was made in the last batch the stroke was seen in.
     over = sinks.overlay(spark, version).groupBy("stroke_id").agg(F.count_distinct("epoch").alias("epochs"), F.count(F.lit(1)).alias("guesses"))

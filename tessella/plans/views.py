@@ -143,8 +143,13 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
     The time stamp runs with the event number, so it needs no ordering over the table.
     """
+    return as_samples(events(spark, sf))
+
+
+def as_samples(events: DataFrame, *more: str) -> DataFrame:
+    """The samples of events, with ``more`` columns of theirs; joins with events move less than joins with samples."""
     brush = "case user_id % 5 " + " ".join(f"when {i} then '{b}'" for i, b in enumerate(BRUSHES)) + " end"
-    return events(spark, sf).selectExpr(
+    return events.selectExpr(
         "user_id as stroke_id",
         "event_id as seq",
         "cast(200 + user_id % 700 + (event_id div 120) % 160 + event_id % 7 as double) as x",
@@ -156,6 +161,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         f"{brush} as brush",
         "24.0 as size",
         "user_id + 7 as seed",
+        *more,
     )
 
 

@@ -8,19 +8,23 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessella.operators.strokes import StrokeFold
+from tessella.operators.strokes import ROWS_OUT, SLICE, StrokeFold
 
 EVENT_SCHEMA = (
     "stroke_id long, seq long, kind string, x double, y double, t double, pressure double, "
     "radius double, predicted boolean, brush string, size double, seed long"
 )
 OUT_SCHEMA = (
-    "stroke_id long, dab_no long, x double, y double, size double, angle double, alpha double, state string, epoch long"
+    "stroke_id long, dab_no long, x double, y double, size double, angle double, alpha double, state string, epoch long, sealed boolean"
 )
-_OUT = ["stroke_id", "dab_no", "x", "y", "size", "angle", "alpha", "state", "epoch"]
+_OUT = ["stroke_id", "dab_no", "x", "y", "size", "angle", "alpha", "state", "epoch", "sealed"]
+#: Columns of ``thousandths``, and how they are best written: numbers of neighbouring dabs differ little.
+_PARTS = ("x", "y", "size", "angle", "alpha")
+COMPACT = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "compression": "zstd"}
 #: A stroke without an event for so long is abandoned and its state dropped.
 IDLE_MS = 3_600_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,7 +42,8 @@ class StrokeProcessor(StatefulProcessor):
     thrown away, and one ``done`` marker with the number of dabs when the stroke ends.  A begin
     discards what was open, samples without a begin are ignored, a cancel emits nothing.  Rows carry
     the number of the begin event as their ``epoch``, so that dabs of a discarded attempt are told
-    from those of the next.  With predictions, a ``seen`` row says that older predictions of the stroke no longer hold.
+    from those of the next.  Dabs of an attempt whose end came in the same batch are ``sealed``: they need not
+    be looked up among the ended ones.  With predictions, a ``seen`` row says that older predictions of the stroke no longer hold.
     The state of a stroke without events expires.
     """
 
@@ -57,38 +62,48 @@ class StrokeProcessor(StatefulProcessor):
             meta, state, epoch = json.loads(self._state.get()[0])
             fold = StrokeFold(*meta).load(state)
         out: list[tuple] = []
-        guessed: list[tuple] = []
-        runs = (frame["kind"] + frame["predicted"].astype(str)).ne(
-            (frame["kind"] + frame["predicted"].astype(str)).shift()
-        ).cumsum()
-        for _, part in frame.groupby(runs, sort=False):
-            kind, predicted = part["kind"].iloc[0], bool(part["predicted"].iloc[0])
+        guess = None
+        kinds, guesses = frame["kind"].tolist(), frame["predicted"].tolist()
+        cuts = [i for i in range(len(kinds)) if i == 0 or (kinds[i], guesses[i]) != (kinds[i - 1], guesses[i - 1])]
+        runs = list(zip(cuts, [*cuts[1:], len(kinds)]))
+        closed_by, following = {}, None
+        for lo, _ in reversed(runs):
+            closed_by[lo] = following
+            if kinds[lo] != "append":
+                following = kinds[lo]
+        for lo, hi in runs:
+            kind, sealed = kinds[lo], closed_by[lo] == "end"
             if kind == "begin":
-                last = part.iloc[-1:]
-                meta = [last["brush"].iloc[0], float(last["size"].iloc[0]), int(last["seed"].iloc[0])]
-                fold, part, epoch = StrokeFold(*meta), last, int(last["seq"].iloc[0])
+                lo, last = hi - 1, frame.iloc[hi - 1]
+                meta = [last["brush"], float(last["size"]), int(last["seed"])]
+                fold, epoch = StrokeFold(*meta), int(last["seq"])
             if fold is None:
                 continue
-            if kind in ("begin", "append"):
-                if predicted:
-                    guessed = copy.deepcopy(fold).push(stroke, part)
-                else:
-                    guessed = []
-                    out += [(*d, "wet", epoch) for d in fold.push(stroke, part)]
+            if kind in ("begin", "append") and guesses[lo]:
+                guess = (lo, hi)  # of a copy of the state, and only if nothing real follows
+            elif kind in ("begin", "append"):
+                guess = None
+                for at in range(lo, hi, SLICE):
+                    out += [(*d, "wet", epoch, sealed) for d in fold.push(stroke, frame.iloc[at : min(at + SLICE, hi)])]
+                    if len(out) >= ROWS_OUT:
+                        yield pd.DataFrame(out, columns=_OUT)
+                        out = []
             elif kind == "end":
-                out += [(*d, "wet", epoch) for d in fold.finish(stroke)]
-                out.append((stroke, fold.made, None, None, None, None, None, "done", epoch))
-                fold, guessed = None, []
+                out += [(*d, "wet", epoch, True) for d in fold.finish(stroke)]
+                out.append((stroke, fold.made, None, None, None, None, None, "done", epoch, None))
+                fold = guess = None
             else:
-                fold, guessed = None, []
+                fold = guess = None
         if self._predictions:
-            out.append((stroke, None, None, None, None, None, None, "seen", epoch))
-            out += [(*d, "predicted", epoch) for d in guessed]
+            out.append((stroke, None, None, None, None, None, None, "seen", epoch, None))
+            if guess:
+                out += [(*d, "predicted", epoch, None) for d in copy.deepcopy(fold).push(stroke, frame.iloc[slice(*guess)])]
         if fold is None:
             self._state.clear()
         else:
             self._state.update((json.dumps([meta, fold.state(), epoch]),))
-        yield pd.DataFrame(out, columns=_OUT)
+        if out:
+            yield pd.DataFrame(out, columns=_OUT)
 
     def close(self) -> None:
         pass
@@ -109,9 +124,34 @@ def stream_dabs(events: DataFrame, predictions: bool = False, idle_ms: int | Non
 
 
 def committed(dabs: DataFrame) -> DataFrame:
-    """Dabs of attempts that ended, from the written output of the stream."""
+    """Dabs of attempts that ended, from the written output of the stream.
+
+    Only dabs of attempts that ended in a later batch are shuffled, to be joined with the markers.
+    """
+    wet = dabs.where("state = 'wet'").drop("state")
     done = dabs.where("state = 'done'").select("stroke_id", "epoch").distinct()
-    return dabs.where("state = 'wet'").join(done, ["stroke_id", "epoch"], "left_semi").drop("state")
+    earlier = wet.where("not sealed").join(done, ["stroke_id", "epoch"], "left_semi").select(*wet.columns)
+    return wet.where("sealed").unionByName(earlier).drop("sealed")
+
+
+def thousandths(dabs: DataFrame) -> DataFrame:
+    """Numbers as whole thousandths, half up: a tenth of the bytes when written as ``COMPACT``. What is no number is NULL."""
+
+    def whole(c: str):
+        # From there on doubles have no exact thousandths, and a pixel has none so far out.
+        return F.when(F.abs(F.col(c)) < 1e12, F.rint(F.round(c, 3) * 1000).cast("long"))
+
+    return dabs.withColumns({c: whole(c) for c in _PARTS if c in dabs.columns})
+
+
+def of_thousandths(rows: DataFrame) -> DataFrame:
+    """Numbers of ``thousandths``, rounded to three places."""
+    return rows.withColumns({c: F.coalesce(F.col(c) / 1000, F.lit(float("nan"))) for c in _PARTS if c in rows.columns})
+
+
+def compact_batch(batch: DataFrame, n: int, out: str) -> None:
+    """One folder per batch of ``thousandths``: a repeated batch overwrites itself."""
+    batch.write.mode("overwrite").options(**COMPACT).parquet(f"{out}/batch={n}")
 
 
 class TwoSinks:
@@ -121,41 +161,51 @@ class TwoSinks:
     ``overlay/version=n`` the predictions that hold after batch n: those of version n-1 without the strokes
     that batch n has seen, and the batch's own. Both follow from the batch and the version before alone and are
     overwritten, so a batch that runs again changes nothing. The overlay is as large as what is being drawn.
+    ``compact`` sinks hold whole ``thousandths`` and give them back as numbers with three places.
     """
 
-    def __init__(self, base: str):
-        self.base = base
+    def __init__(self, base: str, compact: bool = False):
+        self.base, self.compact = base, compact
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").options(**(COMPACT if self.compact else {})).parquet(f"{self.base}/{folder}")
 
     def __call__(self, batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        path = f"{self.base}/received/batch={n}"
-        batch.write.mode("overwrite").parquet(path)  # once, as the stateful operator must not run again for the second sink
-        rows = spark.read.schema(batch.schema).parquet(path)
-        rows.where("state in ('wet', 'done')").write.mode("overwrite").parquet(f"{self.base}/committed/batch={n}")
+        self._write(batch, f"received/batch={n}")  # once, as the stateful operator must not run again for the second sink
+        rows = spark.read.schema(batch.schema).parquet(f"{self.base}/received/batch={n}")
+        self._write(rows.where("state in ('wet', 'done')"), f"committed/batch={n}")
         guesses = rows.where("state = 'predicted'")
         if n:
             seen = rows.select("stroke_id").distinct()
             before = spark.read.schema(batch.schema).parquet(f"{self.base}/overlay/version={n - 1}")
             guesses = guesses.unionByName(before.join(seen, "stroke_id", "left_anti").select(*batch.columns))
-        guesses.write.mode("overwrite").parquet(f"{self.base}/overlay/version={n}")
+        self._write(guesses, f"overlay/version={n}")
+
+    def _read(self, spark: SparkSession, folder: str) -> DataFrame:
+        if not self.compact:
+            return spark.read.schema(OUT_SCHEMA).parquet(f"{self.base}/{folder}")
+        rows = spark.read.schema(OUT_SCHEMA.replace("double", "long")).parquet(f"{self.base}/{folder}")
+        return of_thousandths(rows)
 
     def committed(self, spark: SparkSession) -> DataFrame:
-        return committed(spark.read.schema(OUT_SCHEMA).parquet(f"{self.base}/committed/*"))
+        return committed(self._read(spark, "committed/*"))
 
     def overlay(self, spark: SparkSession, version: int) -> DataFrame:
         """The predictions that hold after a batch."""
-        return spark.read.schema(OUT_SCHEMA).parquet(f"{self.base}/overlay/version={version}").drop("state")
+        return self._read(spark, f"overlay/version={version}").drop("state", "sealed")
 
 
-def run_to_sinks(events: DataFrame, base: str) -> tuple[TwoSinks, int]:
+def run_to_sinks(events: DataFrame, base: str, compact: bool = False) -> tuple[TwoSinks, int]:
     """Streams all available events with predictions into two sinks; also the number of the last batch."""
-    sinks, last = TwoSinks(base), [-1]
+    sinks, last = TwoSinks(base, compact), [-1]
 
     def write(batch: DataFrame, n: int) -> None:
         sinks(batch, n)
         last[0] = n
 
     dabs = stream_dabs(events, predictions=True, idle_ms=None)
+    dabs = thousandths(dabs) if compact else dabs
     query = dabs.writeStream.outputMode("append").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return sinks, last[0]
