@@ -4,6 +4,9 @@ Rows of a key are applied in the order of their numbers, once the watermark has
 wait in the state. So batches may be repeated or come in another order, as far as the watermark waits, and the output
 is the same: a row that waits or has been applied already counts once. Timers are in event time, so a replay
 gives what the live stream gave. Numbers grow with time inside a key.
+
+Every access of the state is a call to the JVM, so keys share a bucket with some others, whose waiting rows are read and
+written together, and what a key has by numbers is kept in pages.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from tessella.operators.documents import IDLE_SECONDS
 #: Progress is told once in so many milliseconds.
 FLUSH_MS = 500
 _NEVER = 1 << 62
-#: Waiting rows of a key are kept by spans of so many milliseconds.
-SPAN_MS = 600_000
+#: Keys are dealt to so many buckets; the waiting rows of a bucket are kept by spans of so many milliseconds.
+BUCKETS, SPAN_MS = 2048, 3_600_000
+#: Neighbouring numbers of a key that are read and written together.
+PAGE = 256
 
 
 class Held:
@@ -82,8 +87,56 @@ class Held:
         self.forget()
 
 
+class Pages:
+    """Numbers and their rows for the key whose turn it is, kept in pages that are read once and written back once."""
+
+    def __init__(self, state):
+        self.held, self.key = Held(state), ""
+        self.forget()
+
+    def forget(self) -> None:
+        self.held.forget()
+        self.now: dict[tuple, dict[int, tuple]] = {}
+        self.changed: set[tuple] = set()
+
+    def _page(self, number: int) -> tuple[tuple, dict[int, tuple]]:
+        spot = (self.key, number // PAGE)
+        if spot not in self.now:
+            rows = json.loads(self.held.getValue(spot)[0]) if self.held.containsKey(spot) else []
+            self.now[spot] = {n: tuple(row) for n, row in rows}
+        return spot, self.now[spot]
+
+    def containsKey(self, key: tuple) -> bool:
+        return key[0] in self._page(key[0])[1]
+
+    def getValue(self, key: tuple) -> tuple:
+        return self._page(key[0])[1][key[0]]
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        spot, page = self._page(key[0])
+        page[key[0]] = value
+        self.changed.add(spot)
+
+    def removeKey(self, key: tuple) -> None:
+        spot, page = self._page(key[0])
+        del page[key[0]]
+        self.changed.add(spot)
+
+    def write(self) -> None:
+        for spot in self.changed:
+            if self.now[spot]:
+                self.held.updateValue(spot, (json.dumps(list(self.now[spot].items())),))
+            else:
+                self.held.removeKey(spot)
+        self.held.write()
+        self.forget()
+
+
 class InOrder(StatefulProcessor):
-    """Rows with ``at_ms`` and ``seq`` and the columns ``TAKES``; a subclass applies one at a time."""
+    """Rows with ``at_ms``, ``seq``, the ``name`` of their key and the columns ``TAKES``; a subclass applies one at a time.
+
+    A call has the rows of a bucket of keys. The states of keys are those of the subclass, one for each key.
+    """
 
     TAKES: tuple[str, ...] = ()
     OUT: tuple[str, ...] = ()
@@ -91,20 +144,18 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.held = handle, []
         self.waiting = handle.getMapState("waiting", "span long", "rows string")
-        self.value = handle.getValueState("value", "json string")
+        self.known = handle.getMapState("known", "name string", "json string")
+        self.due_at = handle.getValueState("dues", "json string")
         self.prepare(handle)
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
         """Further state of the subclass."""
 
-    def hold(self, *state: str) -> Held:
-        """A map state of the subclass, written back after every span of rows."""
-        self.held.append(Held(self.handle.getMapState(*state)))
+    def hold(self, label: str) -> Pages:
+        """Rows by number for each key, written back after every span of rows."""
+        self.held.append(Pages(self.handle.getMapState(label, "name string, page long", "rows string")))
         return self.held[-1]
 
-    def opened(self) -> None:
-        """Before a span of rows is applied."""
-
     def apply(self, state: dict, at: int, seq: int, row: list) -> Iterator[tuple]:
         """Changes the state; yields rows without the key."""
         raise NotImplementedError
@@ -118,42 +169,54 @@ class InOrder(StatefulProcessor):
         return _NEVER
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.value.get()[0]) if self.value.exists() else {"applied": -1}
         for frame in rows:
             spans: dict[int, dict] = {}
-            columns = [frame[c].tolist() for c in ("at_ms", "seq", *self.TAKES)]
-            for at, seq, *row in zip(*columns):
-                if seq > state["applied"]:
-                    spans.setdefault(int(at) // SPAN_MS, {})[int(at), int(seq)] = row
+            columns = [frame[c].tolist() for c in ("at_ms", "seq", "name", *self.TAKES)]
+            for at, seq, name, *row in zip(*columns):
+                spans.setdefault(int(at) // SPAN_MS, {})[int(at), int(seq), name] = row
             for span, new in spans.items():
                 if self.waiting.containsKey((span,)):
-                    new = {(at, seq): row for at, seq, row in json.loads(self.waiting.getValue((span,))[0])} | new
+                    new = {(at, seq, name): row for at, seq, name, row in json.loads(self.waiting.getValue((span,))[0])} | new
                 self._wait(span, [(*spot, row) for spot, row in new.items()])
-        yield from self._advance(key, state, timerValues)
+        yield from self._advance(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.value.exists():
-            yield from self._advance(key, json.loads(self.value.get()[0]), timerValues)
+        yield from self._advance(timerValues)
 
     def _wait(self, span: int, rows: list) -> None:
         self.waiting.updateValue((span,), (json.dumps(rows),))
 
-    def _advance(self, key, state: dict, timers) -> Iterator[pd.DataFrame]:
+    def _state(self, states: Held, name: str) -> dict:
+        """The state of a key, whose turn it is now."""
+        for held in self.held:
+            held.key = name
+        if not states.containsKey((name,)):
+            return {"applied": -1}
+        found = states.getValue((name,))[0]
+        if isinstance(found, str):
+            found = json.loads(found)
+            states.now[(name,)] = (found,)
+        return found
+
+    def _advance(self, timers) -> Iterator[pd.DataFrame]:
         """A span of waiting rows at a time, so no more than one is held."""
         now, following = timers.getCurrentWatermarkInMs(), _NEVER
-        names = key if isinstance(key, tuple) else (key,)
+        dues = json.loads(self.due_at.get()[0]) if self.due_at.exists() else {}
+        dues_before, states = dict(dues), Held(self.known)
         for (span,) in sorted(tuple(k) for k in self.waiting.keys()):
-            rows, out = sorted(json.loads(self.waiting.getValue((span,))[0])), []
+            rows, out = sorted(json.loads(self.waiting.getValue((span,))[0]), key=lambda r: r[:3]), []
             ready = [r for r in rows if r[0] <= now]
+            for at, seq, name, row in ready:
+                state = self._state(states, name)
+                if seq > state["applied"]:
+                    out += [(name, told) for told in self.passed(state, at)]
+                    out += [(name, told) for told in self.apply(state, at, seq, row)]
+                    state["applied"] = seq
+                    states.updateValue((name,), (state,))
+                    dues[name] = self.due(state)
             if ready:
-                self._open()
-                for at, seq, row in ready:
-                    if seq > state["applied"]:
-                        out += self.passed(state, at)
-                        out += self.apply(state, at, seq, row)
-                        state["applied"] = seq
-                self._write()
-                yield pd.DataFrame([(*names, *row) for row in out], columns=list(self.OUT))
+                self._write(states)
+                yield from self._rows(out)
                 if len(ready) == len(rows):
                     self.waiting.removeKey((span,))
                 else:
@@ -161,28 +224,37 @@ class InOrder(StatefulProcessor):
             if len(ready) < len(rows):
                 following = rows[len(ready)][0]
                 break
-        self._open()
-        out = list(self.passed(state, now))
-        self._write()
-        self.value.update((json.dumps(state),))
-        following = min(following, self.due(state))
+        out = []
+        for name in [n for n, due in dues.items() if due <= now]:
+            state = self._state(states, name)
+            out += [(name, told) for told in self.passed(state, now)]
+            states.updateValue((name,), (state,))
+            dues[name] = self.due(state)
+        self._write(states)
+        dues = {name: due for name, due in dues.items() if due != _NEVER}
+        if dues != dues_before:
+            self.due_at.update((json.dumps(dues),))
+        following = min([following, *dues.values()])
         set_already = list(self.handle.listTimers())
         if following != _NEVER and following not in set_already:
             self.handle.registerTimer(following)
         for timer in set_already:
             if timer != following and timer > now:
                 self.handle.deleteTimer(timer)
-        yield pd.DataFrame([(*names, *row) for row in out], columns=list(self.OUT))
-
-    def _open(self) -> None:
-        for held in self.held:
-            held.forget()
-        self.opened()
+        yield from self._rows(out)
 
-    def _write(self) -> None:
+    def _write(self, states: Held) -> None:
+        for key in states.changed:
+            states.now[key] = (json.dumps(states.now[key][0]),)
+        states.write()
         for held in self.held:
             held.write()
 
+    def _rows(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            rows = [(*json.loads(name).values(), *told) for name, told in out]
+            yield pd.DataFrame(rows, columns=list(self.OUT), dtype=object)
+
     def close(self) -> None:
         pass
 
@@ -195,7 +267,7 @@ class StateChanges(InOrder):
     SCHEMA = "doc_id long, seq long, color long, colored long"
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.palette = self.hold("palette", "region long", "color long")
+        self.palette = self.hold("palette")
 
     def apply(self, state, at, seq, row):
         region, color = row
@@ -223,8 +295,8 @@ class IdleHints(InOrder):
         self.idle_ms = idle_ms
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.log = self.hold("log", "slot long", "region long")
-        self.fills = self.hold("fills", "region long", "n long")
+        self.log = self.hold("log")
+        self.fills = self.hold("fills")
 
     def apply(self, state, at, seq, row):
         kind, region, total = row
@@ -266,26 +338,17 @@ class Progress(InOrder):
     def __init__(self, every_ms: int = FLUSH_MS):
         self.every_ms = every_ms
 
-    def prepare(self, handle: StatefulProcessorHandle) -> None:
-        self.dirty = self.hold("dirty", "tile long", "delta long")
-
-    def opened(self):
-        # All that changed since the last flush, and nothing else.
-        self.dirty.load()
-
     def apply(self, state, at, seq, row):
         tile, delta = row
-        before = self.dirty.getValue((tile,))[0] if self.dirty.containsKey((tile,)) else 0
-        self.dirty.updateValue((tile,), (before + delta,))
+        dirty = state.setdefault("dirty", {})  # all that changed since the last flush, and nothing else
+        dirty[str(tile)] = dirty.get(str(tile), 0) + delta
         state["flush"] = (at // self.every_ms + 1) * self.every_ms
         return iter(())
 
     def passed(self, state, now):
         flush = state.get("flush")
         if flush is not None and now >= flush:
-            changes = [d[0] for d in self.dirty.values() if d[0]]
-            for key in [k for k, v in self.dirty.now.items() if v is not None]:
-                self.dirty.removeKey(key)
+            changes = [d for d in state.pop("dirty").values() if d]
             state["flush"] = None
             state["covered"] = state.get("covered", 0) + sum(changes)
             if changes:
@@ -298,9 +361,12 @@ class Progress(InOrder):
 def by_event_time(events: DataFrame, keys: list[str], processor: InOrder, late: str) -> DataFrame:
     """Runs a processor over ``keys``, ``seq``, ``at`` (timestamp) and its columns; ``late`` is how long it waits for rows."""
     timed = events.withWatermark("at", late).withColumn("at_ms", F.unix_millis("at"))
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     return (
-        timed.select(*keys, "at", "at_ms", "seq", *processor.TAKES)
-        .groupBy(*keys)
+        timed.withColumn("name", name)
+        .withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(BUCKETS)))
+        .select("bucket", "name", "at", "at_ms", "seq", *processor.TAKES)
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="EventTime"
         )
