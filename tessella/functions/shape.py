@@ -179,3 +179,10 @@ def tip_coverage(tip: Column, u: Column, v: Column, d: Column | None = None) ->
         .when(tip == "grain", F.when(d >= 1.0, F.lit(0.0)).otherwise(grain(*texel) * soft_tip(d)))
     )
     return F.when(d < 1.0, clamp(shape, 0.0, 1.0)).otherwise(F.lit(0.0))
+
+
+def rounded(v: Column, places: int) -> Column:
+    """``round`` of a number, to the last bit, which takes the digits of every number; here they are taken only near a tie."""
+    scaled = v * 10**places
+    apart = (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-6) & (F.abs(v) < 1e6)
+    return F.when(apart, F.rint(scaled) / 10**places + 0.0).otherwise(F.round(v, places))

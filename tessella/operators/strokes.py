@@ -28,6 +28,9 @@ MIN_STEP = 0.05
 REFERENCE_SPEED = 2400.0
 KNOT_FLOOR = 1e-4
 
+#: Segments whose points are computed at once.
+CURVES = 2_048
+
 MASK32 = 0xFFFFFFFF
 _U = np.arange(SUBSTEPS + 1, dtype=np.float32) / np.float32(SUBSTEPS)
 
@@ -142,6 +145,16 @@ def spline_points(pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[..., 0], out[..., 1]
 
 
+def curves(segments: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points of segments, the lengths between them and the length of each segment."""
+    xs, ys = np.empty((len(segments), SUBSTEPS + 1)), np.empty((len(segments), SUBSTEPS + 1))
+    for lo in range(0, len(segments), CURVES):
+        part = segments[lo : lo + CURVES]
+        xs[lo : lo + CURVES], ys[lo : lo + CURVES] = spline_points(np.array([[p[:2] for p in seg] for seg in part]))
+    steps = np.hypot(np.diff(xs), np.diff(ys))
+    return xs, ys, steps, steps.sum(axis=1)
+
+
 class DabWalk:
     """Walks the spline of one stroke and places dabs; state carries over between samples."""
 
@@ -166,6 +179,12 @@ class DabWalk:
 
         How the controls are cut into calls does not change the result.
         """
+        out, segments = self.plan(controls)
+        self._walk(segments, out)
+        return out
+
+    def plan(self, controls: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        """The first dab, if it is among these controls, and the segments that became certain, not walked yet."""
         known = self.ctrl
         held = len(known)
         points = known + controls
@@ -178,23 +197,26 @@ class DabWalk:
                 before = i - 3 if self.count > 2 else i - 2
                 segments.append((points[before], points[i - 2], points[i - 1], points[i]))
             self.count += 1
-        self._walk(segments, out)
         self.ctrl = points[-3:]
-        return out
+        return out, segments
 
     def finish(self) -> list[tuple]:
-        """The last segment, whose fourth control repeats the end point."""
-        c, out = self.ctrl, []
-        if self.count >= 2:
-            self._walk([(c[-2] if self.count == 2 else c[-3], c[-2], c[-1], c[-1])], out)
+        out: list[tuple] = []
+        self._walk(self.last_segment(), out)
         return out
 
+    def last_segment(self) -> list[tuple]:
+        """The last segment, whose fourth control repeats the end point."""
+        c = self.ctrl
+        return [(c[-2] if self.count == 2 else c[-3], c[-2], c[-1], c[-1])] if self.count >= 2 else []
+
     def _walk(self, segments: list[tuple], out: list[tuple]) -> None:
         if not segments:
             return
-        xs, ys = spline_points(np.array([[p[:2] for p in seg] for seg in segments]))
-        steps = np.hypot(np.diff(xs), np.diff(ys))
-        totals = steps.sum(axis=1).tolist()
+        xs, ys, steps, totals = curves(segments)
+        self._segments(segments, xs, ys, steps, totals.tolist(), out)
+
+    def _segments(self, segments: list[tuple], xs, ys, steps, totals: list[float], out: list[tuple]) -> None:
         for n, (_, b, c, _) in enumerate(segments):
             if not math.isfinite(totals[n]):
                 continue
@@ -204,7 +226,7 @@ class DabWalk:
             self._pieces(xs[n].tolist(), ys[n].tolist(), steps[n].tolist(), b, c, out)
 
     def _pieces(self, xs, ys, steps, b, c, out: list[tuple]) -> None:
-        single, hypot, emit, add = np.float32, math.hypot, self._emit, out.append
+        single, sqrt, emit, add = np.float32, math.sqrt, self._emit, out.append
         p0, p1, v0, v1 = b[2], c[2] - b[2], b[3], c[3] - b[3]
         acc = self.acc
         for k, length in enumerate(steps):
@@ -222,7 +244,7 @@ class DabWalk:
                 x, y, u = float(single(x + (ex - x) * f)), float(single(y + (ey - y) * f)), u + (eu - u) * f
                 add(emit(x, y, p0 + p1 * u, v0 + v1 * u))
                 acc, ahead = 0.0, self.gap
-                length = hypot(ex - x, ey - y)
+                length = sqrt((ex - x) * (ex - x) + (ey - y) * (ey - y))
             acc += length
         self.acc = acc
 
@@ -236,8 +258,9 @@ class DabWalk:
         alpha = 0.0 if alpha < 0.0 else 1.0 if alpha > 1.0 else alpha
         gap = spacing * size
         self.gap = MIN_STEP if MIN_STEP > gap else gap
-        if not self.jitter:
-            return x, y, size, 0.0, alpha
+        return self.jittered(x, y, size, alpha) if self.jitter else (x, y, size, 0.0, alpha)
+
+    def jittered(self, x: float, y: float, size: float, alpha: float) -> tuple:
         q = self.preset
         # Four draws per dab, whatever the preset uses; the walk itself never sees the jitter.
         jx, jy, js, ja = self._draw(), self._draw(), self._draw(), self._draw()
@@ -267,6 +290,163 @@ class DabWalk:
         self.ctrl = [tuple(c) for c in ctrl]
 
 
+# --- many strokes side by side ---------------------------------------------------------------
+
+#: Fewer strokes than this are walked one after the other. Dabs after which a frame is handed on.
+MIN_LANES, LANE_ROWS = 16, 65_536
+
+
+class Lanes:
+    """Walks of many strokes, a dab of each at a time: the numbers are those of ``DabWalk``, to the last bit.
+
+    A walk is sequential, but strokes do not see each other, so a step of all of them is a few array operations. Pieces of
+    a stroke's segments follow each other in the arrays, so that a lane is a place in them. Jitter is left to the caller.
+    """
+
+    def __init__(self, walks: list[DabWalk], segments: list[list[tuple]]):
+        self.walks = walks
+        self.flat = [seg for own in segments for seg in own]
+        self.xs, self.ys, self.steps, self.totals = curves(self.flat)
+        b, c = (np.array([seg[i][2:] for seg in self.flat], float).reshape(-1, 2) for i in (1, 2))
+        self.ramps = (b[:, 0], c[:, 0] - b[:, 0], b[:, 1], c[:, 1] - b[:, 1])  # pressure and speed at the begin, and their change
+        ends = np.cumsum([len(own) for own in segments], dtype=np.int64)
+        n = len(walks)
+        self.lanes = [
+            np.arange(n), (ends - [len(own) for own in segments]) * SUBSTEPS, ends * SUBSTEPS, np.zeros(n, bool),
+            *(np.array([getattr(w, c) for w in walks], float) for c in ("acc", "gap", "size")),
+            *np.zeros((11, n)),
+            *(np.array([w.shape[i] for w in walks], float) for i in range(9)),
+        ]
+
+    def run(self) -> Iterator[list[np.ndarray]]:
+        """Stroke (its place in the list), x, y, size and alpha of dabs, in the order of each stroke."""
+        with np.errstate(all="ignore"):  # lanes without a dab are computed along
+            yield from self._run()
+
+    def _run(self) -> Iterator[list[np.ndarray]]:
+        xs, ys, steps = self.xs.ravel(), self.ys.ravel(), self.steps.ravel()
+        dabs: list[tuple] = []
+        held = 0
+        left = [int(i) for i in np.flatnonzero(self.lanes[1] < self.lanes[2])]
+        self._keep(np.array(left, int))
+        while left:
+            # Place among all pieces and where the stroke's end; whether on a piece that holds a dab.
+            ids, at, end, ready, acc, gap, width, x, y, u, ex, ey, eu, length, p0, p1, v0, v1 = self.lanes[:18]
+            by_speed, size_min, size_span, size_gamma, flow, alpha_min, alpha_span, alpha_gamma, spacing = self.lanes[18:]
+            bent = [(e, np.flatnonzero(e != 1.0)) for e in (size_gamma, alpha_gamma)]
+            few, gone = len(ids) < MIN_LANES, None
+            while gone is None:
+                # Lanes that are not on a piece with a dab go one piece or some short segments on.
+                need = ~ready
+                begins = np.flatnonzero(need & (at % SUBSTEPS == 0))
+                if len(begins):
+                    out = few | self._begin(begins, at, end, acc, gap, (p0, p1, v0, v1))
+                    if out.any():
+                        gone = begins[out]
+                        need[gone] = False
+                piece = np.minimum(at, len(steps) - 1)
+                step = steps[piece]
+                need &= step > 0.0
+                passes = gap - acc > step
+                stops = need & ~passes
+                passes &= need
+                np.add(acc, step, out=acc, where=passes)
+                here = np.flatnonzero(stops)
+                at += ~(ready | stops)
+                if gone is not None:
+                    at[gone] -= 1
+                if len(here):
+                    seg, k = at[here] // SUBSTEPS, at[here] % SUBSTEPS
+                    point = seg * (SUBSTEPS + 1) + k
+                    x[here], y[here], u[here], ex[here], ey[here] = xs[point], ys[point], k / SUBSTEPS, xs[point + 1], ys[point + 1]
+                    eu[here], length[here], ready[here] = (k + 1) / SUBSTEPS, step[here], True
+                # A dab of every lane that has one on its piece.
+                ahead = gap - acc
+                fits = ready & (length > 0.0) & (ahead <= length)
+                f = ahead / length
+                np.copyto(x, (x + (ex - x) * f).astype(np.float32), where=fits)
+                np.copyto(y, (y + (ey - y) * f).astype(np.float32), where=fits)
+                np.copyto(u, u + (eu - u) * f, where=fits)
+                p = np.minimum(np.maximum(p0 + p1 * u, 0.0), 1.0)
+                thick, dark = (self._power(p, fits, *e) for e in bent)
+                taper = 1.0 - by_speed * np.minimum(np.maximum((v0 + v1 * u) / REFERENCE_SPEED, 0.0), 1.0)
+                size = width * (size_min + size_span * thick) * taper
+                np.copyto(gap, np.maximum(spacing * size, MIN_STEP), where=fits)
+                np.copyto(acc, 0.0, where=fits)
+                dx, dy = ex - x, ey - y
+                np.copyto(length, np.sqrt(dx * dx + dy * dy), where=fits)
+                here = np.flatnonzero(fits)
+                if len(here):
+                    alpha = np.minimum(np.maximum(flow * (alpha_min + alpha_span * dark), 0.0), 1.0)
+                    dabs.append((ids[here], x[here], y[here], size[here], alpha[here]))
+                    held += len(here)
+                leaves = ready & ~((length > 0.0) & (gap - acc <= length))
+                np.add(acc, length, out=acc, where=leaves)
+                at += leaves
+                ready &= ~leaves
+                if held >= LANE_ROWS:
+                    yield [np.concatenate(c) for c in zip(*dabs)]
+                    dabs, held = [], 0
+            alone = self._leaving(gone)
+            left = [i for i in range(len(ids)) if i not in set(gone.tolist())]
+            self._keep(np.array(left, int))
+            if alone and dabs:
+                yield [np.concatenate(c) for c in zip(*dabs)]
+                dabs, held = [], 0
+            yield from self._rest(alone)
+        if dabs:
+            yield [np.concatenate(c) for c in zip(*dabs)]
+
+    def _keep(self, left: np.ndarray) -> None:
+        self.lanes = [v[left] for v in self.lanes]
+
+    def _begin(self, begins: np.ndarray, at, end, acc, gap, ramps) -> np.ndarray:
+        """Lanes that come to a segment skip short ones; gives those that have none left."""
+        over = at[begins] >= end[begins]
+        going = begins[~over]
+        while len(going):
+            seg = at[going] // SUBSTEPS
+            total = self.totals[seg]
+            broken = ~np.isfinite(total)
+            skip = broken | (gap[going] - acc[going] > total)
+            for now, ramp in zip(ramps, self.ramps):
+                now[going] = ramp[seg]
+            going, total = going[skip], np.where(broken, 0.0, total)[skip]
+            acc[going] += total
+            at[going] += SUBSTEPS
+            going = going[at[going] < end[going]]
+        return at[begins] >= end[begins]
+
+    @staticmethod
+    def _power(p: np.ndarray, fits: np.ndarray, exponent: np.ndarray, bent: np.ndarray) -> np.ndarray:
+        """As the power of two numbers, which arrays of them need not give to the last bit."""
+        bent = bent[fits[bent]]
+        if not len(bent):
+            return p
+        out = p.copy()
+        out[bent] = [v**e for v, e in zip(p[bent].tolist(), exponent[bent].tolist())]
+        return out
+
+    def _leaving(self, gone: np.ndarray) -> list[tuple]:
+        """Gives walks their state back, and tells which segments are left to some."""
+        ids, at, end, _, acc, gap = (v[gone].tolist() for v in self.lanes[:6])
+        for i, a, g in zip(ids, acc, gap):
+            self.walks[i].acc, self.walks[i].gap = a, g
+        return [(i, lo // SUBSTEPS, hi // SUBSTEPS) for i, lo, hi in zip(ids, at, end) if lo < hi]
+
+    def _rest(self, alone: list[tuple]) -> Iterator[list[np.ndarray]]:
+        for i, first, end in alone:
+            walk, jitter = self.walks[i], self.walks[i].jitter
+            for lo in range(first, end, SLICE):
+                own, rows = slice(lo, min(lo + SLICE, end)), []
+                walk.jitter = False
+                walk._segments(self.flat[own], self.xs[own], self.ys[own], self.steps[own], self.totals[own].tolist(), rows)
+                walk.jitter = jitter
+                if rows:
+                    x, y, size, _, alpha = zip(*rows)
+                    yield [np.full(len(rows), i), *(np.array(c) for c in (x, y, size, alpha))]
+
+
 # --- streaming sorted partitions through a per-stroke fold ----------------------------------
 
 _FOLD_IN = ("x", "y", "t", "pressure", "radius")
@@ -356,17 +536,92 @@ class StrokeFold:
         return self
 
 
+#: Samples whose strokes are walked side by side.
+SIDE_BY_SIDE = 131_072
+
+
+def _gathered(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, rows = [], 0
+    for frame in frames:
+        held, rows = [*held, frame], rows + len(frame)
+        if rows >= SIDE_BY_SIDE:
+            yield pd.concat(held, ignore_index=True)
+            held, rows = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _dab_frame(stroke: np.ndarray, columns: list) -> pd.DataFrame:
+    kinds = (np.int64, np.int64, *[np.float64] * 5)
+    return pd.DataFrame({name: np.asarray(c, kind) for name, c, kind in zip(DAB_COLUMNS, [stroke, *columns], kinds)})
+
+
 def _dab_rows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def step(key, part, fold, out):
-        out += fold.push(key, part)
+    """Dabs of sorted samples. Strokes of a stretch of samples are walked side by side, the last one may go on in the next."""
+    key, fold = None, None
+    for frame in _gathered(frames):
+        ids = frame["stroke_id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+        keys, folds, segments, first = [], [], [], []
+        if len(ids) and fold is not None and ids[0] != key:  # ended with the samples before
+            keys, folds, segments, first = [key], [fold], [fold.walk.last_segment()], [[]]
+            fold = None
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = frame.iloc[lo:hi]
+            if fold is None or ids[lo] != key:
+                row = part.iloc[0]
+                key, fold = ids[lo], StrokeFold(row.brush, row["size"], row.seed)
+            dabs, own = fold.walk.plan(controls_of(part, fold.smooth))
+            if hi < len(ids):
+                own += fold.walk.last_segment()
+            keys, folds, segments, first = [*keys, key], [*folds, fold], [*segments, own], [*first, dabs]
+        yield from _side_by_side(keys, folds, segments, first)
+    if fold is not None:
+        yield from _side_by_side([key], [fold], [fold.walk.last_segment()], [[]])
+
+
+def _tuples(rows: list[tuple]) -> pd.DataFrame:
+    columns = list(zip(*rows)) if rows else [()] * len(DAB_COLUMNS)
+    return _dab_frame(columns[0], columns[1:])
 
-    def end(key, fold, out):
-        out += fold.finish(key)
 
-    for rows in _per_stroke(frames, lambda r: StrokeFold(r.brush, r["size"], r.seed), step, end):
-        columns = zip(*rows) if rows else [()] * len(DAB_COLUMNS)
-        kinds = (np.int64, np.int64, *[np.float64] * 5)
-        yield pd.DataFrame({name: np.array(c, kind) for name, c, kind in zip(DAB_COLUMNS, columns, kinds)})
+def _one_by_one(keys: list, folds: list[StrokeFold], segments: list[list], first: list[list[tuple]]) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    for key, fold, own, dabs in zip(keys, folds, segments, first):
+        out += fold.number(key, dabs)
+        for lo in range(0, len(own), SLICE):
+            dabs = []
+            fold.walk._walk(own[lo : lo + SLICE], dabs)
+            out += fold.number(key, dabs)
+            if len(out) >= ROWS_OUT:
+                yield _tuples(out)
+                out = []
+    yield _tuples(out)
+
+
+def _side_by_side(keys: list, folds: list[StrokeFold], segments: list[list], first: list[list[tuple]]) -> Iterator[pd.DataFrame]:
+    if len(keys) < MIN_LANES:
+        yield from _one_by_one(keys, folds, segments, first)
+        return
+    yield _tuples([row for key, fold, dabs in zip(keys, folds, first) for row in fold.number(key, dabs)])
+    names, made = np.array(keys, np.int64), np.array([fold.made for fold in folds], np.int64)
+    for lane, *columns in Lanes([fold.walk for fold in folds], segments).run():
+        order = np.argsort(lane, kind="stable")
+        lane = lane[order]
+        new = np.flatnonzero(np.diff(lane, prepend=-1))
+        counts = np.diff(new, append=len(lane))
+        number = made[lane] + np.arange(len(lane)) - np.repeat(new, counts)
+        made[lane[new]] += counts
+        x, y, size, alpha = (c[order] for c in columns)
+        angle = np.zeros(len(lane))
+        for i, lo, n in zip(lane[new].tolist(), new.tolist(), counts.tolist()):
+            if folds[i].walk.jitter:
+                own = slice(lo, lo + n)
+                moved = [folds[i].walk.jittered(*d) for d in zip(*(c[own].tolist() for c in (x, y, size, alpha)))]
+                x[own], y[own], size[own], angle[own], _ = zip(*moved)
+        yield _dab_frame(names[lane], [number, x, y, size, angle, alpha])
+    for fold, n in zip(folds, made.tolist()):
+        fold.made = n
 
 
 def real_samples(samples: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions.shape import decimals
+from tessella.functions.shape import decimals, rounded
 from tessella.operators import painting as P
 from tessella.operators import strokes as K
 from tessella.plans import views as V
@@ -68,7 +68,7 @@ def sample_speed(spark, sf):
 def stroke_dabs(spark, sf):
     """The whole pipeline from samples to dabs; checked against known strokes in the tests."""
     return K.generate_dabs(V.samples(spark, sf)).select(
-        "stroke_id", "dab_no", *[F.round(c, 3).alias(c) for c in ("x", "y", "size", "angle", "alpha")]
+        "stroke_id", "dab_no", *[rounded(F.col(c), 3).alias(c) for c in ("x", "y", "size", "angle", "alpha")]
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tessella.functions.shape import rounded
 from tessella.operators.strokes import ROWS_OUT, SLICE, StrokeFold
 
 EVENT_SCHEMA = (
@@ -139,7 +140,7 @@ def thousandths(dabs: DataFrame) -> DataFrame:
 
     def whole(c: str):
         # From there on doubles have no exact thousandths, and a pixel has none so far out.
-        return F.when(F.abs(F.col(c)) < 1e12, F.rint(F.round(c, 3) * 1000).cast("long"))
+        return F.when(F.abs(F.col(c)) < 1e12, F.rint(rounded(F.col(c), 3) * 1000).cast("long"))
 
     return dabs.withColumns({c: whole(c) for c in _PARTS if c in dabs.columns})
 
