@@ -104,6 +104,20 @@ def test_a_bucket_answers_as_its_keys_alone():
     assert len(got) > 100 and calls < len(rows) / 2
 
 
+def test_state_changes_of_a_bucket():
+    rng, rows = random.Random(4), []
+    for i in range(4000):
+        rows.append((1000 * i, i, name(rng.randrange(60)), i % 13, rng.randrange(3) * 60))
+    got, calls = run(SL.StateChanges(), [rows[:2500], rows[1500:], []], [2_000_000, 3_900_000, 9_000_000])
+    want, seen, told = [], {}, {}
+    for _, seq, key, region, color in rows:
+        seen.setdefault(key, set()).add(region)
+        if told.get(key) != (color, len(seen[key])):
+            told[key] = color, len(seen[key])
+            want.append((json.loads(key)["doc_id"], seq, color, len(seen[key])))
+    assert sorted(got) == sorted(want) and calls < len(rows) / 2
+
+
 def test_pages_are_read_and_written_once():
     store = Store()
     pages = SL.Pages(store.getMapState("log"))
